@@ -1,0 +1,94 @@
+"""The whole dataflow: manifest -> exact groups -> near-duplicate groups -> ranked members.
+
+Actions on the driver are limited to one ``count`` (strategy choice), the
+component loop's convergence test and checkpoints; no rows are collected.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from neardup import constants as C
+from neardup.operators.components import connected_components
+from neardup.operators.exact import exact_hash_groups, exact_members, exclude_exact
+from neardup.operators.hamming import (band_pairs, choose_strategy, collapse, lsh_pairs,
+                                       lsh_positions, validate_threshold)
+from neardup.operators.ranking import global_index
+from neardup.operators.selection import rank_members
+from neardup.session import cut_lineage
+
+MODES = ("both", "exact_only", "perceptual_only")
+GROUP_COLUMNS = ["group_id", "match_type", "path", "member_rank", "is_best", "width", "height",
+                 "file_size", "quality_score"]
+_MEMBER_COLS = ["id", "path", "mtime", "width", "height", "file_size", "quality_score"]
+
+
+def perceptual_candidates(manifest: DataFrame, hash_groups: DataFrame | None) -> DataFrame:
+    """Rows with a fingerprint, minus every member of an exact group (when given)."""
+    c = manifest.where(F.col("fp").isNotNull())
+    return exclude_exact(c, hash_groups) if hash_groups is not None else c
+
+
+def similar_pairs(candidates: DataFrame, threshold: int, bits: int = 256,
+                  use_lsh: bool | None = None, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs(src, dst, distance) between distinct fingerprints, copies(id, rep))."""
+    n_words = bits // 64
+    reps, copies = collapse(candidates)
+    if n is None:
+        n = reps.count()
+    strat = choose_strategy(n, bits, threshold, use_lsh)
+    if strat.kind == "lsh":
+        pos = lsh_positions(strat.tables, strat.bits_per_table, bits)
+        pairs = lsh_pairs(reps, n_words, pos, threshold)
+    else:
+        pairs = band_pairs(reps, n_words, strat.band_plan)
+    return pairs, copies
+
+
+def perceptual_components(candidates: DataFrame, threshold: int, bits: int = 256,
+                          use_lsh: bool | None = None) -> DataFrame:
+    """(id, component) for candidates that have at least one similar row."""
+    pairs, copies = similar_pairs(candidates, threshold, bits, use_lsh)
+    edges = pairs.select("src", "dst").unionByName(
+        copies.select(F.col("id").alias("src"), F.col("rep").alias("dst")))
+    return connected_components(edges)
+
+
+def find_duplicates(manifest: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, mode: str = "both",
+                    use_lsh: bool | None = None, bits: int = 256, strategy: str = "quality",
+                    valid_only: bool = True) -> DataFrame:
+    """Groups table (one row per member): GROUP_COLUMNS + id, mtime.
+
+    Exact groups come first (ids from 1, ordered by their smallest path), then
+    near-duplicate groups, whose members exclude every exact-group member unless
+    ``mode='perceptual_only'``. ``member_rank`` orders each group under
+    ``strategy``; ``is_best`` marks rank 1.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    validate_threshold(threshold, bits)
+    m = manifest.where(F.col("error").isNull()) if valid_only else manifest
+    # one pass over the source (fingerprints included); every later stage reads this
+    m = cut_lineage(m.select(*_MEMBER_COLS, "file_hash", "fp"))
+    parts = []
+    hash_groups = None
+    if mode != "perceptual_only":
+        hash_groups = exact_hash_groups(m)
+        ex = exact_members(m, hash_groups)
+        parts.append(ex.select(*_MEMBER_COLS, F.lit("exact").alias("match_type"),
+                               F.col("file_hash").alias("gkey"), "first_path"))
+    if mode != "exact_only":
+        cand = perceptual_candidates(m, hash_groups)
+        comps = perceptual_components(cand, threshold, bits, use_lsh)
+        pm = cand.join(comps, "id")
+        first = pm.groupBy("component").agg(F.min("path").alias("first_path"))
+        pm = pm.join(first, "component")
+        parts.append(pm.select(*_MEMBER_COLS, F.lit("perceptual").alias("match_type"),
+                               F.col("component").cast("string").alias("gkey"), "first_path"))
+    members = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    keys = members.select("match_type", "gkey", "first_path").distinct()
+    type_order = F.when(F.col("match_type") == "exact", F.lit(0)).otherwise(F.lit(1))
+    ids = global_index(keys.withColumn("_t", type_order), ["_t", "first_path"], "group_id")
+    g = members.join(ids.select("match_type", "gkey", "group_id"), ["match_type", "gkey"])
+    g = rank_members(g, strategy).withColumn("is_best", F.col("member_rank") == 1)
+    return g.select(*GROUP_COLUMNS, "id", "mtime")
