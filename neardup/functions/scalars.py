@@ -65,20 +65,30 @@ def resolution(width, height) -> Column:
 
 
 def megapixels(pixel_count) -> Column:
-    return F.round(col(pixel_count).cast("decimal(20,0)") / F.lit(1_000_000), 2).cast("double")
+    """Megapixels to two decimals, ties up (integer arithmetic, no float rounding)."""
+    return F.floor((col(pixel_count) + F.lit(5000)) / F.lit(10000)) / F.lit(100.0)
+
+
+def one_decimal(x) -> Column:
+    """``'%.1f'`` with ties to even on the exact binary value (as Python and C print it).
+
+    ``format_number`` rounds that way (``bround`` would round the shortest decimal
+    form instead, e.g. 0.35 -> 0.4); the grouping commas are removed.
+    """
+    return F.regexp_replace(F.format_number(col(x).cast("double"), 1), ",", "")
 
 
 def format_size(size) -> Column:
-    """Human-readable size in 1024 steps, one decimal, ties to even."""
+    """Human-readable size in 1024 steps: '2.0 KB', '5.0 MB', '0.0 B'."""
     s = col(size).cast("double")
     expr = None
     for i, unit in enumerate(C.SIZE_UNITS):
         scaled = s / F.lit(float(1024 ** i))
-        txt = F.format_string("%.1f " + unit, F.bround(scaled, 1))
+        txt = F.concat(one_decimal(scaled), F.lit(" " + unit))
         cond = scaled < F.lit(1024.0)
         expr = F.when(cond, txt) if expr is None else expr.when(cond, txt)
     last = s / F.lit(float(1024 ** len(C.SIZE_UNITS)))
-    return expr.otherwise(F.format_string("%.1f " + C.SIZE_UNIT_LAST, F.bround(last, 1)))
+    return expr.otherwise(F.concat(one_decimal(last), F.lit(" " + C.SIZE_UNIT_LAST)))
 
 
 def format_number(n) -> Column:

@@ -299,3 +299,115 @@ def validate_threshold(threshold, bits: int = 256) -> int:
     if threshold < 0 or threshold > bits:
         raise ValueError(f"threshold must be between 0 and {bits}")
     return threshold
+
+
+# ---------------------------------------------------------------------------
+# LSH probes and statistics
+# ---------------------------------------------------------------------------
+
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def size_checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only after counting the side (``limit`` keeps the check cheap)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def lsh_probe(probes: DataFrame, index_reps: DataFrame, n_words: int, positions,
+              rep_col: str = "rep", fp_col: str = "fp") -> DataFrame:
+    """(probe, id): index rows sharing at least one bucket with each probe, each pair once."""
+    aw, bw = word_names("a", n_words), word_names("b", n_words)
+
+    def keyed(df, idc, names):
+        base = with_words(df.select(F.col(rep_col).alias(idc), fp_col), fp_col, n_words)
+        base = base.select(idc, *[F.col(f"w{i}").alias(n) for i, n in enumerate(names)],
+                           lsh_keys(word_names("w", n_words), positions).alias("_keys"))
+        return base.select(idc, *names, F.posexplode("_keys").alias("table_idx", "key"))
+
+    left = size_checked_broadcast(keyed(probes, "probe", aw))
+    right = keyed(index_reps, "id", bw)
+    first = None
+    for i, masks in enumerate(_position_masks(positions, n_words)):
+        cond = masked_distance(aw, bw, masks) == 0
+        first = F.when(cond, F.lit(i)) if first is None else first.when(cond, F.lit(i))
+    cond = ((left["table_idx"] == right["table_idx"]) & (left["key"] == right["key"])
+            & (first == left["table_idx"]))
+    return left.join(right, cond).select("probe", "id", distance(aw, bw).alias("distance"))
+
+
+def lsh_index_stats(buckets: DataFrame, tables: int, bits_per_table: int) -> DataFrame:
+    per = buckets.groupBy("table_idx", "bucket_key").agg(F.count(F.lit(1)).alias("n"))
+    items = buckets.agg(F.countDistinct("id").cast("bigint").alias("total_items"))
+    b = per.agg(F.count(F.lit(1)).cast("bigint").alias("non_empty_buckets"),
+                F.coalesce(F.sum("n"), F.lit(0)).alias("_items"))
+    return (items.crossJoin(b).select(
+        F.lit(tables).alias("num_tables"), F.lit(bits_per_table).alias("bits_per_table"), "total_items",
+        "non_empty_buckets",
+        F.round(F.col("_items").cast("double") / F.greatest(F.lit(1), F.col("non_empty_buckets")), 6)
+        .alias("avg_bucket_size")))
+
+
+def lsh_estimate(buckets: DataFrame) -> DataFrame:
+    """Upper bound of candidate pairs: sum of n(n-1)/2 over buckets (repeats across tables)."""
+    per = buckets.groupBy("table_idx", "bucket_key").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).cast("bigint").alias("estimated_pairs"))
+
+
+def lsh_run_stats(reps: DataFrame, candidate_pairs: DataFrame, threshold: int) -> DataFrame:
+    n = reps.agg(F.count(F.lit(1)).cast("bigint").alias("total_images"))
+    c = candidate_pairs.agg(F.count(F.lit(1)).cast("bigint").alias("total_comparisons"),
+                            F.count_if(F.col("distance") <= threshold).cast("bigint").alias("duplicate_pairs_found"))
+    j = n.crossJoin(c)
+    nn, cc = F.col("total_images"), F.col("total_comparisons")
+    brute = F.expr("total_images * (total_images - 1) div 2")
+    return j.select(
+        "total_images", (cc * 2).alias("total_candidates"), "total_comparisons", "duplicate_pairs_found",
+        F.round(F.when(nn == 0, F.lit(0.0)).otherwise(cc * 2.0 / nn), 6).alias("avg_candidates_per_image"),
+        F.round(F.when(brute == 0, F.lit(0.0)).otherwise(F.lit(1.0) - cc / brute.cast("double")), 6)
+        .alias("reduction_ratio"))
+
+
+def collection_sizes(spark, sf_dir: str) -> DataFrame:
+    """Sizes that drive the LSH parameter choice, counted from the tables."""
+    from neardup.operators.exact import exact_hash_groups
+    from neardup.sources.fixtures import manifest_docs
+    from neardup.sources.tables import read_table
+    m = manifest_docs(spark, sf_dir, with_fp=False)
+    v = m.where(F.col("error").isNull())
+    cand = v.where(F.col("error").isNull()).join(exact_hash_groups(v).select("file_hash"), "file_hash", "left_anti")
+    docs = m.agg(F.lit("documents").alias("collection"), F.count(F.lit(1)).cast("bigint").alias("n"))
+    return docs.unionByName(
+        cand.agg(F.lit("candidates").alias("collection"), F.count(F.lit(1)).cast("bigint").alias("n"))).unionByName(
+        read_table(spark, sf_dir, "embeddings").agg(F.lit("embeddings").alias("collection"),
+                                                   F.count(F.lit(1)).cast("bigint").alias("n"))).unionByName(
+        docs.select(F.lit("documents_x1000").alias("collection"), (F.col("n") * 1000).alias("n"))).unionByName(
+        docs.select(F.lit("documents_x100000").alias("collection"), (F.col("n") * 100000).alias("n")))
+
+
+def lsh_param_columns(sizes: DataFrame) -> DataFrame:
+    """Size-tier (tables, bits per table) as column expressions over ``n``."""
+    t = k = None
+    for bound, tables, bits in C.LSH_SIZE_TIERS:
+        if bound is None:
+            t, k = t.otherwise(F.lit(tables)), k.otherwise(F.lit(bits))
+        else:
+            c = F.col("n") < bound
+            t = F.when(c, F.lit(tables)) if t is None else t.when(c, F.lit(tables))
+            k = F.when(c, F.lit(bits)) if k is None else k.when(c, F.lit(bits))
+    return sizes.select("collection", "n", t.alias("num_tables"), k.alias("bits_per_table"))
+
+
+def lsh_cost_columns(params: DataFrame) -> DataFrame:
+    """Expected comparisons under random bits: bucket = n / 2^k, candidates per item
+    = min(n - 1, max(0, bucket - 1) * tables * overlap), comparisons = n * candidates / 2."""
+    n = F.col("n")
+    bucket = n.cast("double") / F.pow(F.lit(2.0), F.col("bits_per_table"))
+    per_item = F.least(n - F.lit(1.0), F.greatest(
+        F.lit(0.0), F.greatest(F.lit(0.0), bucket - F.lit(1.0)) * F.col("num_tables") * F.lit(C.LSH_OVERLAP_FACTOR)))
+    out = params.select("*", F.expr("n * (n - 1) div 2").cast("bigint").alias("brute_force_comparisons"),
+                        F.floor(n * per_item / F.lit(2.0)).cast("bigint").alias("estimated_lsh_comparisons"))
+    bf, est = F.col("brute_force_comparisons"), F.col("estimated_lsh_comparisons")
+    return out.select("*",
+                      F.round(F.lit(1.0) - est.cast("double") / F.greatest(F.lit(1), bf), 6).alias("estimated_reduction"),
+                      F.round(bf.cast("double") / F.greatest(F.lit(1), est), 6).alias("speedup_factor"))

@@ -69,7 +69,7 @@ def find_duplicates(manifest: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, m
     validate_threshold(threshold, bits)
     m = manifest.where(F.col("error").isNull()) if valid_only else manifest
     # one pass over the source (fingerprints included); every later stage reads this
-    m = cut_lineage(m.select(*_MEMBER_COLS, "file_hash", "fp"))
+    m = cut_lineage(m.select(*_MEMBER_COLS, "file_hash", *(["fp"] if mode != "exact_only" else [])))
     parts = []
     hash_groups = None
     if mode != "perceptual_only":

@@ -73,3 +73,33 @@ def fp_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = vector_fingerprint("embedding", 64)
     return e.select("vec_id", F.when(w.isNotNull(), F.array(w)).alias("fp")) \
             .withColumn("vec_hash", words_to_hex("fp", 1))
+
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES of the store fixture (B4): an older store and today's listing
+# ---------------------------------------------------------------------------
+STORE_KEEP_EVERY = 3         # store holds docs with doc_id % 3 <> 0
+LISTING_CHANGED_EVERY = 7    # listing mtime moves by one day where doc_id % 7 = 0
+LISTING_MISSING_EVERY = 11   # listing lacks docs with doc_id % 11 = 0
+STORE_ACCESS_SPREAD_DAYS = 60
+STORE_NOW = 1709251200       # 2024-03-01 00:00:00 UTC, the fixed "now"
+DAY = 86400
+
+
+def store_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysis store as left by an earlier scan: manifest rows + version and access times."""
+    m = manifest_docs(spark, sf_dir, with_fp=False)
+    return (m.where(F.col("id") % STORE_KEEP_EVERY != 0)
+            .withColumn("analysis_version", F.lit(1))
+            .withColumn("created_at", F.col("mtime"))
+            .withColumn("last_accessed", F.timestamp_seconds(
+                F.lit(STORE_NOW) - (F.col("id") % STORE_ACCESS_SPREAD_DAYS) * DAY)))
+
+
+def listing_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Today's listing (path, mtime, file_size): some files changed, some gone."""
+    m = manifest_docs(spark, sf_dir, with_fp=False)
+    shift = F.when(F.col("id") % LISTING_CHANGED_EVERY == 0, F.lit(DAY)).otherwise(F.lit(0))
+    return (m.where(F.col("id") % LISTING_MISSING_EVERY != 0)
+            .select("id", "path", F.timestamp_seconds(F.unix_seconds("mtime") + shift).alias("mtime"),
+                    "file_size"))
