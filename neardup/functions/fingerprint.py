@@ -48,17 +48,14 @@ def simhash_words(texts: pd.Series) -> pd.Series:
     return pd.Series([_simhash_one(t) for t in texts], dtype=object)
 
 
-def vector_fingerprint(embedding, dims: int = 64) -> Column:
+def vector_fingerprint(embedding: str, dims: int = 64) -> Column:
     """One BIGINT: bit i (MSB first) set when element i >= the (dims/2+1)-th smallest.
 
     Same as "above the median" for distinct values, without float averaging.
+    NULL unless the vector has exactly ``dims`` elements.
     """
-    e = col(embedding)
-    pivot = F.element_at(F.array_sort(e), dims // 2 + 1)
-    bits = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.when(F.element_at(e, i + 1) >= pivot,
-                         F.shiftleft(F.lit(1).cast("bigint"), F.lit(dims - 1) - i))
-                   .otherwise(F.lit(0).cast("bigint")))
-    return F.when(F.size(e) == dims,
-                  F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x)))
+    e = embedding
+    return F.expr(
+        f"CASE WHEN size({e}) = {dims} THEN aggregate(sequence(0, {dims - 1}), 0L, (acc, i) -> acc | "
+        f"IF(element_at({e}, i + 1) >= element_at(array_sort({e}), {dims // 2 + 1}), "
+        f"shiftleft(1L, {dims - 1} - i), 0L)) END")

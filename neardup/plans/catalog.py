@@ -529,11 +529,11 @@ def components(spark, d):
     return connected_components(edges)
 
 
-@register("vector_components", S.with_ctes("vpairs", "vcopies") + """, vedges AS (
+@register("vector_components", (S.with_ctes("vpairs", "vcopies") + """, vedges AS (
   SELECT src AS a, dst AS b FROM vpairs UNION ALL SELECT dst, src FROM vpairs
   UNION ALL SELECT id, rep FROM vcopies UNION ALL SELECT rep, id FROM vcopies),
 vreach(id, c) AS (SELECT a, a FROM vedges UNION SELECT e.b, r.c FROM vreach r JOIN vedges e ON e.a = r.id)
-SELECT id, min(c) AS component FROM vreach GROUP BY id""".replace("WITH ", "WITH RECURSIVE ", 1))
+SELECT id, min(c) AS component FROM vreach GROUP BY id""").replace("WITH ", "WITH RECURSIVE ", 1))
 def vector_components(spark, d):
     reps, copies = _vec_reps(spark, d)
     pairs = band_pairs(reps, 1, plan_bands(reps.count(), 64, S.T_VEC))

@@ -49,7 +49,7 @@ def signed(x: str) -> str:
 
 
 def dist(a: str, b: str, n_words: int) -> str:
-    return " + ".join(f"bit_count(xor({a}.w{i}, {b}.w{i}))" for i in range(n_words))
+    return " + ".join(f"CAST(bit_count(xor({a}.w{i}, {b}.w{i})) AS INTEGER)" for i in range(n_words))
 
 
 def one_decimal(x: str) -> str:
@@ -163,8 +163,8 @@ FROM m WHERE id % {FX.LISTING_MISSING_EVERY} <> 0""")
 
 # vectors (B3)
 cte("vfp", (), """
-SELECT vec_id, list_reduce(list_transform(range(64), i -> CASE WHEN embedding[i + 1] >= list_sort(embedding)[33]
-                 THEN (1::UBIGINT << (63 - i)) ELSE 0::UBIGINT END), (x, y) -> x | y) AS w0
+SELECT vec_id, list_reduce(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] >= list_sort(embedding)[33]
+                 THEN (1::UBIGINT << (63 - i)) ELSE 0::UBIGINT END), lambda x, y: x | y) AS w0
 FROM embeddings WHERE len(embedding) = 64""")
 cte("vreps", ("vfp",), "SELECT w0, min(vec_id) AS rep FROM vfp GROUP BY w0")
 cte("vcopies", ("vfp", "vreps"), "SELECT v.vec_id AS id, r.rep FROM vfp v JOIN vreps r USING (w0) WHERE v.vec_id <> r.rep")
