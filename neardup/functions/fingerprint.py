@@ -57,5 +57,58 @@ def vector_fingerprint(embedding: str, dims: int = 64) -> Column:
     e = embedding
     return F.expr(
         f"CASE WHEN size({e}) = {dims} THEN aggregate(sequence(0, {dims - 1}), 0L, (acc, i) -> acc | "
-        f"IF(element_at({e}, i + 1) >= element_at(array_sort({e}), {dims // 2 + 1}), "
+        f"IF(element_at({e}, i + 1) >= element_at(sort_array({e}), {dims // 2 + 1}), "
         f"shiftleft(1L, {dims - 1} - i), 0L)) END")
+
+
+# ---------------------------------------------------------------------------
+# image pHash (DCT hash, Zauner 2010): gray -> 64x64 area average -> 2-D DCT-II
+# -> top-left 16x16 block -> bit = coefficient > median of the block
+# ---------------------------------------------------------------------------
+PHASH_SIZE = 16
+PHASH_FACTOR = 4
+
+
+def _area_matrix(size: int, n: int) -> np.ndarray:
+    """(n, size) weights of an exact area (box) resample from ``size`` to ``n`` samples."""
+    edges = np.arange(n + 1) * (size / n)
+    j = np.arange(size)
+    lo = np.maximum(edges[:-1, None], j[None, :])
+    hi = np.minimum(edges[1:, None], j[None, :] + 1)
+    w = np.clip(hi - lo, 0.0, None)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def _dct_matrix(n: int) -> np.ndarray:
+    k = np.arange(n).reshape(-1, 1)
+    i = np.arange(n).reshape(1, -1)
+    return np.cos(np.pi * (2 * i + 1) * k / (2 * n))
+
+
+_DCT64 = _dct_matrix(PHASH_SIZE * PHASH_FACTOR)
+
+
+def _phash_one(data, height, width, channels) -> list | None:
+    if data is None or not height or not width or height <= 0 or width <= 0:
+        return None
+    px = np.frombuffer(data, dtype=np.uint8).astype(np.float64)
+    if px.size != height * width * channels:
+        return None
+    px = px.reshape(height, width, channels)
+    if channels >= 3:   # Spark's image source stores B, G, R(, A)
+        gray = px[:, :, 2] * 0.299 + px[:, :, 1] * 0.587 + px[:, :, 0] * 0.114
+    else:
+        gray = px[:, :, 0]
+    n = PHASH_SIZE * PHASH_FACTOR
+    small = _area_matrix(height, n) @ gray @ _area_matrix(width, n).T
+    coeff = (_DCT64 @ small @ _DCT64.T)[:PHASH_SIZE, :PHASH_SIZE]
+    coeff = np.round(coeff, 6)       # flat pictures: keep float noise out of the bits
+    bits = (coeff > np.median(coeff)).reshape(-1)
+    return np.packbits(bits).view(">i8").astype(np.int64).tolist()
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def phash_words(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
+    """256-bit DCT perceptual hash of decoded pixels as four words, MSB first."""
+    return pd.Series([_phash_one(d, h, w, c) for d, h, w, c in zip(data, height, width, channels)],
+                     dtype=object)

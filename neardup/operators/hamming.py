@@ -144,8 +144,13 @@ def make_band_plan(bits: int, threshold: int, m: int, n: int = 1) -> BandPlan:
     return BandPlan(bits, threshold, bands, r, probes, cands)
 
 
+def _min_bands(bits: int) -> int:
+    return -(-bits // 63)           # every band must fit a BIGINT
+
+
 def pigeonhole_plan(bits: int, threshold: int) -> BandPlan:
-    return make_band_plan(bits, threshold, min(bits, threshold + 1))
+    """``t + 1`` exact bands (radius 0), or more when needed to fit 63-bit keys."""
+    return make_band_plan(bits, threshold, min(bits, max(threshold + 1, _min_bands(bits))))
 
 
 def plan_bands(n: int, bits: int, threshold: int, max_probes: int = 20000) -> BandPlan:
@@ -155,7 +160,8 @@ def plan_bands(n: int, bits: int, threshold: int, max_probes: int = 20000) -> Ba
     assuming uniform bits. Bands must fit a BIGINT (<= 63 bits).
     """
     best = None
-    for m in range(max(1, -(-bits // 63)), min(bits, threshold + 1) + 1):
+    lo = _min_bands(bits)
+    for m in range(lo, max(lo, min(bits, threshold + 1)) + 1):
         p = make_band_plan(bits, threshold, m, n)
         if p.probes_per_row > max_probes:
             continue

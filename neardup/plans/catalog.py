@@ -22,6 +22,7 @@ from neardup.operators.hamming import (band_pairs, collapse, lsh_buckets, lsh_pa
 from neardup.plans import sql as S
 from neardup.plans.pipeline import GROUP_COLUMNS, find_duplicates, perceptual_candidates
 from neardup.sources import fixtures as FX
+from neardup.session import cut_lineage
 from neardup.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,8 +55,9 @@ def _groups_all(spark, d, mode="both") -> DataFrame:
 
 
 def _cand(spark, d) -> DataFrame:
+    """Near-duplicate candidates, fingerprinted once and pinned (several actions read them)."""
     v = _valid(spark, d)
-    return perceptual_candidates(v, exact_hash_groups(v))
+    return cut_lineage(perceptual_candidates(v, exact_hash_groups(v)).select("id", "path", "file_hash", "fp"))
 
 
 def _text_reps(spark, d):
@@ -63,7 +65,7 @@ def _text_reps(spark, d):
 
 
 def _vec_reps(spark, d):
-    v = FX.fp_vec(spark, d).select(F.col("vec_id").alias("id"), "fp")
+    v = cut_lineage(FX.fp_vec(spark, d).select(F.col("vec_id").alias("id"), "fp"))
     return collapse(v)
 
 
