@@ -245,6 +245,46 @@ def _position_masks(positions, n_words: int) -> list[list[int]]:
     return out
 
 
+def _masked_keys(word_cols: list[str], positions, n_words: int) -> Column:
+    """Per table, the fingerprint words ANDed with the table's position masks.
+
+    Equal masked words <=> equal sampled bits, so these serve as the bucket
+    identity in joins without packing bits one by one.
+    """
+    masks = _position_masks(positions, n_words)
+    return F.array(*[F.struct(*[F.col(w).bitwiseAND(F.lit(m[k])).alias(f"k{k}") for k, w in enumerate(word_cols)])
+                     for m in masks])
+
+
+def _lsh_side(df: DataFrame, id_name: str, names: list[str], positions, n_words: int,
+              rep_col: str, fp_col: str) -> DataFrame:
+    base = with_words(df.select(F.col(rep_col).alias(id_name), fp_col), fp_col, n_words)
+    base = base.select(id_name, *[F.col(f"w{i}").alias(n) for i, n in enumerate(names)],
+                       _masked_keys(word_names("w", n_words), positions, n_words).alias("_keys"))
+    ex = base.select(id_name, *names, F.posexplode("_keys").alias("table_idx", "_k"))
+    return ex.select(id_name, *names, "table_idx", *[F.col(f"_k.k{k}").alias(f"k{k}") for k in range(n_words)])
+
+
+def _first_collision(aw: list[str], bw: list[str], positions, n_words: int) -> Column:
+    first = None
+    for i, masks in enumerate(_position_masks(positions, n_words)):
+        cond = None
+        for a, b, m in zip(aw, bw, masks):
+            if m == 0:
+                continue
+            c = F.col(a).bitwiseXOR(F.col(b)).bitwiseAND(F.lit(m)) == 0
+            cond = c if cond is None else cond & c
+        first = F.when(cond, F.lit(i)) if first is None else first.when(cond, F.lit(i))
+    return first
+
+
+def _key_match(left: DataFrame, right: DataFrame, n_words: int) -> Column:
+    cond = left["table_idx"] == right["table_idx"]
+    for k in range(n_words):
+        cond = cond & (left[f"k{k}"] == right[f"k{k}"])
+    return cond
+
+
 def lsh_pairs(reps: DataFrame, n_words: int, positions, threshold: int | None,
               rep_col: str = "rep", fp_col: str = "fp") -> DataFrame:
     """Pairs (src < dst) colliding in at least one table, each once.
@@ -253,20 +293,11 @@ def lsh_pairs(reps: DataFrame, n_words: int, positions, threshold: int | None,
     join; without it every distinct candidate pair is returned (``distance`` too).
     """
     aw, bw = word_names("a", n_words), word_names("b", n_words)
-    base = with_words(reps.select(F.col(rep_col).alias("id"), fp_col), fp_col, n_words)
-    base = base.select("id", *word_names("w", n_words),
-                       lsh_keys(word_names("w", n_words), positions).alias("_keys"))
-    left = base.select(F.col("id").alias("src"), *[F.col(f"w{i}").alias(a) for i, a in enumerate(aw)],
-                       F.posexplode("_keys").alias("table_idx", "key"))
-    right = base.select(F.col("id").alias("dst"), *[F.col(f"w{i}").alias(b) for i, b in enumerate(bw)],
-                        F.posexplode("_keys").alias("table_idx", "key"))
-    first = None
-    for i, masks in enumerate(_position_masks(positions, n_words)):
-        cond = masked_distance(aw, bw, masks) == 0
-        first = F.when(cond, F.lit(i)) if first is None else first.when(cond, F.lit(i))
+    left = _lsh_side(reps, "src", aw, positions, n_words, rep_col, fp_col)
+    right = _lsh_side(reps, "dst", bw, positions, n_words, rep_col, fp_col)
     d = distance(aw, bw)
-    cond = ((left["table_idx"] == right["table_idx"]) & (left["key"] == right["key"])
-            & (F.col("src") < F.col("dst")) & (first == left["table_idx"]))
+    cond = (_key_match(left, right, n_words) & (F.col("src") < F.col("dst"))
+            & (_first_collision(aw, bw, positions, n_words) == left["table_idx"]))
     if threshold is not None:
         cond = cond & (d <= threshold)
     return left.join(right, cond).select("src", "dst", d.alias("distance"))
@@ -324,21 +355,10 @@ def lsh_probe(probes: DataFrame, index_reps: DataFrame, n_words: int, positions,
               rep_col: str = "rep", fp_col: str = "fp") -> DataFrame:
     """(probe, id): index rows sharing at least one bucket with each probe, each pair once."""
     aw, bw = word_names("a", n_words), word_names("b", n_words)
-
-    def keyed(df, idc, names):
-        base = with_words(df.select(F.col(rep_col).alias(idc), fp_col), fp_col, n_words)
-        base = base.select(idc, *[F.col(f"w{i}").alias(n) for i, n in enumerate(names)],
-                           lsh_keys(word_names("w", n_words), positions).alias("_keys"))
-        return base.select(idc, *names, F.posexplode("_keys").alias("table_idx", "key"))
-
-    left = size_checked_broadcast(keyed(probes, "probe", aw))
-    right = keyed(index_reps, "id", bw)
-    first = None
-    for i, masks in enumerate(_position_masks(positions, n_words)):
-        cond = masked_distance(aw, bw, masks) == 0
-        first = F.when(cond, F.lit(i)) if first is None else first.when(cond, F.lit(i))
-    cond = ((left["table_idx"] == right["table_idx"]) & (left["key"] == right["key"])
-            & (first == left["table_idx"]))
+    left = size_checked_broadcast(_lsh_side(probes, "probe", aw, positions, n_words, rep_col, fp_col))
+    right = _lsh_side(index_reps, "id", bw, positions, n_words, rep_col, fp_col)
+    cond = _key_match(left, right, n_words) & (
+        _first_collision(aw, bw, positions, n_words) == left["table_idx"])
     return left.join(right, cond).select("probe", "id", distance(aw, bw).alias("distance"))
 
 

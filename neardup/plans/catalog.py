@@ -670,3 +670,17 @@ SELECT CAST(count(*) AS BIGINT) AS total_entries, CAST(count(DISTINCT path) AS B
 def store_stats(spark, d):
     store, _ = _store_listing(spark, d)
     return ST.stats(store)
+
+
+@register("perceptual_only", S.with_ctes("groups_po") + f"""
+SELECT {_G.replace('is_best', 'member_rank = 1 AS is_best')} FROM groups_po""")
+def perceptual_only(spark, d):
+    return _groups_all(spark, d, mode="perceptual_only").select(*GROUP_COLUMNS)
+
+
+@register("find_duplicates_lsh", S.with_ctes("groups_lsh") + f"""
+SELECT {_G.replace('is_best', 'member_rank = 1 AS is_best')} FROM groups_lsh""")
+def find_duplicates_lsh(spark, d):
+    g = find_duplicates(FX.manifest_docs(spark, d), threshold=S.T_TEXT, use_lsh=True,
+                        lsh_params_override=(S.LSH_TABLES, S.LSH_BITS))
+    return g.select(*GROUP_COLUMNS)

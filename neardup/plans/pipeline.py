@@ -30,15 +30,21 @@ def perceptual_candidates(manifest: DataFrame, hash_groups: DataFrame | None) ->
 
 
 def similar_pairs(candidates: DataFrame, threshold: int, bits: int = 256,
-                  use_lsh: bool | None = None, n: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pairs(src, dst, distance) between distinct fingerprints, copies(id, rep))."""
+                  use_lsh: bool | None = None, n: int | None = None,
+                  lsh_params_override: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs(src, dst, distance) between distinct fingerprints, copies(id, rep)).
+
+    The LSH size tier is chosen from the number of distinct fingerprints unless
+    ``lsh_params_override`` = (tables, bits per table) is given.
+    """
     n_words = bits // 64
     reps, copies = collapse(candidates)
     if n is None:
         n = reps.count()
     strat = choose_strategy(n, bits, threshold, use_lsh)
     if strat.kind == "lsh":
-        pos = lsh_positions(strat.tables, strat.bits_per_table, bits)
+        tables, k = lsh_params_override or (strat.tables, strat.bits_per_table)
+        pos = lsh_positions(tables, k, bits)
         pairs = lsh_pairs(reps, n_words, pos, threshold)
     else:
         pairs = band_pairs(reps, n_words, strat.band_plan)
@@ -46,9 +52,10 @@ def similar_pairs(candidates: DataFrame, threshold: int, bits: int = 256,
 
 
 def perceptual_components(candidates: DataFrame, threshold: int, bits: int = 256,
-                          use_lsh: bool | None = None) -> DataFrame:
+                          use_lsh: bool | None = None,
+                          lsh_params_override: tuple[int, int] | None = None) -> DataFrame:
     """(id, component) for candidates that have at least one similar row."""
-    pairs, copies = similar_pairs(candidates, threshold, bits, use_lsh)
+    pairs, copies = similar_pairs(candidates, threshold, bits, use_lsh, lsh_params_override=lsh_params_override)
     edges = pairs.select("src", "dst").unionByName(
         copies.select(F.col("id").alias("src"), F.col("rep").alias("dst")))
     return connected_components(edges)
@@ -56,7 +63,7 @@ def perceptual_components(candidates: DataFrame, threshold: int, bits: int = 256
 
 def find_duplicates(manifest: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, mode: str = "both",
                     use_lsh: bool | None = None, bits: int = 256, strategy: str = "quality",
-                    valid_only: bool = True) -> DataFrame:
+                    valid_only: bool = True, lsh_params_override: tuple[int, int] | None = None) -> DataFrame:
     """Groups table (one row per member): GROUP_COLUMNS + id, mtime.
 
     Exact groups come first (ids from 1, ordered by their smallest path), then
@@ -79,7 +86,7 @@ def find_duplicates(manifest: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, m
                                F.col("file_hash").alias("gkey"), "first_path"))
     if mode != "exact_only":
         cand = perceptual_candidates(m, hash_groups)
-        comps = perceptual_components(cand, threshold, bits, use_lsh)
+        comps = perceptual_components(cand, threshold, bits, use_lsh, lsh_params_override)
         pm = cand.join(comps, "id")
         first = pm.groupBy("component").agg(F.min("path").alias("first_path"))
         pm = pm.join(first, "component")

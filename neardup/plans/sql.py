@@ -127,7 +127,8 @@ FROM reps a JOIN reps b ON a.rep < b.rep WHERE {dist('a', 'b', 4)} <= {T_TEXT}""
 cte("edges", ("pairs", "copies"), """
 SELECT src AS a, dst AS b FROM pairs UNION ALL SELECT dst, src FROM pairs
 UNION ALL SELECT id, rep FROM copies UNION ALL SELECT rep, id FROM copies""")
-CTES["reach"] = (("edges",), None)   # recursive, emitted specially
+CTES["reach"] = (("edges",), "RECURSIVE:reach(id, c) AS (SELECT a, a FROM edges UNION "
+                            "SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.id)")
 cte("comp", ("reach",), "SELECT id, min(c) AS component FROM reach GROUP BY id")
 cte("pm", ("cand", "comp"), "SELECT c.*, comp.component FROM cand c JOIN comp USING (id)")
 cte("pfirst", ("pm",), "SELECT component, min(path) AS first_path FROM pm GROUP BY component")
@@ -202,10 +203,58 @@ def with_ctes(*names: str) -> str:
         visit(n)
     parts, recursive = [], False
     for n in order:
-        if n == "reach":
+        body = CTES[n][1]
+        if body.startswith("RECURSIVE:"):
             recursive = True
-            parts.append("reach(id, c) AS (SELECT a, a FROM edges UNION "
-                         "SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.id)")
+            parts.append(body[len("RECURSIVE:"):])
         else:
-            parts.append(f"{n} AS ({CTES[n][1]})")
+            parts.append(f"{n} AS ({body})")
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
+
+
+def perceptual_chain(sfx: str, cand_deps: tuple, cand_body: str, pairs: str = "exact") -> None:
+    """Register cand/reps/copies/pairs/edges/reach/comp/groups CTEs suffixed ``sfx``.
+
+    ``pairs='exact'``: every representative pair within T_TEXT (nested loop);
+    ``pairs='lsh'``: only pairs colliding in one of the seeded LSH tables, verified.
+    """
+    c, r = f"cand{sfx}", f"reps{sfx}"
+    cte(c, cand_deps, cand_body)
+    cte(r, (c,), f"""
+SELECT rep, perceptual_hash, {', '.join(hex_word('perceptual_hash', i) + f' AS w{i}' for i in range(4))}
+FROM (SELECT perceptual_hash, min(id) AS rep FROM {c} GROUP BY perceptual_hash) r""")
+    cte(f"copies{sfx}", (c, r), f"SELECT x.id, y.rep FROM {c} x JOIN {r} y USING (perceptual_hash) WHERE x.id <> y.rep")
+    if pairs == "exact":
+        cte(f"pairs{sfx}", (r,), f"""
+SELECT a.rep AS src, b.rep AS dst FROM {r} a JOIN {r} b ON a.rep < b.rep WHERE {dist('a', 'b', 4)} <= {T_TEXT}""")
+    else:
+        keys = "\nUNION ALL\n".join(
+            f"SELECT {i} AS table_idx, CAST({lsh_key_sql('perceptual_hash', pos)} AS BIGINT) AS bucket_key, rep AS id FROM {r}"
+            for i, pos in enumerate(lsh_positions(LSH_TABLES, LSH_BITS, 256)))
+        cte(f"buckets{sfx}", (r,), keys)
+        cte(f"pairs{sfx}", (f"buckets{sfx}", r), f"""
+SELECT DISTINCT p.src, p.dst FROM (
+  SELECT a.id AS src, b.id AS dst FROM buckets{sfx} a JOIN buckets{sfx} b
+    ON a.table_idx = b.table_idx AND a.bucket_key = b.bucket_key AND a.id < b.id) p
+JOIN {r} a ON a.rep = p.src JOIN {r} b ON b.rep = p.dst WHERE {dist('a', 'b', 4)} <= {T_TEXT}""")
+    cte(f"edges{sfx}", (f"pairs{sfx}", f"copies{sfx}"), f"""
+SELECT src AS a, dst AS b FROM pairs{sfx} UNION ALL SELECT dst, src FROM pairs{sfx}
+UNION ALL SELECT id, rep FROM copies{sfx} UNION ALL SELECT rep, id FROM copies{sfx}""")
+    CTES[f"reach{sfx}"] = ((f"edges{sfx}",), f"RECURSIVE:reach{sfx}(id, c) AS (SELECT a, a FROM edges{sfx} UNION "
+                                           f"SELECT e.b, r.c FROM reach{sfx} r JOIN edges{sfx} e ON e.a = r.id)")
+    cte(f"comp{sfx}", (f"reach{sfx}",), f"SELECT id, min(c) AS component FROM reach{sfx} GROUP BY id")
+    cte(f"pm{sfx}", (c, f"comp{sfx}"), f"SELECT x.*, y.component FROM {c} x JOIN comp{sfx} y USING (id)")
+    cte(f"pfirst{sfx}", (f"pm{sfx}",), f"SELECT component, min(path) AS first_path FROM pm{sfx} GROUP BY component")
+    cte(f"perc_members{sfx}", (f"pm{sfx}", f"pfirst{sfx}"), f"""
+SELECT {_MEMBER}, 'perceptual' AS match_type, CAST(component AS VARCHAR) AS gkey, pfirst{sfx}.first_path, 1 AS t
+FROM pm{sfx} JOIN pfirst{sfx} USING (component)""")
+
+
+# perceptual_only: every valid row with a fingerprint, nothing excluded
+perceptual_chain("_po", ("valid",), "SELECT * FROM valid WHERE perceptual_hash IS NOT NULL")
+cte("groups_po", ("perc_members_po",), ranked("perc_members_po"))
+# whole pipeline with the LSH strategy forced
+perceptual_chain("_lsh", ("cand",), "SELECT * FROM cand", pairs="lsh")
+cte("all_members_lsh", ("exact_members", "perc_members_lsh"),
+    "SELECT * FROM exact_members UNION ALL SELECT * FROM perc_members_lsh")
+cte("groups_lsh", ("all_members_lsh",), ranked("all_members_lsh"))
