@@ -363,15 +363,15 @@ def lsh_probe(probes: DataFrame, index_reps: DataFrame, n_words: int, positions,
 
 
 def lsh_index_stats(buckets: DataFrame, tables: int, bits_per_table: int) -> DataFrame:
-    per = buckets.groupBy("table_idx", "bucket_key").agg(F.count(F.lit(1)).alias("n"))
-    items = buckets.agg(F.countDistinct("id").cast("bigint").alias("total_items"))
-    b = per.agg(F.count(F.lit(1)).cast("bigint").alias("non_empty_buckets"),
-                F.coalesce(F.sum("n"), F.lit(0)).alias("_items"))
-    return (items.crossJoin(b).select(
+    """Tables, bits, items, non-empty buckets and mean bucket size, in one aggregate."""
+    s = buckets.agg(F.countDistinct("id").cast("bigint").alias("total_items"),
+                    F.countDistinct("table_idx", "bucket_key").cast("bigint").alias("non_empty_buckets"),
+                    F.count(F.lit(1)).alias("_items"))
+    return s.select(
         F.lit(tables).alias("num_tables"), F.lit(bits_per_table).alias("bits_per_table"), "total_items",
         "non_empty_buckets",
         F.round(F.col("_items").cast("double") / F.greatest(F.lit(1), F.col("non_empty_buckets")), 6)
-        .alias("avg_bucket_size")))
+        .alias("avg_bucket_size"))
 
 
 def lsh_estimate(buckets: DataFrame) -> DataFrame:
@@ -381,10 +381,13 @@ def lsh_estimate(buckets: DataFrame) -> DataFrame:
 
 
 def lsh_run_stats(reps: DataFrame, candidate_pairs: DataFrame, threshold: int) -> DataFrame:
-    n = reps.agg(F.count(F.lit(1)).cast("bigint").alias("total_images"))
-    c = candidate_pairs.agg(F.count(F.lit(1)).cast("bigint").alias("total_comparisons"),
-                            F.count_if(F.col("distance") <= threshold).cast("bigint").alias("duplicate_pairs_found"))
-    j = n.crossJoin(c)
+    """Items, candidates, comparisons, verified pairs, mean candidates and reduction (one aggregate)."""
+    u = reps.select(F.lit(True).alias("_rep"), F.lit(None).cast("int").alias("distance")).unionByName(
+        candidate_pairs.select(F.lit(False).alias("_rep"), "distance"))
+    j = u.agg(F.count_if(F.col("_rep")).cast("bigint").alias("total_images"),
+              F.count_if(~F.col("_rep")).cast("bigint").alias("total_comparisons"),
+              F.count_if(~F.col("_rep") & (F.col("distance") <= threshold)).cast("bigint")
+              .alias("duplicate_pairs_found"))
     nn, cc = F.col("total_images"), F.col("total_comparisons")
     brute = F.expr("total_images * (total_images - 1) div 2")
     return j.select(

@@ -37,15 +37,23 @@ def group_stats(groups: DataFrame) -> DataFrame:
 
 
 def scan_summary(manifest: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row: files, errors, exact/similar groups and their member counts."""
-    g = groups.agg(
-        F.countDistinct(F.when(F.col("match_type") == "exact", F.col("group_id"))).cast("bigint").alias("exact_groups"),
-        F.countDistinct(F.when(F.col("match_type") == "perceptual", F.col("group_id"))).cast("bigint").alias("similar_groups"),
-        F.count_if(F.col("match_type") == "exact").cast("bigint").alias("exact_files"),
-        F.count_if(F.col("match_type") == "perceptual").cast("bigint").alias("similar_files"))
-    m = manifest.agg(F.count(F.lit(1)).cast("bigint").alias("total_files"),
-                     F.count("error").cast("bigint").alias("errors"))
-    return m.crossJoin(g).withColumn("total_groups", F.col("exact_groups") + F.col("similar_groups"))
+    """One row: files, errors, exact/similar groups and their member counts.
+
+    Both inputs are tagged and unioned, so one aggregate produces the row (no join).
+    """
+    m = manifest.select(F.lit(True).alias("_m"), F.col("error"),
+                        F.lit(None).cast("bigint").alias("group_id"), F.lit(None).cast("string").alias("match_type"))
+    g = groups.select(F.lit(False).alias("_m"), F.lit(None).cast("string").alias("error"), "group_id", "match_type")
+    u = m.unionByName(g)
+    ex, pe = F.col("match_type") == "exact", F.col("match_type") == "perceptual"
+    out = u.agg(
+        F.count_if(F.col("_m")).cast("bigint").alias("total_files"),
+        F.count_if(F.col("_m") & F.col("error").isNotNull()).cast("bigint").alias("errors"),
+        F.countDistinct(F.when(ex, F.col("group_id"))).cast("bigint").alias("exact_groups"),
+        F.countDistinct(F.when(pe, F.col("group_id"))).cast("bigint").alias("similar_groups"),
+        F.count_if(ex).cast("bigint").alias("exact_files"),
+        F.count_if(pe).cast("bigint").alias("similar_files"))
+    return out.withColumn("total_groups", F.col("exact_groups") + F.col("similar_groups"))
 
 
 def report_lines(groups: DataFrame) -> DataFrame:
