@@ -170,17 +170,36 @@ def plan_bands(n: int, bits: int, threshold: int, max_probes: int = 20000) -> Ba
     return best or pigeonhole_plan(bits, threshold)
 
 
-def band_pairs(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "rep",
+def _with_comp(base: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return base.withColumn("_comp", F.col("id"))
+    c = comp.select(F.col("id"), F.col("component").alias("_c"))
+    return base.join(c, "id", "left").withColumn("_comp", F.coalesce("_c", "id")).drop("_c")
+
+
+def band_index(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "rep",
                fp_col: str = "fp") -> DataFrame:
-    """All pairs (src < dst) of ``reps`` within ``plan.threshold``: (src, dst, distance)."""
+    """Index rows (id, w0.., band, key): every representative under each exact band value."""
+    keys = F.array(*[extract_bits(word_names("w", n_words), s, e) for s, e in plan.bands])
+    base = with_words(reps.select(F.col(rep_col).alias("id"), fp_col), fp_col, n_words).drop(fp_col)
+    return base.select("id", *word_names("w", n_words), F.posexplode(keys).alias("band", "key"))
+
+
+def band_pairs(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "rep",
+               fp_col: str = "fp", comp: DataFrame | None = None) -> DataFrame:
+    """All pairs (src < dst) of ``reps`` within ``plan.threshold``: (src, dst, distance).
+
+    With ``comp`` (id, component) only pairs across different components are
+    emitted (used by the hot-bucket path of the component search).
+    """
     aw, bw = word_names("a", n_words), word_names("b", n_words)
     keys = F.array(*[extract_bits(word_names("w", n_words), s, e) for s, e in plan.bands])
     base = with_words(reps.select(F.col(rep_col).alias("id"), fp_col), fp_col, n_words).drop(fp_col)
-    base = base.select("id", *word_names("w", n_words), keys.alias("_keys"))
+    base = _with_comp(base.select("id", *word_names("w", n_words), keys.alias("_keys")), comp)
     index = base.select(F.col("id").alias("dst"), *[F.col(f"w{i}").alias(b) for i, b in enumerate(bw)],
-                        F.posexplode("_keys").alias("band", "key"))
+                        F.col("_comp").alias("dst_comp"), F.posexplode("_keys").alias("band", "key"))
     probe = base.select(F.col("id").alias("src"), *[F.col(f"w{i}").alias(a) for i, a in enumerate(aw)],
-                        F.posexplode("_keys").alias("band", "key0"))
+                        F.col("_comp").alias("src_comp"), F.posexplode("_keys").alias("band", "key0"))
     if plan.radius == 0:
         probe = probe.withColumnRenamed("key0", "key")
     else:
@@ -191,7 +210,7 @@ def band_pairs(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "re
         n_wide = sum(1 for s, e in plan.bands if e - s == wide)
         mask_arr = by_width[wide] if len(widths) == 1 else \
             F.when(F.col("band") < n_wide, by_width[wide]).otherwise(by_width[min(widths)])
-        probe = probe.select("src", *aw, "band",
+        probe = probe.select("src", *aw, "src_comp", "band",
                              F.explode(F.transform(mask_arr, lambda m: F.col("key0").bitwiseXOR(m))).alias("key"))
     # canonical band: the first band whose distance is within the radius
     first = None
@@ -201,6 +220,8 @@ def band_pairs(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "re
     d = distance(aw, bw)
     cond = ((probe["band"] == index["band"]) & (probe["key"] == index["key"])
             & (F.col("src") < F.col("dst")) & (d <= plan.threshold) & (first == probe["band"]))
+    if comp is not None:
+        cond = cond & (F.col("src_comp") != F.col("dst_comp"))
     return probe.join(index, cond).select("src", "dst", d.alias("distance"))
 
 
@@ -257,12 +278,21 @@ def _masked_keys(word_cols: list[str], positions, n_words: int) -> Column:
 
 
 def _lsh_side(df: DataFrame, id_name: str, names: list[str], positions, n_words: int,
-              rep_col: str, fp_col: str) -> DataFrame:
-    base = with_words(df.select(F.col(rep_col).alias(id_name), fp_col), fp_col, n_words)
-    base = base.select(id_name, *[F.col(f"w{i}").alias(n) for i, n in enumerate(names)],
+              rep_col: str, fp_col: str, comp: DataFrame | None = None) -> DataFrame:
+    base = with_words(df.select(F.col(rep_col).alias("id"), fp_col), fp_col, n_words)
+    base = _with_comp(base, comp)
+    base = base.select(F.col("id").alias(id_name), F.col("_comp").alias(f"{id_name}_comp"),
+                       *[F.col(f"w{i}").alias(n) for i, n in enumerate(names)],
                        _masked_keys(word_names("w", n_words), positions, n_words).alias("_keys"))
-    ex = base.select(id_name, *names, F.posexplode("_keys").alias("table_idx", "_k"))
-    return ex.select(id_name, *names, "table_idx", *[F.col(f"_k.k{k}").alias(f"k{k}") for k in range(n_words)])
+    ex = base.select(id_name, f"{id_name}_comp", *names, F.posexplode("_keys").alias("table_idx", "_k"))
+    return ex.select(id_name, f"{id_name}_comp", *names, "table_idx",
+                     *[F.col(f"_k.k{k}").alias(f"k{k}") for k in range(n_words)])
+
+
+def lsh_index(reps: DataFrame, n_words: int, positions, rep_col: str = "rep", fp_col: str = "fp") -> DataFrame:
+    """Index rows (id, w0.., table_idx, k0..): every representative under each table's bucket."""
+    side = _lsh_side(reps, "id", word_names("w", n_words), positions, n_words, rep_col, fp_col)
+    return side.drop("id_comp")
 
 
 def _first_collision(aw: list[str], bw: list[str], positions, n_words: int) -> Column:
@@ -286,20 +316,22 @@ def _key_match(left: DataFrame, right: DataFrame, n_words: int) -> Column:
 
 
 def lsh_pairs(reps: DataFrame, n_words: int, positions, threshold: int | None,
-              rep_col: str = "rep", fp_col: str = "fp") -> DataFrame:
+              rep_col: str = "rep", fp_col: str = "fp", comp: DataFrame | None = None) -> DataFrame:
     """Pairs (src < dst) colliding in at least one table, each once.
 
     With ``threshold`` the pairs are verified (distance <= threshold) inside the
     join; without it every distinct candidate pair is returned (``distance`` too).
     """
     aw, bw = word_names("a", n_words), word_names("b", n_words)
-    left = _lsh_side(reps, "src", aw, positions, n_words, rep_col, fp_col)
-    right = _lsh_side(reps, "dst", bw, positions, n_words, rep_col, fp_col)
+    left = _lsh_side(reps, "src", aw, positions, n_words, rep_col, fp_col, comp)
+    right = _lsh_side(reps, "dst", bw, positions, n_words, rep_col, fp_col, comp)
     d = distance(aw, bw)
     cond = (_key_match(left, right, n_words) & (F.col("src") < F.col("dst"))
             & (_first_collision(aw, bw, positions, n_words) == left["table_idx"]))
     if threshold is not None:
         cond = cond & (d <= threshold)
+    if comp is not None:
+        cond = cond & (F.col("src_comp") != F.col("dst_comp"))
     return left.join(right, cond).select("src", "dst", d.alias("distance"))
 
 
@@ -355,8 +387,9 @@ def lsh_probe(probes: DataFrame, index_reps: DataFrame, n_words: int, positions,
               rep_col: str = "rep", fp_col: str = "fp") -> DataFrame:
     """(probe, id): index rows sharing at least one bucket with each probe, each pair once."""
     aw, bw = word_names("a", n_words), word_names("b", n_words)
-    left = size_checked_broadcast(_lsh_side(probes, "probe", aw, positions, n_words, rep_col, fp_col))
-    right = _lsh_side(index_reps, "id", bw, positions, n_words, rep_col, fp_col)
+    left = size_checked_broadcast(_lsh_side(probes, "probe", aw, positions, n_words, rep_col, fp_col)
+                                  .drop("probe_comp"))
+    right = _lsh_side(index_reps, "id", bw, positions, n_words, rep_col, fp_col).drop("id_comp")
     cond = _key_match(left, right, n_words) & (
         _first_collision(aw, bw, positions, n_words) == left["table_idx"])
     return left.join(right, cond).select("probe", "id", distance(aw, bw).alias("distance"))
@@ -440,3 +473,31 @@ def lsh_cost_columns(params: DataFrame) -> DataFrame:
     return out.select("*",
                       F.round(F.lit(1.0) - est.cast("double") / F.greatest(F.lit(1), bf), 6).alias("estimated_reduction"),
                       F.round(bf.cast("double") / F.greatest(F.lit(1), est), 6).alias("speedup_factor"))
+
+
+# ---------------------------------------------------------------------------
+# hot buckets
+# ---------------------------------------------------------------------------
+
+HOT_BUCKET_ROWS = 20_000
+
+
+def largest_bucket(index: DataFrame, bucket_cols: list[str]) -> int:
+    """Size of the fullest bucket (a partial aggregate, one small job)."""
+    return index.groupBy(*bucket_cols).count().agg(F.max("count")).first()[0] or 0
+
+
+def leader_edges(index: DataFrame, bucket_cols: list[str], n_words: int, threshold: int) -> DataFrame:
+    """(src, dst) for every bucket member within ``threshold`` of its bucket's leader (smallest id).
+
+    O(rows) edges however full a bucket is: the leader table has one row per
+    bucket, and AQE splits the member side of a hot bucket across tasks.
+    """
+    ww = word_names("w", n_words)
+    lw = word_names("l", n_words)
+    leaders = index.groupBy(*bucket_cols).agg(F.min("id").alias("leader"))
+    words = index.select(F.col("id").alias("leader"), *[F.col(w).alias(l) for w, l in zip(ww, lw)]) \
+        .dropDuplicates(["leader"])
+    lead = leaders.join(words, "leader")
+    j = index.join(lead, bucket_cols).where(F.col("id") != F.col("leader"))
+    return j.where(distance(ww, lw) <= threshold).select(F.col("id").alias("src"), F.col("leader").alias("dst"))

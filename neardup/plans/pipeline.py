@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from neardup import constants as C
 from neardup.operators.components import connected_components
 from neardup.operators.exact import exact_hash_groups, exact_members, exclude_exact
-from neardup.operators.hamming import (band_pairs, choose_strategy, collapse, lsh_pairs,
-                                       lsh_positions, validate_threshold)
+from neardup.operators.hamming import (HOT_BUCKET_ROWS, band_index, band_pairs, choose_strategy, collapse,
+                                       largest_bucket, leader_edges, lsh_index, lsh_pairs, lsh_positions,
+                                       validate_threshold)
 from neardup.operators.ranking import global_index
 from neardup.operators.selection import rank_members
 from neardup.session import cut_lineage
@@ -53,17 +54,49 @@ def similar_pairs(candidates: DataFrame, threshold: int, bits: int = 256,
 
 def perceptual_components(candidates: DataFrame, threshold: int, bits: int = 256,
                           use_lsh: bool | None = None,
-                          lsh_params_override: tuple[int, int] | None = None) -> DataFrame:
-    """(id, component) for candidates that have at least one similar row."""
-    pairs, copies = similar_pairs(candidates, threshold, bits, use_lsh, lsh_params_override=lsh_params_override)
-    edges = pairs.select("src", "dst").unionByName(
-        copies.select(F.col("id").alias("src"), F.col("rep").alias("dst")))
-    return connected_components(edges)
+                          lsh_params_override: tuple[int, int] | None = None,
+                          hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
+    """(id, component) for candidates that have at least one similar row.
+
+    When a bucket of the chosen index holds more than ``hot_bucket_rows``
+    fingerprints (a near-duplicate cluster holding a large share of all rows),
+    every member is first linked to its bucket leader when within the threshold,
+    components of those star edges are formed, and the pair join then emits only
+    pairs between different provisional components. Skipped pairs join nodes that
+    are already connected, so the components are exact while the number of
+    emitted edges stays linear in the cluster.
+    """
+    n_words = bits // 64
+    reps, copies = collapse(candidates)
+    reps = cut_lineage(reps)
+    n = reps.count()
+    strat = choose_strategy(n, bits, threshold, use_lsh)
+    if strat.kind == "lsh":
+        tables, k = lsh_params_override or (strat.tables, strat.bits_per_table)
+        pos = lsh_positions(tables, k, bits)
+        index, cols = lsh_index(reps, n_words, pos), ["table_idx", *[f"k{i}" for i in range(n_words)]]
+
+        def pairs_fn(comp):
+            return lsh_pairs(reps, n_words, pos, threshold, comp=comp)
+    else:
+        index, cols = band_index(reps, n_words, strat.band_plan), ["band", "key"]
+
+        def pairs_fn(comp):
+            return band_pairs(reps, n_words, strat.band_plan, comp=comp)
+    copy_edges = copies.select(F.col("id").alias("src"), F.col("rep").alias("dst"))
+    if largest_bucket(index, cols) > hot_bucket_rows:
+        stars = cut_lineage(leader_edges(index, cols, n_words, threshold))
+        provisional = connected_components(stars)
+        edges = stars.unionByName(pairs_fn(provisional).select("src", "dst"))
+    else:
+        edges = pairs_fn(None).select("src", "dst")
+    return connected_components(edges.unionByName(copy_edges))
 
 
 def find_duplicates(manifest: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, mode: str = "both",
                     use_lsh: bool | None = None, bits: int = 256, strategy: str = "quality",
-                    valid_only: bool = True, lsh_params_override: tuple[int, int] | None = None) -> DataFrame:
+                    valid_only: bool = True, lsh_params_override: tuple[int, int] | None = None,
+                    hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
     """Groups table (one row per member): GROUP_COLUMNS + id, mtime.
 
     Exact groups come first (ids from 1, ordered by their smallest path), then
@@ -86,7 +119,7 @@ def find_duplicates(manifest: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, m
                                F.col("file_hash").alias("gkey"), "first_path"))
     if mode != "exact_only":
         cand = perceptual_candidates(m, hash_groups)
-        comps = perceptual_components(cand, threshold, bits, use_lsh, lsh_params_override)
+        comps = perceptual_components(cand, threshold, bits, use_lsh, lsh_params_override, hot_bucket_rows)
         pm = cand.join(comps, "id")
         first = pm.groupBy("component").agg(F.min("path").alias("first_path"))
         pm = pm.join(first, "component")

@@ -128,3 +128,29 @@ def test_report_and_export(spark, manifest, scratch):
     nested = REP.groups_nested(g).where("group_id = 1").first()
     assert nested.best_path == "/p/a2.png" and nested.potential_savings == 2500
     assert [m.path for m in nested.images] == ["/p/a2.png", "/p/a3.png", "/p/a1.png"]
+
+
+def test_hot_bucket_path_gives_same_groups(spark):
+    import random as _r
+    rng = _r.Random(11)
+    base = rng.getrandbits(256)
+    rows = []
+    for i in range(120):                          # one dense cluster sharing most band values
+        v = base
+        for _ in range(rng.randint(0, 6)):
+            v ^= 1 << rng.randrange(256)
+        rows.append(row(i, f"/c/{i:03d}.png", 100 + i, float(i % 7), f"h{i}", fp(v)))
+    for i in range(120, 160):                     # unrelated rows
+        rows.append(row(i, f"/u/{i:03d}.png", 100, 1.0, f"h{i}", fp(rng.getrandbits(256))))
+    m = spark.createDataFrame(rows, SCHEMA)
+
+    def groups(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r.group_id, set()).add(r.path)
+        return sorted(map(sorted, out.values()))
+
+    for lsh in (False, True):
+        normal = groups(find_duplicates(m, threshold=8, use_lsh=lsh))
+        hot = groups(find_duplicates(m, threshold=8, use_lsh=lsh, hot_bucket_rows=2))
+        assert normal == hot and len(normal[0]) > 100
