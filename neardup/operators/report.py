@@ -106,3 +106,17 @@ def groups_nested(groups: DataFrame, choices: DataFrame | None = None) -> DataFr
     return g.select("group_id", "match_type", "image_count", "images", "best_path",
                     F.coalesce("selected_keep", "best_path").alias("selected_keep"),
                     "potential_savings", format_size("potential_savings").alias("potential_savings_formatted"))
+
+
+def write_json(groups: DataFrame, path: str, choices: DataFrame | None = None) -> None:
+    """Nested group documents, one JSON object per line."""
+    groups_nested(groups, choices).write.mode("overwrite").json(path)
+
+
+def read_json(spark, path: str) -> DataFrame:
+    """Read nested group documents back; missing keys come back as NULL."""
+    schema = ("group_id BIGINT, match_type STRING, image_count BIGINT, "
+              "images ARRAY<STRUCT<rank: INT, path: STRING, filename: STRING, file_size: BIGINT, "
+              "file_size_formatted: STRING, width: INT, height: INT, quality_score: DOUBLE>>, "
+              "best_path STRING, selected_keep STRING, potential_savings BIGINT, potential_savings_formatted STRING")
+    return spark.read.schema(schema).json(path)

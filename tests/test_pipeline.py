@@ -125,6 +125,9 @@ def test_report_and_export(spark, manifest, scratch):
     REP.write_csv(g, scratch + "/csv")
     text = spark.read.csv(scratch + "/csv", header=True)
     assert text.count() == 5 and set(text.columns) >= {"group_id", "status", "quality_score"}
+    REP.write_json(g, scratch + "/json")
+    back = REP.read_json(spark, scratch + "/json")
+    assert back.count() == 2 and back.where("group_id = 1").first().image_count == 3
     nested = REP.groups_nested(g).where("group_id = 1").first()
     assert nested.best_path == "/p/a2.png" and nested.potential_savings == 2500
     assert [m.path for m in nested.images] == ["/p/a2.png", "/p/a3.png", "/p/a1.png"]
