@@ -134,6 +134,18 @@ class SnapshotStore:
         fs.rename(tmp, final)
         return target
 
+    def disk_stats(self) -> DataFrame | None:
+        """(total_entries, files, bytes, megabytes) of the current snapshot, from file metadata."""
+        df = self.read()
+        if df is None:
+            return None
+        per_file = (df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b"))
+                    .groupBy("f").agg(F.count(F.lit(1)).alias("rows"), F.max("b").alias("bytes")))
+        return per_file.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("total_entries"),
+                            F.count(F.lit(1)).cast("bigint").alias("files"),
+                            F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes")) \
+            .withColumn("megabytes", F.round(F.col("bytes") / F.lit(1024.0 * 1024.0), 2))
+
     def compact(self, files: int = 1) -> str | None:
         df = self.read()
         return self.write(df, files) if df is not None else None

@@ -84,7 +84,8 @@ def perceptual_components(candidates: DataFrame, threshold: int, bits: int = 256
         def pairs_fn(comp):
             return band_pairs(reps, n_words, strat.band_plan, comp=comp)
     copy_edges = copies.select(F.col("id").alias("src"), F.col("rep").alias("dst"))
-    if largest_bucket(index, cols) > hot_bucket_rows:
+    # no bucket can outgrow the number of fingerprints: skip the measuring job then
+    if n > hot_bucket_rows and largest_bucket(index, cols) > hot_bucket_rows:
         stars = cut_lineage(leader_edges(index, cols, n_words, threshold))
         provisional = connected_components(stars)
         edges = stars.unionByName(pairs_fn(provisional).select("src", "dst"))

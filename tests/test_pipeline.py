@@ -157,3 +157,10 @@ def test_hot_bucket_path_gives_same_groups(spark):
         normal = groups(find_duplicates(m, threshold=8, use_lsh=lsh))
         hot = groups(find_duplicates(m, threshold=8, use_lsh=lsh, hot_bucket_rows=2))
         assert normal == hot and len(normal[0]) > 100
+
+
+def test_fewer_than_two_candidates(spark, manifest):
+    empty = manifest.limit(0)
+    assert find_duplicates(empty, threshold=4).count() == 0
+    one = manifest.where("id = 6")
+    assert find_duplicates(one, threshold=64, mode="perceptual_only").count() == 0

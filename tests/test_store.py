@@ -62,6 +62,8 @@ def test_snapshot_store(spark, scratch):
     assert s.read() is None
     first = s.write(store_rows(spark))
     assert s.current() == first and s.read().count() == 4
+    st = s.disk_stats().first()
+    assert st.total_entries == 4 and st.files >= 1 and st.bytes > 0
     second = s.write(ST.invalidate_prefix(s.read(), "/d"))
     assert s.current() == second and s.read().count() == 1
     s.compact(1)
