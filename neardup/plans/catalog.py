@@ -55,9 +55,13 @@ def _groups_all(spark, d, mode="both") -> DataFrame:
 
 
 def _cand(spark, d) -> DataFrame:
-    """Near-duplicate candidates, fingerprinted once and pinned (several actions read them)."""
-    v = _valid(spark, d)
-    return cut_lineage(perceptual_candidates(v, exact_hash_groups(v)).select("id", "path", "file_hash", "fp"))
+    """Near-duplicate candidates; the fingerprints are computed once and pinned first.
+
+    Pinning before any filter on ``fp`` matters: Catalyst would push such a filter
+    below the parallelising repartition and evaluate the UDF twice.
+    """
+    v = cut_lineage(_valid(spark, d).select("id", "path", "file_hash", "fp"))
+    return perceptual_candidates(v, exact_hash_groups(v))
 
 
 def _text_reps(spark, d):
@@ -173,7 +177,7 @@ SELECT doc_id, {', '.join(S.signed(S.hex_word('perceptual_hash', i)) + f' AS w{i
        'g' || substr(perceptual_hash, 2) AS broken_hash
 FROM fpx""")
 def fingerprint_parse(spark, d):
-    fp = FX.fp_docs(spark, d).where(F.col("fp").isNotNull())
+    fp = cut_lineage(FX.fp_docs(spark, d)).where(F.col("fp").isNotNull())   # pin before filtering on fp
     up = F.upper("perceptual_hash")
     broken = F.concat(F.lit("g"), F.substring("perceptual_hash", 2, 63))
     w = hex_to_words(up)
@@ -272,7 +276,7 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM m) AS total_files,
        CAST(count(DISTINCT group_id) AS BIGINT) AS total_groups
 FROM groups_all""")
 def scan_summary(spark, d):
-    m = FX.manifest_docs(spark, d)
+    m = FX.manifest_docs(spark, d, with_fp=False)
     return REP.scan_summary(m, _groups_all(spark, d))
 
 
@@ -446,8 +450,8 @@ def lsh_probe(spark, d):
     from neardup.operators.hamming import lsh_probe as probe_join
     reps, _ = _text_reps(spark, d)
     bench = spread(read_table(spark, d, "benchmark"))
-    probes = bench.select(F.col("item_id").alias("rep"), simhash_words("text").alias("fp")).where(
-        F.col("fp").isNotNull())
+    # no filter on fp here: rows without tokens have a NULL fp and match no bucket
+    probes = bench.select(F.col("item_id").alias("rep"), simhash_words("text").alias("fp"))
     return probe_join(probes, reps, 4, _LSH_POS).select(F.col("probe").alias("item_id"), F.col("id").alias("doc_id"))
 
 
