@@ -45,16 +45,18 @@ WINDOW_MAX_GROUP_ROWS = 1_000_000
 
 
 def rank_in_group(df: DataFrame, group_cols: list[str], order: list, rank_col: str = "rank",
-                  max_window_rows: int = WINDOW_MAX_GROUP_ROWS) -> DataFrame:
+                  max_window_rows: int = WINDOW_MAX_GROUP_ROWS, largest_group: int | None = None) -> DataFrame:
     """``row_number()`` within ``group_cols`` by ``order`` (which must break all ties).
 
     The largest group is measured first (a partial aggregate). While it stays
     within ``max_window_rows`` a partitioned window does the ranking in one
     shuffle; beyond that the rows are ranked by a global range-partitioned order,
     so a group holding a third of all rows is spread over many tasks and its
-    first position comes from a partially aggregated ``min``.
+    first position comes from a partially aggregated ``min``. A caller that
+    already knows the largest group size passes it as ``largest_group``.
     """
-    biggest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+    biggest = largest_group if largest_group is not None else (
+        df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0)
     if biggest <= max_window_rows:
         w = Window.partitionBy(*group_cols).orderBy(*order)
         return df.withColumn(rank_col, F.row_number().over(w).cast("int"))

@@ -24,9 +24,10 @@ def strategy_order(strategy: str) -> list[Column]:
     return [key, F.col("path").asc()]
 
 
-def rank_members(members: DataFrame, strategy: str = "quality", rank_col: str = "member_rank") -> DataFrame:
+def rank_members(members: DataFrame, strategy: str = "quality", rank_col: str = "member_rank",
+                 largest_group: int | None = None) -> DataFrame:
     """``rank_col`` = position of the member in its group under ``strategy`` (1 = keep)."""
-    return rank_in_group(members, ["group_id"], strategy_order(strategy), rank_col)
+    return rank_in_group(members, ["group_id"], strategy_order(strategy), rank_col, largest_group=largest_group)
 
 
 def selections(groups: DataFrame, strategy: str = "quality") -> DataFrame:

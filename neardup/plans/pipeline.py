@@ -127,9 +127,10 @@ def find_duplicates(manifest: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, m
         parts.append(pm.select(*_MEMBER_COLS, F.lit("perceptual").alias("match_type"),
                                F.col("component").cast("string").alias("gkey"), "first_path"))
     members = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    keys = members.select("match_type", "gkey", "first_path").distinct()
+    keys = members.groupBy("match_type", "gkey", "first_path").agg(F.count(F.lit(1)).alias("_n"))
     type_order = F.when(F.col("match_type") == "exact", F.lit(0)).otherwise(F.lit(1))
     ids = global_index(keys.withColumn("_t", type_order), ["_t", "first_path"], "group_id")
+    largest = ids.agg(F.max("_n")).first()[0] or 0      # read from the materialised group table
     g = members.join(ids.select("match_type", "gkey", "group_id"), ["match_type", "gkey"])
-    g = rank_members(g, strategy).withColumn("is_best", F.col("member_rank") == 1)
+    g = rank_members(g, strategy, largest_group=largest).withColumn("is_best", F.col("member_rank") == 1)
     return g.select(*GROUP_COLUMNS, "id", "mtime")
