@@ -21,18 +21,18 @@ def manifest_projection(manifest: DataFrame) -> DataFrame:
 def group_stats(groups: DataFrame) -> DataFrame:
     """Per match type and in total: duplicate files, groups, bytes beyond each keeper.
 
-    Waste excludes the best member by quality whatever the selection (rank 1 of
-    the quality order), as in the original report.
+    One ``rollup`` pass gives the per-type rows and the grand total. Waste
+    excludes the best member by quality whatever the selection, as in the
+    original report.
     """
-    per = groups.groupBy("match_type").agg(
-        F.sum(F.when(~F.col("is_best"), 1).otherwise(0)).cast("bigint").alias("total_duplicates"),
+    dupe = ~F.col("is_best")
+    out = groups.rollup("match_type").agg(
+        F.count_if(dupe).cast("bigint").alias("total_duplicates"),
         F.countDistinct("group_id").cast("bigint").alias("total_groups"),
-        F.sum(F.when(~F.col("is_best"), F.col("file_size")).otherwise(0)).cast("bigint").alias("total_waste"))
-    total = per.agg(F.lit("total").alias("match_type"),
-                    F.sum("total_duplicates").cast("bigint").alias("total_duplicates"),
-                    F.sum("total_groups").cast("bigint").alias("total_groups"),
-                    F.sum("total_waste").cast("bigint").alias("total_waste"))
-    out = per.unionByName(total)
+        F.coalesce(F.sum(F.when(dupe, F.col("file_size")).otherwise(0)), F.lit(0)).cast("bigint").alias("total_waste"),
+        F.grouping("match_type").alias("_total"))
+    out = out.select(F.when(F.col("_total") == 1, F.lit("total")).otherwise(F.col("match_type")).alias("match_type"),
+                     "total_duplicates", "total_groups", "total_waste")
     return out.withColumn("total_waste_formatted", format_size("total_waste"))
 
 
@@ -61,12 +61,13 @@ def report_lines(groups: DataFrame) -> DataFrame:
     head = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).select(
         "group_id", F.lit(0).alias("seq"), F.format_string("Group %d (%d files):", "group_id", "n").alias("line"))
     mark = F.when(F.col("is_best"), F.lit("  [KEEP] ")).otherwise(F.lit("  [DUPE] "))
-    first = groups.select("group_id", (F.col("member_rank") * 2 - 1).alias("seq"),
-                          F.concat(mark, "path").alias("line"))
-    detail = groups.select("group_id", (F.col("member_rank") * 2).alias("seq"), F.concat(
+    first = F.struct((F.col("member_rank") * 2 - 1).alias("seq"), F.concat(mark, "path").alias("line"))
+    detail = F.struct((F.col("member_rank") * 2).alias("seq"), F.concat(
         F.lit("         "), resolution("width", "height"), F.lit(" | "), format_size("file_size"),
         F.lit(" | Score: "), one_decimal("quality_score")).alias("line"))
-    return head.unionByName(first).unionByName(detail)
+    members = groups.select("group_id", F.explode(F.array(first, detail)).alias("l")).select(
+        "group_id", F.col("l.seq").alias("seq"), F.col("l.line").alias("line"))
+    return head.unionByName(members)
 
 
 def export_rows(groups: DataFrame) -> DataFrame:

@@ -97,13 +97,15 @@ def perceptual_components(candidates: DataFrame, threshold: int, bits: int = 256
 def find_duplicates(manifest: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, mode: str = "both",
                     use_lsh: bool | None = None, bits: int = 256, strategy: str = "quality",
                     valid_only: bool = True, lsh_params_override: tuple[int, int] | None = None,
-                    hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
+                    hot_bucket_rows: int = HOT_BUCKET_ROWS, materialize: bool = True) -> DataFrame:
     """Groups table (one row per member): GROUP_COLUMNS + id, mtime.
 
     Exact groups come first (ids from 1, ordered by their smallest path), then
     near-duplicate groups, whose members exclude every exact-group member unless
     ``mode='perceptual_only'``. ``member_rank`` orders each group under
-    ``strategy``; ``is_best`` marks rank 1.
+    ``strategy``; ``is_best`` marks rank 1. With ``materialize`` the table is
+    written under the checkpoint dir and read back, so reports, exports and
+    action plans built on it do not recompute the pipeline.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -133,4 +135,5 @@ def find_duplicates(manifest: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, m
     largest = ids.agg(F.max("_n")).first()[0] or 0      # read from the materialised group table
     g = members.join(ids.select("match_type", "gkey", "group_id"), ["match_type", "gkey"])
     g = rank_members(g, strategy, largest_group=largest).withColumn("is_best", F.col("member_rank") == 1)
-    return g.select(*GROUP_COLUMNS, "id", "mtime")
+    g = g.select(*GROUP_COLUMNS, "id", "mtime")
+    return cut_lineage(g) if materialize else g
