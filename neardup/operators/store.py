@@ -86,11 +86,12 @@ def stats(store: DataFrame) -> DataFrame:
 
 
 class SnapshotStore:
-    """A directory of Parquet snapshots plus a ``CURRENT`` pointer file.
+    """A directory of Parquet parts plus a ``CURRENT`` pointer file listing the live parts.
 
-    Writes go to a fresh ``snap-<time>-<uuid>`` directory; the pointer moves only
-    after the write succeeded. ``compact`` rewrites the current snapshot into
-    ``files`` files; ``drop_old`` removes snapshots other than the current one.
+    ``write`` replaces the store with one new part; ``append`` adds a part (an
+    incremental batch costs only its own rows); ``compact`` folds the live parts
+    into one; ``drop_old`` deletes parts no longer listed. The pointer moves only
+    after a part is fully written, so readers never see a half-written store.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -101,41 +102,63 @@ class SnapshotStore:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
 
-    def current(self) -> str | None:
+    def parts(self) -> list[str]:
         fs, jvm = self._fs()
         p = jvm.org.apache.hadoop.fs.Path(self.root + "/CURRENT")
         if not fs.exists(p):
-            return None
+            return []
         stream = fs.open(p)
         try:
             reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
-            return reader.readLine()
+            out = []
+            line = reader.readLine()
+            while line is not None:
+                if line.strip():
+                    out.append(line.strip())
+                line = reader.readLine()
+            return out
         finally:
             stream.close()
 
+    def current(self) -> str | None:
+        parts = self.parts()
+        return parts[-1] if parts else None
+
     def read(self) -> DataFrame | None:
-        cur = self.current()
-        return self.spark.read.parquet(cur) if cur else None
+        parts = self.parts()
+        return self.spark.read.parquet(*parts) if parts else None
 
-    def write(self, df: DataFrame, files: int | None = None) -> str:
+    def _new_part(self, df: DataFrame, files: int | None) -> str:
         stamp = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d%H%M%S")
         target = f"{self.root}/snap-{stamp}-{uuid.uuid4().hex[:8]}"
         (df.repartition(files) if files else df).write.mode("error").parquet(target)
+        return target
+
+    def _point(self, parts: list[str]) -> None:
         fs, jvm = self._fs()
         tmp = jvm.org.apache.hadoop.fs.Path(self.root + "/CURRENT.tmp")
         out = fs.create(tmp, True)
         try:
-            out.write(bytearray(target.encode("utf-8")))
+            out.write(bytearray("\n".join(parts).encode("utf-8")))
         finally:
             out.close()
         final = jvm.org.apache.hadoop.fs.Path(self.root + "/CURRENT")
         if fs.exists(final):
             fs.delete(final, False)
         fs.rename(tmp, final)
+
+    def write(self, df: DataFrame, files: int | None = None) -> str:
+        target = self._new_part(df, files)
+        self._point([target])
+        return target
+
+    def append(self, df: DataFrame) -> str:
+        target = self._new_part(df, None)
+        self._point([*self.parts(), target])
         return target
 
     def disk_stats(self) -> DataFrame | None:
-        """(total_entries, files, bytes, megabytes) of the current snapshot, from file metadata."""
+        """(total_entries, files, bytes, megabytes) of the live parts, from file metadata."""
         df = self.read()
         if df is None:
             return None
@@ -151,12 +174,12 @@ class SnapshotStore:
         return self.write(df, files) if df is not None else None
 
     def drop_old(self) -> int:
-        cur = self.current()
+        live = {p.rstrip("/").rsplit("/", 1)[-1] for p in self.parts()}
         fs, jvm = self._fs()
         n = 0
         for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.root)):
             p = st.getPath()
-            if st.isDirectory() and p.getName().startswith("snap-") and not (cur or "").endswith(p.getName()):
+            if st.isDirectory() and p.getName().startswith("snap-") and p.getName() not in live:
                 fs.delete(p, True)
                 n += 1
         return n

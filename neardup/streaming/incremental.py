@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from neardup.functions.scalars import extension
+from neardup.operators.hamming import size_checked_broadcast
 from neardup.operators import store as ST
 from neardup.sources.files import extension_glob, image_extensions
 
@@ -44,15 +45,22 @@ def analyse_batch(batch: DataFrame) -> DataFrame:
 
 
 def exact_on_arrival(new_rows: DataFrame, store: DataFrame | None) -> DataFrame:
-    """(path, file_hash, reason) for arrivals whose content is already stored or repeated in the batch."""
+    """(path, file_hash, reason) for arrivals whose content is already stored or repeated in the batch.
+
+    The store is probed with the batch's distinct hashes (a broadcast bounded by
+    the micro-batch size, checked), so no shuffle of the store is needed.
+    """
     per_hash = new_rows.groupBy("file_hash").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
     in_batch = (new_rows.join(per_hash.where(F.col("n") > 1), "file_hash")
                 .where(F.col("path") != F.col("first"))
                 .select("path", "file_hash", F.lit("batch").alias("reason")))
     if store is None:
         return in_batch
-    known = new_rows.join(store.select("file_hash").where(F.col("file_hash").isNotNull()).distinct(),
-                          "file_hash", "left_semi").select("path", "file_hash", F.lit("store").alias("reason"))
+    batch_hashes = size_checked_broadcast(new_rows.select("file_hash").where(F.col("file_hash").isNotNull())
+                                          .distinct())
+    seen = store.select("file_hash").join(batch_hashes, "file_hash", "left_semi").distinct()
+    known = new_rows.join(seen, "file_hash", "left_semi").select("path", "file_hash",
+                                                                 F.lit("store").alias("reason"))
     return known.unionByName(in_batch).dropDuplicates(["path"])
 
 
@@ -60,8 +68,9 @@ def start(spark: SparkSession, source_dir: str, store_root: str, duplicates_dir:
           checkpoint_location: str, available_now: bool = True, max_files_per_trigger: int | None = None):
     """Start the stream; returns the ``StreamingQuery``.
 
-    Each epoch writes the duplicates it found (append, keyed by epoch so a
-    replayed epoch overwrites its own output) and a new store snapshot.
+    Each epoch writes the duplicates it found (keyed by epoch, so a replayed
+    epoch overwrites its own output) and appends its new rows to the store as one
+    part; periodic ``SnapshotStore.compact`` folds the parts together.
     """
     snapshots = ST.SnapshotStore(spark, store_root)
 
@@ -71,8 +80,9 @@ def start(spark: SparkSession, source_dir: str, store_root: str, duplicates_dir:
         dups = exact_on_arrival(rows, store)
         dups.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").parquet(
             f"{duplicates_dir.rstrip('/')}/epoch={epoch_id}")
-        merged = rows if store is None else ST.upsert(store.select(*STORE_COLUMNS), rows)
-        snapshots.write(merged.select(*STORE_COLUMNS))
+        fresh = rows if store is None else rows.join(
+            store.select(*ST.KEY, "analysis_version"), [*ST.KEY, "analysis_version"], "left_anti")
+        snapshots.append(fresh.select(*STORE_COLUMNS))
 
     writer = (arriving_files(spark, source_dir, max_files_per_trigger).writeStream
               .foreachBatch(on_batch).option("checkpointLocation", checkpoint_location))

@@ -66,7 +66,9 @@ def test_snapshot_store(spark, scratch):
     assert st.total_entries == 4 and st.files >= 1 and st.bytes > 0
     second = s.write(ST.invalidate_prefix(s.read(), "/d"))
     assert s.current() == second and s.read().count() == 1
+    s.append(store_rows(spark).where("path = '/d/a.png'"))
+    assert len(s.parts()) == 2 and s.read().count() == 2
     s.compact(1)
-    assert s.drop_old() == 2 and s.read().count() == 1
+    assert len(s.parts()) == 1 and s.drop_old() == 3 and s.read().count() == 2
     s.clear()
     assert s.read().count() == 0
