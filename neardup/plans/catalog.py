@@ -451,7 +451,7 @@ def lsh_probe(spark, d):
     reps, _ = _text_reps(spark, d)
     bench = spread(read_table(spark, d, "benchmark"))
     # no filter on fp here: rows without tokens have a NULL fp and match no bucket
-    probes = bench.select(F.col("item_id").alias("rep"), simhash_words("text").alias("fp"))
+    probes = cut_lineage(bench.select(F.col("item_id").alias("rep"), simhash_words("text").alias("fp")))
     return probe_join(probes, reps, 4, _LSH_POS).select(F.col("probe").alias("item_id"), F.col("id").alias("doc_id"))
 
 
