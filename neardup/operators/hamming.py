@@ -339,6 +339,45 @@ def lsh_pairs(reps: DataFrame, n_words: int, positions, threshold: int | None,
 # strategy
 # ---------------------------------------------------------------------------
 
+def lsh_recall(tables: int, bits_per_table: int, hash_bits: int, d: int) -> float:
+    """Probability that a pair at distance ``d`` collides in at least one table.
+
+    Positions are sampled without replacement, so one table matches with
+    C(hash_bits - d, k) / C(hash_bits, k).
+    """
+    if bits_per_table > hash_bits - d:
+        p = 0.0
+    else:
+        p = comb(hash_bits - d, bits_per_table) / comb(hash_bits, bits_per_table)
+    return 1.0 - (1.0 - p) ** tables
+
+
+def solve_lsh_params(n: int, threshold: int, hash_bits: int = 256, target_recall: float = 0.99,
+                     max_tables: int = 200) -> tuple[int, int]:
+    """(tables, bits per table) reaching ``target_recall`` at d = threshold with the least
+    expected work per item (tables + expected colliding candidates under uniform bits)."""
+    best = None
+    for k in range(1, min(63, hash_bits) + 1):
+        if k > hash_bits - threshold:
+            break
+        p = comb(hash_bits - threshold, k) / comb(hash_bits, k)
+        if p <= 0.0:
+            continue
+        if p >= 1.0:
+            tables = 1
+        else:
+            import math
+            tables = math.ceil(math.log(1.0 - target_recall) / math.log(1.0 - p))
+        if tables > max_tables:
+            continue
+        work = tables * (1.0 + n / 2.0 ** k)
+        if best is None or work < best[0]:
+            best = (work, tables, k)
+    if best is None:
+        raise ValueError("no LSH parameters reach the target recall; use the exact band join")
+    return best[1], best[2]
+
+
 @dataclass(frozen=True)
 class Strategy:
     kind: str                 # "bands" (exact) or "lsh" (approximate)
@@ -348,16 +387,20 @@ class Strategy:
 
 
 def choose_strategy(n: int, bits: int, threshold: int, use_lsh: bool | None = None,
-                    max_rows_per_item: int = 4000) -> Strategy:
-    """``use_lsh=True``: the size-tier LSH; ``False``: exact bands; ``None``: exact
-    bands when their estimated work per row stays under ``max_rows_per_item`` or
-    the input is below the LSH size threshold, else the size-tier LSH."""
+                    max_rows_per_item: int = 4000, target_recall: float = 0.99) -> Strategy:
+    """``use_lsh=True``: the size-tier LSH (the original tool's table); ``False``:
+    exact bands; ``None``: exact bands when their estimated work per row stays
+    under ``max_rows_per_item`` or the input is below the LSH size threshold, else
+    LSH with tables and bits solved for ``target_recall`` at d = threshold."""
     if use_lsh:
         L, k = lsh_params(n)
         return Strategy("lsh", tables=L, bits_per_table=k)
     plan = plan_bands(n, bits, threshold)
     if use_lsh is None and n >= C.LSH_AUTO_THRESHOLD and plan.est_rows > max_rows_per_item:
-        L, k = lsh_params(n)
+        try:
+            L, k = solve_lsh_params(n, threshold, bits, target_recall)
+        except ValueError:
+            return Strategy("bands", band_plan=plan)
         return Strategy("lsh", tables=L, bits_per_table=k)
     return Strategy("bands", band_plan=plan)
 

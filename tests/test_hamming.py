@@ -130,3 +130,19 @@ def test_probe(spark):
                                    "rep long, fp array<long>")
     got = {(r.probe, r.id) for r in H.lsh_probe(probes, index, 4, H.lsh_positions(10, 12, bits)).collect()}
     assert (100, 5) in got and (101, 9) in got
+
+
+def test_recall_matches_published_table():
+    # recall for one pair at distance d, 256 bits (positions sampled without replacement)
+    assert round(H.lsh_recall(15, 20, 256, 10), 4) == 0.9998
+    assert round(H.lsh_recall(15, 20, 256, 32), 3) == 0.616
+    assert round(H.lsh_recall(25, 14, 256, 32), 3) == 0.981
+    assert round(H.lsh_recall(20, 16, 256, 64), 3) == 0.157
+
+
+def test_solved_params_reach_target():
+    for n, t in [(10_000, 10), (1_000_000, 20), (10 ** 9, 32)]:
+        L, k = H.solve_lsh_params(n, t, 256, 0.99)
+        assert H.lsh_recall(L, k, 256, t) >= 0.99
+    s = H.choose_strategy(10 ** 9, 256, 60)
+    assert s.kind == "lsh" and H.lsh_recall(s.tables, s.bits_per_table, 256, 60) >= 0.99
