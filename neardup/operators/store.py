@@ -51,6 +51,25 @@ def touch(store: DataFrame, hits: DataFrame, now) -> DataFrame:
                         .otherwise(F.col("last_accessed"))).drop("_hit"))
 
 
+def access_rows(hits: DataFrame, now) -> DataFrame:
+    """Access-log rows for the hits of one scan: (key, analysis_version, accessed_at).
+
+    Appending these (``SnapshotStore.append``) records the touch without
+    rewriting the store; ``effective_last_access`` folds them in when needed.
+    """
+    return hits.select(*KEY, "analysis_version", F.lit(now).cast("timestamp").alias("accessed_at"))
+
+
+def effective_last_access(store: DataFrame, access_log: DataFrame | None) -> DataFrame:
+    """The store with ``last_accessed`` = latest of its own value and the access log."""
+    if access_log is None:
+        return store
+    k = [*KEY, "analysis_version"]
+    latest = access_log.groupBy(*k).agg(F.max("accessed_at").alias("_seen"))
+    return (store.join(latest, k, "left")
+            .withColumn("last_accessed", F.greatest("last_accessed", "_seen")).drop("_seen"))
+
+
 def upsert(store: DataFrame, new_rows: DataFrame) -> DataFrame:
     """Insert-or-replace by (key, version): old rows without a new row of the same key + new rows."""
     k = [*KEY, "analysis_version"]
@@ -69,10 +88,10 @@ def invalidate_prefix(store: DataFrame, directory: str) -> DataFrame:
     return store.where(~F.startswith(F.col("path"), F.lit(prefix)))
 
 
-def evict_stale(store: DataFrame, now, max_age_days: int = 30) -> DataFrame:
-    """Drop rows not accessed within ``max_age_days`` before ``now``."""
+def evict_stale(store: DataFrame, now, max_age_days: int = 30, access_log: DataFrame | None = None) -> DataFrame:
+    """Drop rows not accessed within ``max_age_days`` before ``now`` (access log included)."""
     cutoff = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(max_age_days))
-    return store.where(F.col("last_accessed") >= cutoff)
+    return effective_last_access(store, access_log).where(F.col("last_accessed") >= cutoff)
 
 
 def evict_missing(store: DataFrame, listing: DataFrame) -> DataFrame:

@@ -72,3 +72,14 @@ def test_snapshot_store(spark, scratch):
     assert len(s.parts()) == 1 and s.drop_old() == 3 and s.read().count() == 2
     s.clear()
     assert s.read().count() == 0
+
+
+def test_access_log_keeps_touched_rows(spark, scratch):
+    st, li = store_rows(spark), listing_rows(spark)
+    log = ST.SnapshotStore(spark, scratch + "/access")
+    hits, _ = ST.split_hits(li, st)
+    log.append(ST.access_rows(hits, T0 + dt.timedelta(days=50)))
+    now = T0 + dt.timedelta(days=60)
+    kept = {r.path for r in ST.evict_stale(st, now, 30, log.read()).collect()}
+    assert kept == {"/d/a.png", "/d2/c.png"}          # touched on day 50; the others are older
+    assert {r.path for r in ST.evict_stale(st, now, 30).collect()} == set()
