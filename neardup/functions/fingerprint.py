@@ -18,7 +18,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from neardup.functions.scalars import col
 from neardup.session import ship_by_value
 
 # UDF bodies travel with the task; executors need no installed copy of the package.

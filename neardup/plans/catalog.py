@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from neardup import constants as C
 from neardup.functions.fingerprint import simhash_words
 from neardup.functions.scalars import (extension, format_number, format_rank, format_size,
-                                       hex_to_words, one_decimal, words_to_hex)
+                                       hex_to_words, words_to_hex)
 from neardup.operators import actions as ACT, report as REP, selection as SEL, store as ST
 from neardup.operators.components import connected_components
 from neardup.operators.exact import exact_hash_groups
-from neardup.operators.hamming import (band_pairs, collapse, lsh_buckets, lsh_pairs, lsh_params,
-                                       lsh_positions, pigeonhole_plan, plan_bands)
+from neardup.operators.hamming import (band_pairs, collapse, lsh_buckets, lsh_pairs, lsh_positions,
+                                       pigeonhole_plan, plan_bands)
 from neardup.plans import sql as S
 from neardup.plans.pipeline import GROUP_COLUMNS, find_duplicates, perceptual_candidates
 from neardup.sources import fixtures as FX
