@@ -101,6 +101,9 @@ def collapse(candidates: DataFrame, id_col: str = "id", fp_col: str = "fp") -> t
 # exact band join
 # ---------------------------------------------------------------------------
 
+VARIANTS_INLINE = 64   # up to this many probe variants per band are inlined as expressions
+
+
 def masks_within(width: int, radius: int) -> list[int]:
     out = []
     for r in range(radius + 1):
@@ -204,14 +207,19 @@ def band_pairs(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "re
         probe = probe.withColumnRenamed("key0", "key")
     else:
         widths = sorted({e - s for s, e in plan.bands})
-        by_width = {w: F.array(*[F.lit(m).cast("bigint") for m in masks_within(w, plan.radius)])
-                    for w in widths}
         wide = plan.bands[0][1] - plan.bands[0][0]
         n_wide = sum(1 for s, e in plan.bands if e - s == wide)
-        mask_arr = by_width[wide] if len(widths) == 1 else \
-            F.when(F.col("band") < n_wide, by_width[wide]).otherwise(by_width[min(widths)])
-        probe = probe.select("src", *aw, "src_comp", "band",
-                             F.explode(F.transform(mask_arr, lambda m: F.col("key0").bitwiseXOR(m))).alias("key"))
+        key0 = F.col("key0")
+
+        def variants(w):
+            masks = masks_within(w, plan.radius)
+            if len(masks) <= VARIANTS_INLINE:        # plain XOR expressions, compiled with the stage
+                return F.array(*[key0.bitwiseXOR(F.lit(m)) for m in masks])
+            return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: key0.bitwiseXOR(m))
+
+        keys_arr = variants(wide) if len(widths) == 1 else \
+            F.when(F.col("band") < n_wide, variants(wide)).otherwise(variants(min(widths)))
+        probe = probe.select("src", *aw, "src_comp", "band", F.explode(keys_arr).alias("key"))
     # canonical band: the first band whose distance is within the radius
     first = None
     for i, (s, e) in enumerate(plan.bands):
