@@ -121,3 +121,13 @@ def read_json(spark, path: str) -> DataFrame:
               "file_size_formatted: STRING, width: INT, height: INT, quality_score: DOUBLE>>, "
               "best_path STRING, selected_keep STRING, potential_savings BIGINT, potential_savings_formatted STRING")
     return spark.read.schema(schema).json(path)
+
+
+EXPORT_FORMATS = ("txt", "csv")
+
+
+def export_results(groups: DataFrame, path: str, export_format: str = "txt") -> None:
+    """Write the text report (``txt``) or CSV rows (``csv``); any other format is refused."""
+    if export_format not in EXPORT_FORMATS:
+        raise ValueError(f"Unsupported export format: {export_format}. Use 'txt' or 'csv'.")
+    (write_report if export_format == "txt" else write_csv)(groups, path)

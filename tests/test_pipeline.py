@@ -125,6 +125,10 @@ def test_report_and_export(spark, manifest, scratch):
     REP.write_csv(g, scratch + "/csv")
     text = spark.read.csv(scratch + "/csv", header=True)
     assert text.count() == 5 and set(text.columns) >= {"group_id", "status", "quality_score"}
+    REP.export_results(g, scratch + "/txt", "txt")
+    assert spark.read.text(scratch + "/txt").count() == 2 + 2 * 5
+    with pytest.raises(ValueError):
+        REP.export_results(g, scratch + "/x", "xlsx")
     REP.write_json(g, scratch + "/json")
     back = REP.read_json(spark, scratch + "/json")
     assert back.count() == 2 and back.where("group_id = 1").first().image_count == 3
