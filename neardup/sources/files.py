@@ -78,6 +78,7 @@ def analyze(spark: SparkSession, root: str, recursive: bool = True, with_phash:
                    F.col("modificationTime").alias("mtime"), F.col("length").alias("file_size"), "content"))
     raw = raw.where(extension("path").isin(image_extensions())).dropDuplicates(["path"])
     img = (spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", opt)
+           .option("pathGlobFilter", extension_glob())      # never try to decode other files
            .load(root)
            .select(F.col("_metadata.file_path").alias("_fp"), F.col("image.height").alias("_h"),
                    F.col("image.width").alias("_w"), F.col("image.nChannels").alias("_c"),
