@@ -1,7 +1,10 @@
 """The whole dataflow: manifest -> exact groups -> near-duplicate groups -> ranked members.
 
-Actions on the driver are limited to one ``count`` (strategy choice), the
-component loop's convergence test and checkpoints; no rows are collected.
+The driver only sees scalars: the number of distinct fingerprints (strategy
+choice), the size of the fullest bucket (hot-bucket path, only when it could
+matter), the component loop's convergence test and the largest group size (read
+from the materialised group table). Lineage is cut by Parquet writes under the
+checkpoint dir; no rows are collected.
 """
 
 from __future__ import annotations
