@@ -72,7 +72,9 @@ def cte(name: str, deps: tuple, body: str) -> None:
     CTES[name] = (deps, body)
 
 
-cte("m0", (), f"""
+def manifest_sql(rows: str) -> str:
+    """Manifest columns from a (doc_id, text, lang, source, n_chars) relation."""
+    return f"""
 SELECT doc_id AS id,
        '/' || source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || ext AS path,
        {FX.DOC_MTIME_BASE} + doc_id AS mtime_s,
@@ -86,7 +88,13 @@ SELECT doc_id AS id,
        CASE WHEN doc_id % {FX.DOC_ERROR_EVERY} = 0 THEN '{FX.DOC_ERROR_TEXT}' END AS error
 FROM (SELECT *, {_list(FX.DOC_EXTENSIONS)}[doc_id % {len(FX.DOC_EXTENSIONS)} + 1] AS ext,
              {_list(FX.DOC_BIT_DEPTHS)}[doc_id % {len(FX.DOC_BIT_DEPTHS)} + 1] AS bit_depth
-      FROM documents) d""")
+      FROM {rows}) d"""
+
+
+cte("m0", (), manifest_sql("documents"))
+cte("wm0", (), manifest_sql(f"(SELECT page_id AS doc_id, html AS text, '{FX.PAGES_LANG}' AS lang, "
+                            f"'{FX.PAGES_SOURCE}' AS source, CAST(length(html) AS BIGINT) AS n_chars FROM pages)"))
+cte("wm", ("wm0",), f"SELECT *, CASE WHEN error IS NULL THEN {quality_sql()} ELSE 0.0::DOUBLE END AS quality_score FROM wm0")
 cte("m", ("m0",), f"SELECT *, CASE WHEN error IS NULL THEN {quality_sql()} ELSE 0.0::DOUBLE END AS quality_score FROM m0")
 
 # SimHash-256 of distinct whitespace tokens
@@ -154,13 +162,13 @@ cte("groups_exact", ("exact_members",), ranked("exact_members"))
 cte("groups_all", ("all_members",), ranked("all_members"))
 
 # store fixtures (B4)
-cte("store", ("m",), f"""
+cte("store", ("m", "wm"), f"""
 SELECT *, 1 AS analysis_version, mtime_s AS created_s,
-       {FX.STORE_NOW} - (id % {FX.STORE_ACCESS_SPREAD_DAYS}) * {FX.DAY} AS last_accessed_s
-FROM m WHERE id % {FX.STORE_KEEP_EVERY} <> 0""")
+       {FX.STORE_NOW} - (abs(id) % {FX.STORE_ACCESS_SPREAD_DAYS}) * {FX.DAY} AS last_accessed_s
+FROM (SELECT * FROM m UNION ALL SELECT * REPLACE (-(id + 1) AS id) FROM wm) s""")
 cte("listing", ("m",), f"""
 SELECT id, path, mtime_s + CASE WHEN id % {FX.LISTING_CHANGED_EVERY} = 0 THEN {FX.DAY} ELSE 0 END AS mtime_s, file_size
-FROM m WHERE id % {FX.LISTING_MISSING_EVERY} <> 0""")
+FROM m""")
 
 # vectors (B3)
 cte("vfp", (), """

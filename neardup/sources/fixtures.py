@@ -30,16 +30,13 @@ def _pick(values, idx) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx % len(values)).cast("int") + 1)
 
 
-def manifest_docs(spark: SparkSession, sf_dir: str, with_fp: bool = True) -> DataFrame:
-    """documents -> manifest(id, path, mtime, file_size, width, height, pixel_count,
-    bit_depth, format, file_hash, perceptual_hash, fp, quality_score, error)."""
-    docs = read_table(spark, sf_dir, "documents")
-    if with_fp:
-        docs = spread(docs)
+def manifest_rows(rows: DataFrame, with_fp: bool = True) -> DataFrame:
+    """(doc_id, text, lang, source, n_chars) rows -> manifest(id, path, mtime, file_size, width,
+    height, pixel_count, bit_depth, format, file_hash, perceptual_hash, fp, quality_score, error)."""
     did = F.col("doc_id")
     ext = _pick(DOC_EXTENSIONS, did)
     error = F.when(did % DOC_ERROR_EVERY == 0, F.lit(DOC_ERROR_TEXT))
-    m = docs.select(
+    m = rows.select(
         did.alias("id"),
         F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), did.cast("string"), ext).alias("path"),
         F.timestamp_seconds(F.lit(DOC_MTIME_BASE) + did).alias("mtime"),
@@ -60,6 +57,20 @@ def manifest_docs(spark: SparkSession, sf_dir: str, with_fp: bool = True) -> Dat
     return m.withColumn("quality_score", q)
 
 
+def manifest_docs(spark: SparkSession, sf_dir: str, with_fp: bool = True) -> DataFrame:
+    """documents -> manifest (B1)."""
+    docs = read_table(spark, sf_dir, "documents")
+    return manifest_rows(spread(docs) if with_fp else docs, with_fp)
+
+
+def manifest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages -> manifest rows under /pages/web/ (ids negated: -(page_id + 1))."""
+    pages = read_table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit(PAGES_LANG).alias("lang"),
+        F.lit(PAGES_SOURCE).alias("source"), F.length("html").cast("bigint").alias("n_chars"))
+    return manifest_rows(pages, with_fp=False).withColumn("id", -(F.col("id") + 1))
+
+
 def fp_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, perceptual_hash, fp) for every document (B2)."""
     docs = spread(read_table(spark, sf_dir, "documents"))
@@ -78,28 +89,26 @@ def fp_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # FIXED VALUES of the store fixture (B4): an older store and today's listing
 # ---------------------------------------------------------------------------
-STORE_KEEP_EVERY = 3         # store holds docs with doc_id % 3 <> 0
-LISTING_CHANGED_EVERY = 7    # listing mtime moves by one day where doc_id % 7 = 0
-LISTING_MISSING_EVERY = 11   # listing lacks docs with doc_id % 11 = 0
+LISTING_CHANGED_EVERY = 7    # listing mtime moves by one day where doc_id % 7 = 0 (changed files)
 STORE_ACCESS_SPREAD_DAYS = 60
 STORE_NOW = 1709251200       # 2024-03-01 00:00:00 UTC, the fixed "now"
 DAY = 86400
+PAGES_LANG = "web"           # pages become files that were analysed once and are gone now
+PAGES_SOURCE = "pages"
 
 
 def store_old(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Analysis store as left by an earlier scan: manifest rows + version and access times."""
-    m = manifest_docs(spark, sf_dir, with_fp=False)
-    return (m.where(F.col("id") % STORE_KEEP_EVERY != 0)
-            .withColumn("analysis_version", F.lit(1))
+    """Analysis store left by an earlier scan: every document, plus every page as a file
+    that has since been deleted; version and access times added. No row is filtered out."""
+    m = manifest_docs(spark, sf_dir, with_fp=False).unionByName(manifest_pages(spark, sf_dir))
+    return (m.withColumn("analysis_version", F.lit(1))
             .withColumn("created_at", F.col("mtime"))
             .withColumn("last_accessed", F.timestamp_seconds(
-                F.lit(STORE_NOW) - (F.col("id") % STORE_ACCESS_SPREAD_DAYS) * DAY)))
+                F.lit(STORE_NOW) - (F.abs(F.col("id")) % STORE_ACCESS_SPREAD_DAYS) * DAY)))
 
 
 def listing_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Today's listing (path, mtime, file_size): some files changed, some gone."""
+    """Today's listing (id, path, mtime, file_size) of every document; some were modified."""
     m = manifest_docs(spark, sf_dir, with_fp=False)
     shift = F.when(F.col("id") % LISTING_CHANGED_EVERY == 0, F.lit(DAY)).otherwise(F.lit(0))
-    return (m.where(F.col("id") % LISTING_MISSING_EVERY != 0)
-            .select("id", "path", F.timestamp_seconds(F.unix_seconds("mtime") + shift).alias("mtime"),
-                    "file_size"))
+    return m.select("id", "path", F.timestamp_seconds(F.unix_seconds("mtime") + shift).alias("mtime"), "file_size")
