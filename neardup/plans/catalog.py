@@ -20,7 +20,7 @@ from neardup.operators.exact import exact_hash_groups
 from neardup.operators.hamming import (band_pairs, collapse, lsh_buckets, lsh_pairs, lsh_positions,
                                        pigeonhole_plan, plan_bands)
 from neardup.plans import sql as S
-from neardup.plans.pipeline import GROUP_COLUMNS, find_duplicates, perceptual_candidates
+from neardup.plans.dataflow import GROUP_COLUMNS, find_duplicates, perceptual_candidates
 from neardup.sources import fixtures as FX
 from neardup.session import cut_lineage
 from neardup.sources.tables import read_table, spread

@@ -108,7 +108,7 @@ def find_duplicates(manifest: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, m
     ``mode='perceptual_only'``. ``member_rank`` orders each group under
     ``strategy``; ``is_best`` marks rank 1. With ``materialize`` the table is
     written under the checkpoint dir and read back, so reports, exports and
-    action plans built on it do not recompute the pipeline.
+    action plans built on it do not recompute the dataflow.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")

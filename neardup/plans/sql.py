@@ -261,7 +261,7 @@ FROM pm{sfx} JOIN pfirst{sfx} USING (component)""")
 # perceptual_only: every valid row with a fingerprint, nothing excluded
 perceptual_chain("_po", ("valid",), "SELECT * FROM valid WHERE perceptual_hash IS NOT NULL")
 cte("groups_po", ("perc_members_po",), ranked("perc_members_po"))
-# whole pipeline with the LSH strategy forced
+# whole dataflow with the LSH strategy forced
 perceptual_chain("_lsh", ("cand",), "SELECT * FROM cand", pairs="lsh")
 cte("all_members_lsh", ("exact_members", "perc_members_lsh"),
     "SELECT * FROM exact_members UNION ALL SELECT * FROM perc_members_lsh")

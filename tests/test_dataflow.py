@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from neardup.operators import actions as ACT, report as REP, selection as SEL
-from neardup.plans.pipeline import find_duplicates
+from neardup.plans.dataflow import find_duplicates
 
 SCHEMA = ("id long, path string, mtime timestamp, file_size long, width int, height int, "
           "pixel_count long, bit_depth int, format string, file_hash string, perceptual_hash string, "

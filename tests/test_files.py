@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from neardup.sources import files as FS
-from neardup.plans.pipeline import find_duplicates
+from neardup.plans.dataflow import find_duplicates
 
 
 def test_discovery_filters_extensions_and_recurses(spark, image_dir):
