@@ -65,12 +65,14 @@ def _cand(spark, d) -> DataFrame:
 
 
 def _text_reps(spark, d):
-    return collapse(_cand(spark, d))
+    reps, copies = collapse(_cand(spark, d))
+    return cut_lineage(reps), copies          # both join sides and the count read one table
 
 
 def _vec_reps(spark, d):
     v = cut_lineage(FX.fp_vec(spark, d).select(F.col("vec_id").alias("id"), "fp"))
-    return collapse(v)
+    reps, copies = collapse(v)
+    return cut_lineage(reps), copies
 
 
 _G = ", ".join(GROUP_COLUMNS)
