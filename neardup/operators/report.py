@@ -90,21 +90,32 @@ def write_report(groups: DataFrame, path: str) -> None:
      .write.mode("overwrite").text(path))
 
 
-def groups_nested(groups: DataFrame, choices: DataFrame | None = None) -> DataFrame:
-    """One row per group: members sorted by quality, best_path, selected_keep, savings."""
+GROUP_PAGE_SIZE = 10_000   # members per nested document; bounds the row a task builds
+
+
+def groups_nested(groups: DataFrame, choices: DataFrame | None = None,
+                  page_size: int = GROUP_PAGE_SIZE) -> DataFrame:
+    """Nested group documents: members sorted by rank, best_path, selected_keep, savings.
+
+    A group of up to ``page_size`` members is one document (``page`` 0); a larger
+    group continues on further pages, so no task ever collects an unbounded group.
+    Group-level fields come from partial aggregates and repeat on every page.
+    """
     member = F.struct(F.col("member_rank").alias("rank"), "path", filename("path").alias("filename"),
                       "file_size", format_size("file_size").alias("file_size_formatted"),
                       "width", "height", F.round("quality_score", 1).alias("quality_score"))
-    g = groups.groupBy("group_id", "match_type").agg(
+    paged = groups.withColumn("page", F.floor((F.col("member_rank") - 1) / F.lit(page_size)).cast("int"))
+    pages = paged.groupBy("group_id", "page").agg(F.sort_array(F.collect_list(member)).alias("images"))
+    summary = groups.groupBy("group_id", "match_type").agg(
         F.count(F.lit(1)).alias("image_count"),
-        F.sort_array(F.collect_list(member)).alias("images"),
         F.max_by("path", F.col("is_best").cast("int")).alias("best_path"),
         F.sum(F.when(~F.col("is_best"), F.col("file_size")).otherwise(0)).cast("bigint").alias("potential_savings"))
     if choices is not None:
-        g = g.join(choices.select("group_id", "selected_keep"), "group_id", "left")
+        summary = summary.join(choices.select("group_id", "selected_keep"), "group_id", "left")
     else:
-        g = g.withColumn("selected_keep", F.lit(None).cast("string"))
-    return g.select("group_id", "match_type", "image_count", "images", "best_path",
+        summary = summary.withColumn("selected_keep", F.lit(None).cast("string"))
+    g = summary.join(pages, "group_id")
+    return g.select("group_id", "page", "match_type", "image_count", "images", "best_path",
                     F.coalesce("selected_keep", "best_path").alias("selected_keep"),
                     "potential_savings", format_size("potential_savings").alias("potential_savings_formatted"))
 
@@ -116,7 +127,7 @@ def write_json(groups: DataFrame, path: str, choices: DataFrame | None = None) -
 
 def read_json(spark, path: str) -> DataFrame:
     """Read nested group documents back; missing keys come back as NULL."""
-    schema = ("group_id BIGINT, match_type STRING, image_count BIGINT, "
+    schema = ("group_id BIGINT, page INT, match_type STRING, image_count BIGINT, "
               "images ARRAY<STRUCT<rank: INT, path: STRING, filename: STRING, file_size: BIGINT, "
               "file_size_formatted: STRING, width: INT, height: INT, quality_score: DOUBLE>>, "
               "best_path STRING, selected_keep STRING, potential_savings BIGINT, potential_savings_formatted STRING")

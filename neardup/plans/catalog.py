@@ -301,20 +301,24 @@ def export_rows(spark, d):
 
 
 @register("groups_json", S.with_ctes("groups_exact") + f"""
-SELECT group_id, match_type, CAST(count(*) AS BIGINT) AS image_count,
-       string_agg(path, '|' ORDER BY member_rank) AS member_paths,
-       max(CASE WHEN member_rank = 1 THEN path END) AS best_path,
-       max(CASE WHEN member_rank = 1 THEN path END) AS selected_keep,
-       CAST(sum(CASE WHEN member_rank > 1 THEN file_size ELSE 0 END) AS BIGINT) AS potential_savings
-FROM groups_exact GROUP BY group_id, match_type""")
+SELECT g.group_id, p.page, g.match_type, g.image_count, p.member_paths, g.best_path, g.selected_keep,
+       g.potential_savings
+FROM (SELECT group_id, match_type, CAST(count(*) AS BIGINT) AS image_count,
+             max(CASE WHEN member_rank = 1 THEN path END) AS best_path,
+             max(CASE WHEN member_rank = 1 THEN path END) AS selected_keep,
+             CAST(sum(CASE WHEN member_rank > 1 THEN file_size ELSE 0 END) AS BIGINT) AS potential_savings
+      FROM groups_exact GROUP BY group_id, match_type) g
+JOIN (SELECT group_id, CAST((member_rank - 1) // {REP.GROUP_PAGE_SIZE} AS INTEGER) AS page,
+             string_agg(path, '|' ORDER BY member_rank) AS member_paths
+      FROM groups_exact GROUP BY 1, 2) p USING (group_id)""")
 def groups_json(spark, d):
     nested = REP.groups_nested(_groups_exact(spark, d))
-    return nested.select("group_id", "match_type", F.col("image_count").cast("bigint").alias("image_count"),
+    return nested.select("group_id", "page", "match_type", F.col("image_count").cast("bigint").alias("image_count"),
                          F.array_join(F.transform("images", lambda x: x["path"]), "|").alias("member_paths"),
                          "best_path", "selected_keep", "potential_savings")
 
 
-_NESTED_SCHEMA = ("group_id BIGINT, match_type STRING, image_count BIGINT, "
+_NESTED_SCHEMA = ("group_id BIGINT, page INT, match_type STRING, image_count BIGINT, "
                   "images ARRAY<STRUCT<rank: INT, path: STRING, file_size: BIGINT, quality_score: DOUBLE>>, "
                   "best_path STRING, selected_keep STRING")
 

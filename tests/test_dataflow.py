@@ -168,3 +168,15 @@ def test_fewer_than_two_candidates(spark, manifest):
     assert find_duplicates(empty, threshold=4).count() == 0
     one = manifest.where("id = 6")
     assert find_duplicates(one, threshold=64, mode="perceptual_only").count() == 0
+
+
+def test_nested_documents_are_paged(spark):
+    rows = [(1, f"/g/{i:03d}.png", i, i == 1, 10) for i in range(1, 26)]
+    g = spark.createDataFrame(rows, "group_id long, path string, member_rank int, is_best boolean, file_size long") \
+        .withColumn("match_type", F.lit("exact")).withColumn("width", F.lit(1)).withColumn("height", F.lit(1)) \
+        .withColumn("quality_score", F.lit(1.0))
+    docs = REP.groups_nested(g, page_size=10).orderBy("page").collect()
+    assert [d.page for d in docs] == [0, 1, 2]
+    assert [len(d.images) for d in docs] == [10, 10, 5]
+    assert [m.path for d in docs for m in d.images] == [r[1] for r in rows]
+    assert all(d.image_count == 25 and d.best_path == "/g/001.png" and d.potential_savings == 240 for d in docs)
