@@ -2,11 +2,11 @@
 
 Alternating large-star / small-star (Kiveris et al., "Connected Components in
 MapReduce and Beyond", SoCC 2014): O(log^2 n) rounds, each a few hash
-aggregates and equi-joins. Per-node minima are partial aggregates and the edge
-side of each join is split by AQE when one node is a hub, so a component that
-holds a third of all rows does not end up in one task. Each round is cut with a
-reliable checkpoint; the loop stops when the edges form disjoint stars centred
-on each component's smallest id.
+aggregates and equi-joins. Per-node minima are partial aggregates. They are
+written before the edges are joined with them: then both sides of the join are
+plain shuffles, a shape whose hot partitions AQE splits, so a hub with a third of
+all edges does not end up in one task. Each round is cut the same way; the loop
+stops when the edges form disjoint stars centred on each component's smallest id.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ def _normalise(edges: DataFrame, a: str, b: str) -> DataFrame:
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
         e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-    m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    m = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     # each larger neighbour hi of lo is re-hung on m(lo)
     out = e.join(m, e["lo"] == m["u"]).select(F.col("m").alias("lo"), "hi")
     return out.where(F.col("lo") != F.col("hi")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    m = e.groupBy("hi").agg(F.min("lo").alias("m"))   # lo < hi always, so m < hi
+    m = cut_lineage(e.groupBy("hi").agg(F.min("lo").alias("m")))   # lo < hi always, so m < hi
     j = e.join(m, "hi")
     nbrs = j.select(F.least("lo", "m").alias("lo"), F.greatest("lo", "m").alias("hi"))
     centre = m.select(F.col("m").alias("lo"), "hi")
@@ -54,7 +54,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     for _ in range(max_rounds):
         if _is_star_forest(e):
             break
-        e = cut_lineage(_small_star(_large_star(e)))
+        e = cut_lineage(_small_star(cut_lineage(_large_star(e))))
     else:
         raise RuntimeError("connected components did not converge")
     leaves = e.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
