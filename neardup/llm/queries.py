@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neardup.llm import chat, quality, token_counts, token_files
+from neardup.llm import chat, minhash, quality, sentencepiece_codec, token_counts, token_files
 from neardup.llm.common import table
 from neardup.llm.sql import SQL  # noqa: F401
 
@@ -18,11 +18,23 @@ def query(fn):
     return fn
 
 
+@query
+def op2_sentencepiece_codec(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.round_trip(docs, "piece_bpe_32k.model")
+
+
 @query
 def op3_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
+@query
+def op4_minhash_groups(spark, sf_dir):
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op5_quality_rules(spark, sf_dir):
     judged = quality.quality_rules(table(spark, sf_dir, "documents"))

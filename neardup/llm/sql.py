@@ -14,14 +14,17 @@ def _rule(r: quality.Rule) -> str:
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted({w for ws in quality.STOP_WORDS.values() for w in ws}))
 
+_WINDOW = "concat_ws(' ', x, " + ", ".join(f"lead(x, {k}) OVER v" for k in range(1, quality.WINDOW)) + ")"
+
 SQL["op5_quality_rules"] = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
-g AS (SELECT rid, w, unnest(range(1, len(w) - {quality.WINDOW - 2})) AS p FROM d WHERE len(w) >= {quality.WINDOW}),
-h AS (SELECT rid, p, count(*) OVER (PARTITION BY rid, w[p:p + {quality.WINDOW - 1}]) AS c FROM g),
+u AS (SELECT rid, unnest(w) AS x, unnest(range(len(w))) AS p, len(w) AS n FROM d),
+g AS (SELECT rid, p, n, {_WINDOW} AS x FROM u WINDOW v AS (PARTITION BY rid ORDER BY p)),
+h AS (SELECT rid, p, count(*) OVER (PARTITION BY rid, x) AS c FROM g WHERE p + {quality.WINDOW} <= n),
 k AS (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS q FROM h WHERE c > 1),
 r AS (SELECT rid, sum(CASE WHEN q IS NULL THEN {quality.WINDOW} ELSE least({quality.WINDOW}, p - q) END) AS n FROM k GROUP BY rid),
 m AS (
