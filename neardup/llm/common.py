@@ -33,22 +33,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def scannable(df: DataFrame) -> DataFrame:
+    """``df`` if it is read straight from files that have row indexes, else a Parquet copy of it."""
+    try:
+        with_row_id(df).schema  # noqa: B018  resolves the names now
+        return df
+    except AnalysisException:
+        return cut_lineage(df)
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
-    """``df`` with ``ROW_ID``, which stay the same however often and wherever the rows are read.
+    """``df``, which is ``scannable``, with ROW_ID.
 
-    Files read by Spark's Parquet reader have a row index; any other DataFrame is
-    written as Parquet first. ``monotonically_increasing_id`` would not do: it
-    changes when the input is split anew, for example after executors are lost.
+    The id stays the same however often and wherever the rows are read.
+    ``monotonically_increasing_id`` would not do: it changes when the input is
+    split anew, for example after executors are lost.
     """
-    try:
-        meta = df.metadataColumn("_metadata")
-        out = df.select("*", F.xxhash64(meta["file_path"]).alias("_file"), meta["row_index"].alias("_row"))
-        out.schema  # noqa: B018  resolves the names now
-        return out
-    except AnalysisException:
-        df = cut_lineage(df)
-        meta = df.metadataColumn("_metadata")
-        return df.select("*", F.xxhash64(meta["file_path"]).alias("_file"), meta["row_index"].alias("_row"))
+    meta = df.metadataColumn("_metadata")
+    return df.select("*", F.xxhash64(meta["file_path"]).alias("_file"), meta["row_index"].alias("_row"))
 
 
 def by_bytes(batches: Iterator, column: str, limit: int) -> Iterator[tuple]:

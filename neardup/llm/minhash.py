@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from neardup.llm.bytewords import Hasher, mix, word_hashes
-from neardup.llm.common import ROW_ID, by_bytes, with_row_id
+from neardup.llm.common import ROW_ID, by_bytes, scannable, with_row_id
 from neardup.llm.linking import link_groups, shared_buckets
 from neardup.session import cut_lineage, ship_by_value
 
@@ -179,6 +179,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     Links are the pairs with 100 * common >= percent * all shingles of the two sets.
     """
+    docs = scannable(docs)
     signed = cut_lineage(signatures(docs, shingle, bands, rows, id_col, text))
     nodes = (signed.where(F.col("set_key").isNotNull()).groupBy("set_key")
              .agg(F.min("doc_id").alias("first_doc"), F.min(F.struct(*ROW_ID)).alias("at"),
@@ -215,6 +216,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id",
                text: str = "text") -> DataFrame:
     """One row of each group of ``docs``: that with the smallest id, then the first in the files."""
+    docs = scannable(docs)
     found = cut_lineage(near_duplicates(docs, shingle, percent, id_col=id_col, text=text))
     best = (found.where(F.col("kept") & F.col("component").isNotNull()).groupBy("component")
             .agg(F.min(F.struct(*ROW_ID)).alias("at")).select("at.*"))

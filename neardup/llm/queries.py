@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neardup.llm import chat, minhash, quality, sentencepiece_codec, token_counts, token_files
+from neardup.llm import chat, decontamination, line_dedup, minhash, quality, sentencepiece_codec, token_counts, token_files
 from neardup.llm.common import table
 from neardup.llm.sql import SQL  # noqa: F401
 
@@ -18,6 +18,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_line_dedup(spark, sf_dir):
+    found = line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line_no", "first_doc_id", "first_line_no", "kept")
+
+
 @query
 def op2_sentencepiece_codec(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -46,6 +52,12 @@ def op7_token_files(spark, sf_dir):
     return token_files.write_and_read(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2)
 
 
+@query
+def op9_decontamination(spark, sf_dir):
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "n_matched", "verbatim")
+
+
 @query
 def op10_chat_rotation(spark, sf_dir):
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from neardup.llm.common import ROW_ID, by_bytes, with_row_id
+from neardup.llm.common import ROW_ID, by_bytes, scannable, with_row_id
 from neardup.llm.vocab import ByteLevel
 from neardup.session import ensure_checkpoint_dir, ship_by_value
 
@@ -105,7 +105,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col:
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["_id", "_hash", *ROW_ID]
-    rows = (with_row_id(docs).select(F.col(id_col).cast("bigint").alias("_id"), F.col(text).alias("_text"),
+    rows = (with_row_id(scannable(docs)).select(F.col(id_col).cast("bigint").alias("_id"), F.col(text).alias("_text"),
                                      F.xxhash64(text).alias("_hash"), *ROW_ID)
             .repartitionByRange(parts, *order).sortWithinPartitions(*order)
             .select("_id", "_text", F.spark_partition_id().alias("_shard")))
