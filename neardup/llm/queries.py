@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neardup.llm import chat, decontamination, line_dedup, minhash, quality, sentencepiece_codec, token_counts, token_files
+from neardup.llm import (
+    chat, decontamination, language_id, line_dedup, minhash, quality, secret_scan, sentencepiece_codec, token_counts,
+    token_files)
 from neardup.llm.common import table
 from neardup.llm.sql import SQL  # noqa: F401
 
@@ -47,11 +49,21 @@ def op5_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+@query
+def op6_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_token_files(spark, sf_dir):
     return token_files.write_and_read(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2)
 
 
+@query
+def op8_secret_scan(spark, sf_dir):
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_decontamination(spark, sf_dir):
     found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
