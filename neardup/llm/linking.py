@@ -35,28 +35,23 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return cut_lineage(members.join(leaders, "key"))
 
 
-def link_groups(shared: DataFrame, verify: Verify, compatible: Callable[[Column, Column], Column]) -> DataFrame:
-    """(node, component) of all nodes that have a link; component is the smallest node of the group.
+def link_groups(shared: DataFrame, sizes: DataFrame, verify: Verify,
+                compatible: Callable[[Column, Column], Column]) -> DataFrame:
+    """(id, component) of all nodes that have a link; component is the smallest node of the group.
 
     shared      rows of ``shared_buckets``
+    sizes       (node, size) of all nodes
     verify      keeps the true links of a DataFrame (a, b) of distinct pairs, a < b
     compatible  cheap necessary condition on the sizes of two nodes
     """
-    sizes = shared.select(F.col("node").alias("a"), F.col("size").alias("size_a")).distinct()
-    sizes = cut_lineage(sizes)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """pairs has a, b, size_b"""
-        sized = pairs.join(sizes, "a").where(compatible(F.col("size_a"), F.col("size_b")))
-        return cut_lineage(verify(sized.select("a", "b")))
-
     stars = cut_lineage(shared.where(F.col("node") != F.col("leader"))
                         .select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("size").alias("size_b"))
                         .distinct())
-    links = linked(stars)
+    sized = stars.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a")
+    links = cut_lineage(verify(sized.where(compatible(F.col("size_a"), F.col("size_b"))).select("a", "b")))
     groups = connected_components(links, "a", "b")
 
-    labelled = shared.select("key", "node", "size").join(cut_lineage(groups).withColumnRenamed("id", "node"), "node", "left")
+    labelled = shared.select("key", "node", "size").join(groups.withColumnRenamed("id", "node"), "node", "left")
     labelled = cut_lineage(labelled.withColumn("component", F.coalesce("component", "node")))
     counted = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("groups"))
@@ -70,11 +65,8 @@ def link_groups(shared: DataFrame, verify: Verify, compatible: Callable[[Column,
     pairs = few.join(rows, "key").where(
         (F.col("cx") != F.col("component")) & compatible(F.col("size_x"), F.col("size"))
         & ((F.col("component") == F.col("top")) | (F.col("x") < F.col("node"))))
-    first = F.col("x") < F.col("node")
-    pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"),
-                         F.when(first, F.col("size")).otherwise(F.col("size_x")).alias("size_b")).distinct()
-    rest = cut_lineage(pairs).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = linked(rest)
+    pairs = cut_lineage(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
+    more = cut_lineage(verify(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti")))
     if more.isEmpty():
         return groups
-    return connected_components(links.unionByName(more), "a", "b")
+    return connected_components(groups.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more), "a", "b")

@@ -116,7 +116,7 @@ def superminhash(sets: list, registers: int):
 def band_keys(ranks, bands: int):
     """One 64-bit key for each band of registers and each signature."""
     import numpy as np
-    parts = ranks.reshape(len(ranks), bands, -1)
+    parts = ranks.reshape(len(ranks), bands, ranks.shape[1] // bands)
     keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2])
     for j in range(parts.shape[2]):
         keys = mix(keys + parts[:, :, j] * np.uint64(0x9E3779B97F4A7C15))
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
                                      F.monotonically_increasing_id().alias("node")))
     shared = shared_buckets(nodes.select(F.explode("keys").alias("key"), "node", "size"))
     wanted = shared.select("node").distinct().join(nodes.select("node", *ROW_ID), "node")
-    elements = cut_lineage(full_sets(docs, cut_lineage(wanted), shingle, text))
+    elements = cut_lineage(full_sets(docs, wanted, shingle, text))
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = elements.select(F.col("node").alias("a"), F.col("elements").alias("of_a"))
@@ -201,11 +201,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     def compatible(x: Column, y: Column) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    groups = link_groups(shared, verify, compatible)
+    groups = link_groups(shared, nodes.select("node", "size"), verify, compatible)
     grouped = nodes.select("node", "set_key", "first_doc").join(groups.withColumnRenamed("id", "node"), "node", "left")
     grouped = cut_lineage(grouped.withColumn("component", F.coalesce("component", "node")).drop("node"))
     firsts = cut_lineage(grouped.groupBy("component").agg(F.min("first_doc").alias("component_id")))
-    by_set = cut_lineage(grouped.join(firsts, "component").select("set_key", "component", "component_id"))
+    by_set = grouped.join(firsts, "component").select("set_key", "component", "component_id")
     out = signed.select(*ROW_ID, "doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
     component_id = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.withColumn("component_id", component_id)
@@ -221,5 +221,5 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     best = (found.where(F.col("kept") & F.col("component").isNotNull()).groupBy("component")
             .agg(F.min(F.struct(*ROW_ID)).alias("at")).select("at.*"))
     alone = found.where(F.col("component").isNull()).select(*ROW_ID)
-    stay = cut_lineage(best.unionByName(alone))
+    stay = best.unionByName(alone)
     return with_row_id(docs).join(stay, ROW_ID, "left_semi").drop(*ROW_ID)
