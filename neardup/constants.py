@@ -70,10 +70,6 @@ DEFAULT_BIT_DEPTH = 24
 # FIXED VALUES: thresholds and LSH settings
 # ---------------------------------------------------------------------------
 DEFAULT_THRESHOLD = 10          # Hamming distance, inclusive
-MAX_THRESHOLD = 64              # accepted by the threshold validator
-LSH_AUTO_THRESHOLD = 5000       # candidate count from which LSH is chosen
-LSH_DEFAULT_TABLES = 20
-LSH_DEFAULT_BITS = 16
 LSH_SEED = 42
 # (collection size upper bound, exclusive; tables; bits per table)
 LSH_SIZE_TIERS = (

@@ -28,23 +28,43 @@ TOKEN_SPLIT = r"[ \t\n\r]+"
 _SPLIT_RE = re.compile(TOKEN_SPLIT)
 
 
-def _simhash_one(text) -> list | None:
+# Tokens whose votes are counted at once, and digests remembered within a batch: both bound the worker's memory.
+_VOTE_TOKENS = 1 << 14
+_KNOWN_DIGESTS = 1 << 18
+
+
+def _simhash_one(text, digests: dict) -> list | None:
     if text is None:
         return None
     tokens = set(_SPLIT_RE.split(text))
     tokens.discard("")
     if not tokens:
         return None
-    digests = b"".join(hashlib.sha256(t.encode("utf-8")).digest() for t in tokens)
-    bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8)).reshape(len(tokens), 256)
-    votes = bits.sum(axis=0, dtype=np.int64) * 2 > len(tokens)
-    return np.packbits(votes).view(">i8").astype(np.int64).tolist()
+    if len(digests) > _KNOWN_DIGESTS:
+        digests.clear()
+    ordered = list(tokens)
+    votes = np.zeros(256, dtype=np.int64)
+    for first in range(0, len(ordered), _VOTE_TOKENS):
+        part = ordered[first:first + _VOTE_TOKENS]
+        data = []
+        for t in part:
+            d = digests.get(t)
+            if d is None:
+                d = digests[t] = hashlib.sha256(t.encode("utf-8")).digest()
+            data.append(d)
+        bits = np.unpackbits(np.frombuffer(b"".join(data), dtype=np.uint8)).reshape(len(part), 256)
+        votes += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(tokens)).view(">i8").astype(np.int64).tolist()
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def simhash_words(texts: pd.Series) -> pd.Series:
-    """SimHash-256 of each text as four signed 64-bit words, MSB first; NULL if no token."""
-    return pd.Series([_simhash_one(t) for t in texts], dtype=object)
+    """SimHash-256 of each text as four signed 64-bit words, MSB first; NULL if no token.
+
+    A token that several texts of the batch share is hashed once.
+    """
+    digests: dict = {}
+    return pd.Series([_simhash_one(t, digests) for t in texts], dtype=object)
 
 
 def vector_fingerprint(embedding: str, dims: int = 64) -> Column:
@@ -54,10 +74,10 @@ def vector_fingerprint(embedding: str, dims: int = 64) -> Column:
     NULL unless the vector has exactly ``dims`` elements.
     """
     e = embedding
-    return F.expr(
-        f"CASE WHEN size({e}) = {dims} THEN aggregate(sequence(0, {dims - 1}), 0L, (acc, i) -> acc | "
-        f"IF(element_at({e}, i + 1) >= element_at(sort_array({e}), {dims // 2 + 1}), "
-        f"shiftleft(1L, {dims - 1} - i), 0L)) END")
+    return F.expr(    # sorted once: the outer lambda binds the threshold
+        f"CASE WHEN size({e}) = {dims} THEN transform(array(element_at(sort_array({e}), {dims // 2 + 1})), "
+        f"t -> aggregate(sequence(0, {dims - 1}), 0L, (acc, i) -> acc | "
+        f"IF(element_at({e}, i + 1) >= t, shiftleft(1L, {dims - 1} - i), 0L)))[0] END")
 
 
 # ---------------------------------------------------------------------------

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from neardup.session import cut_lineage
+
 
 def exact_hash_groups(manifest: DataFrame, hash_col: str = "file_hash") -> DataFrame:
     """One row per hash shared by more than one row: (hash, n, first_path).
 
     ``groupBy`` aggregates partially on the map side, so a hash carried by a third
-    of all rows costs one row per task before the shuffle.
+    of all rows costs one row per task before the shuffle. NULL and empty hashes
+    stand for files that could not be read and form no group. The table is written:
+    joins with it then have plain shuffles on both sides, whose hot partitions AQE
+    splits.
     """
-    return (manifest.where(F.col(hash_col).isNotNull())
-            .groupBy(hash_col)
-            .agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"))
-            .where(F.col("n") > 1))
+    return cut_lineage(manifest.where(F.col(hash_col) != "")
+                       .groupBy(hash_col)
+                       .agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"))
+                       .where(F.col("n") > 1))
 
 
 def exact_members(manifest: DataFrame, hash_groups: DataFrame, hash_col: str = "file_hash") -> DataFrame:

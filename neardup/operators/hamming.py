@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from neardup import constants as C
 from neardup.functions.scalars import pack_bits
+from neardup.session import cut_lineage
 
 
 def word_names(prefix: str, n_words: int) -> list[str]:
@@ -91,7 +92,8 @@ def collapse(candidates: DataFrame, id_col: str = "id", fp_col: str = "fp") -> t
     their representative's component at distance 0, which every threshold admits.
     """
     c = candidates.where(F.col(fp_col).isNotNull()).select(id_col, fp_col)
-    reps = c.groupBy(fp_col).agg(F.min(id_col).alias("rep"))
+    # written, so that AQE can split a hot fingerprint's copies in the join below
+    reps = cut_lineage(c.groupBy(fp_col).agg(F.min(id_col).alias("rep")))
     copies = (c.join(reps, fp_col).where(F.col(id_col) != F.col("rep"))
               .select(F.col(id_col).alias("id"), "rep"))
     return reps.select("rep", fp_col), copies
@@ -394,23 +396,18 @@ class Strategy:
     bits_per_table: int = 0
 
 
-def choose_strategy(n: int, bits: int, threshold: int, use_lsh: bool | None = None,
-                    max_rows_per_item: int = 4000, target_recall: float = 0.99) -> Strategy:
-    """``use_lsh=True``: the size-tier LSH (the original tool's table); ``False``:
-    exact bands; ``None``: exact bands when their estimated work per row stays
-    under ``max_rows_per_item`` or the input is below the LSH size threshold, else
-    LSH with tables and bits solved for ``target_recall`` at d = threshold."""
-    if use_lsh:
-        L, k = lsh_params(n)
-        return Strategy("lsh", tables=L, bits_per_table=k)
-    plan = plan_bands(n, bits, threshold)
-    if use_lsh is None and n >= C.LSH_AUTO_THRESHOLD and plan.est_rows > max_rows_per_item:
-        try:
-            L, k = solve_lsh_params(n, threshold, bits, target_recall)
-        except ValueError:
-            return Strategy("bands", band_plan=plan)
-        return Strategy("lsh", tables=L, bits_per_table=k)
-    return Strategy("bands", band_plan=plan)
+def choose_strategy(n: int, bits: int, threshold: int, use_lsh: bool = False,
+                    lsh_tables_bits: tuple[int, int] | None = None, target_recall: float = 0.99) -> Strategy:
+    """The exact band join at every size, unless LSH is asked for.
+
+    ``use_lsh=True`` takes ``lsh_tables_bits`` = (tables, bits per table) when given,
+    else tables and bits solved for ``target_recall`` at d = threshold; it is an
+    error when none reach it. LSH misses pairs by design.
+    """
+    if not use_lsh:
+        return Strategy("bands", band_plan=plan_bands(n, bits, threshold))
+    tables, k = lsh_tables_bits or solve_lsh_params(n, threshold, bits, target_recall)
+    return Strategy("lsh", tables=tables, bits_per_table=k)
 
 
 def validate_threshold(threshold, bits: int = 256) -> int:
@@ -435,14 +432,19 @@ def size_checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) ->
 
 
 def lsh_probe(probes: DataFrame, index_reps: DataFrame, n_words: int, positions,
-              rep_col: str = "rep", fp_col: str = "fp") -> DataFrame:
-    """(probe, id): index rows sharing at least one bucket with each probe, each pair once."""
+              rep_col: str = "rep", fp_col: str = "fp", exclude_self: bool = False) -> DataFrame:
+    """(probe, id): index rows sharing at least one bucket with each probe, each pair once.
+
+    ``exclude_self`` drops the pair of a probe with the index row of its own id.
+    """
     aw, bw = word_names("a", n_words), word_names("b", n_words)
     left = size_checked_broadcast(_lsh_side(probes, "probe", aw, positions, n_words, rep_col, fp_col)
                                   .drop("probe_comp"))
     right = _lsh_side(index_reps, "id", bw, positions, n_words, rep_col, fp_col).drop("id_comp")
     cond = _key_match(left, right, n_words) & (
         _first_collision(aw, bw, positions, n_words) == left["table_idx"])
+    if exclude_self:
+        cond = cond & (F.col("probe") != F.col("id"))
     return left.join(right, cond).select("probe", "id", distance(aw, bw).alias("distance"))
 
 
@@ -493,9 +495,7 @@ def collection_sizes(spark, sf_dir: str) -> DataFrame:
     return docs.unionByName(
         cand.agg(F.lit("candidates").alias("collection"), F.count(F.lit(1)).cast("bigint").alias("n"))).unionByName(
         read_table(spark, sf_dir, "embeddings").agg(F.lit("embeddings").alias("collection"),
-                                                   F.count(F.lit(1)).cast("bigint").alias("n"))).unionByName(
-        docs.select(F.lit("documents_x1000").alias("collection"), (F.col("n") * 1000).alias("n"))).unionByName(
-        docs.select(F.lit("documents_x100000").alias("collection"), (F.col("n") * 100000).alias("n")))
+                                                   F.count(F.lit(1)).cast("bigint").alias("n")))
 
 
 def lsh_param_columns(sizes: DataFrame) -> DataFrame:
@@ -546,7 +546,7 @@ def leader_edges(index: DataFrame, bucket_cols: list[str], n_words: int, thresho
     """
     ww = word_names("w", n_words)
     lw = word_names("l", n_words)
-    leaders = index.groupBy(*bucket_cols).agg(F.min("id").alias("leader"))
+    leaders = cut_lineage(index.groupBy(*bucket_cols).agg(F.min("id").alias("leader")))
     words = index.select(F.col("id").alias("leader"), *[F.col(w).alias(l) for w, l in zip(ww, lw)]) \
         .dropDuplicates(["leader"])
     lead = leaders.join(words, "leader")

@@ -61,7 +61,8 @@ def rank_in_group(df: DataFrame, group_cols: list[str], order: list, rank_col: s
         w = Window.partitionBy(*group_cols).orderBy(*order)
         return df.withColumn(rank_col, F.row_number().over(w).cast("int"))
     idx = global_index(df, [*group_cols, *order], "_gidx")
-    first = idx.groupBy(*group_cols).agg(F.min("_gidx").alias("_gfirst"))
+    # written, so that AQE can split the hot group's rows in the join below
+    first = cut_lineage(idx.groupBy(*group_cols).agg(F.min("_gidx").alias("_gfirst")))
     out = idx.join(first, group_cols)
     return out.withColumn(rank_col, (F.col("_gidx") - F.col("_gfirst") + 1).cast("int")).drop("_gidx", "_gfirst")
 

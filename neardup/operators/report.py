@@ -28,7 +28,7 @@ def group_stats(groups: DataFrame) -> DataFrame:
     dupe = ~F.col("is_best")
     out = groups.rollup("match_type").agg(
         F.count_if(dupe).cast("bigint").alias("total_duplicates"),
-        F.countDistinct("group_id").cast("bigint").alias("total_groups"),
+        F.count_if(F.col("is_best")).cast("bigint").alias("total_groups"),   # one best in each group
         F.coalesce(F.sum(F.when(dupe, F.col("file_size")).otherwise(0)), F.lit(0)).cast("bigint").alias("total_waste"),
         F.grouping("match_type").alias("_total"))
     out = out.select(F.when(F.col("_total") == 1, F.lit("total")).otherwise(F.col("match_type")).alias("match_type"),
@@ -140,5 +140,5 @@ EXPORT_FORMATS = ("txt", "csv")
 def export_results(groups: DataFrame, path: str, export_format: str = "txt") -> None:
     """Write the text report (``txt``) or CSV rows (``csv``); any other format is refused."""
     if export_format not in EXPORT_FORMATS:
-        raise ValueError(f"Unsupported export format: {export_format}. Use 'txt' or 'csv'.")
+        raise ValueError(f"export_format must be one of {EXPORT_FORMATS}, not {export_format!r}")
     (write_report if export_format == "txt" else write_csv)(groups, path)

@@ -8,12 +8,17 @@ from neardup import constants as C
 from neardup.operators.ranking import rank_in_group
 
 
+def effective_strategy(strategy: str) -> str:
+    """Unknown names mean "quality"."""
+    return strategy if strategy in C.STRATEGIES else "quality"
+
+
 def strategy_order(strategy: str) -> list[Column]:
-    """Sort keys, best first; ties broken by path. Unknown names mean "quality".
+    """Sort keys, best first; ties broken by path.
 
     A missing mtime sorts last for both "newest" and "oldest".
     """
-    s = strategy if strategy in C.STRATEGIES else "quality"
+    s = effective_strategy(strategy)
     key = {
         "quality": F.col("quality_score").desc_nulls_last(),
         "largest": F.col("file_size").desc_nulls_last(),

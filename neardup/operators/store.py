@@ -26,10 +26,15 @@ def split_hits(listing: DataFrame, store: DataFrame, version: int = ANALYSIS_VER
 
 
 def lookup(listing: DataFrame, store: DataFrame, version: int = ANALYSIS_VERSION) -> DataFrame:
-    """Listing rows with ``cached`` and the stored quality (NULL when not cached)."""
-    s = store.where(F.col("analysis_version") == version).select(*KEY, F.col("quality_score").alias("cached_quality"))
-    return (listing.select(*KEY).join(s, KEY, "left")
-            .withColumn("cached", F.col("cached_quality").isNotNull()))
+    """Listing rows with ``cached`` and the stored record (its columns are NULL when not cached).
+
+    ``cached_quality`` is the stored quality score, where the store has one.
+    """
+    s = store.where(F.col("analysis_version") == version)
+    rest = [c for c in s.columns if c not in (*KEY, "quality_score", "id")]
+    quality = F.col("quality_score") if "quality_score" in s.columns else F.lit(None).cast("double")
+    s = s.select(*KEY, quality.alias("cached_quality"), *rest, F.lit(True).alias("cached"))
+    return listing.select(*KEY).join(s, KEY, "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
 
 
 def hit_rate(listing: DataFrame, store: DataFrame, version: int = ANALYSIS_VERSION) -> DataFrame:
@@ -105,12 +110,14 @@ def stats(store: DataFrame) -> DataFrame:
 
 
 class SnapshotStore:
-    """A directory of Parquet parts plus a ``CURRENT`` pointer file listing the live parts.
+    """A directory of Parquet parts and numbered lists of the live parts.
 
     ``write`` replaces the store with one new part; ``append`` adds a part (an
     incremental batch costs only its own rows); ``compact`` folds the live parts
-    into one; ``drop_old`` deletes parts no longer listed. The pointer moves only
-    after a part is fully written, so readers never see a half-written store.
+    into one; ``drop_old`` deletes parts no longer listed. A change writes its
+    parts, then a list ``CURRENT-<n>`` one number higher than the last, by renaming a
+    finished file to a name that must not exist. The highest list counts, so there
+    is always a whole one, and of two writers at once the second fails.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -121,12 +128,21 @@ class SnapshotStore:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
 
-    def parts(self) -> list[str]:
+    def _version(self) -> int:
+        """The number of the list that counts; 0 before the first."""
+        fs, jvm = self._fs()
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        if not fs.exists(root):
+            return 0
+        names = [st.getPath().getName() for st in fs.listStatus(root)]
+        return max([int(n[8:]) for n in names if n.startswith("CURRENT-") and n[8:].isdigit()], default=0)
+
+    def parts(self, version: int | None = None) -> list[str]:
         fs, jvm = self._fs()
-        p = jvm.org.apache.hadoop.fs.Path(self.root + "/CURRENT")
-        if not fs.exists(p):
+        version = self._version() if version is None else version
+        if not version:
             return []
-        stream = fs.open(p)
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT-{version}"))
         try:
             reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
             out = []
@@ -153,27 +169,30 @@ class SnapshotStore:
         (df.repartition(files) if files else df).write.mode("error").parquet(target)
         return target
 
-    def _point(self, parts: list[str]) -> None:
+    def _point(self, parts: list[str], after: int) -> None:
+        """Make ``parts`` the live ones, provided that the list ``after`` still counts."""
         fs, jvm = self._fs()
-        tmp = jvm.org.apache.hadoop.fs.Path(self.root + "/CURRENT.tmp")
+        tmp = jvm.org.apache.hadoop.fs.Path(f"{self.root}/.next-{uuid.uuid4().hex}")
         out = fs.create(tmp, True)
         try:
             out.write(bytearray("\n".join(parts).encode("utf-8")))
         finally:
             out.close()
-        final = jvm.org.apache.hadoop.fs.Path(self.root + "/CURRENT")
-        if fs.exists(final):
-            fs.delete(final, False)
-        fs.rename(tmp, final)
+        final = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT-{after + 1}")
+        if fs.exists(final) or not fs.rename(tmp, final):
+            fs.delete(tmp, False)
+            raise RuntimeError(f"another writer has changed the store {self.root}")
 
     def write(self, df: DataFrame, files: int | None = None) -> str:
+        after = self._version()
         target = self._new_part(df, files)
-        self._point([target])
+        self._point([target], after)
         return target
 
     def append(self, df: DataFrame) -> str:
         target = self._new_part(df, None)
-        self._point([*self.parts(), target])
+        after = self._version()
+        self._point([*self.parts(after), target], after)
         return target
 
     def disk_stats(self) -> DataFrame | None:
@@ -188,14 +207,17 @@ class SnapshotStore:
                             F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes")) \
             .withColumn("megabytes", F.round(F.col("bytes") / F.lit(1024.0 * 1024.0), 2))
 
-    def compact(self, files: int = 1) -> str | None:
+    def compact(self, files: int | None = None) -> str | None:
+        """Fold the parts into one; ``files`` bounds its files (default: one for each task)."""
         df = self.read()
         return self.write(df, files) if df is not None else None
 
     def drop_old(self) -> int:
         live = {p.rstrip("/").rsplit("/", 1)[-1] for p in self.parts()}
         fs, jvm = self._fs()
-        n = 0
+        n, last = 0, self._version()
+        for number in range(1, last):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT-{number}"), False)
         for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.root)):
             p = st.getPath()
             if st.isDirectory() and p.getName().startswith("snap-") and p.getName() not in live:

@@ -15,12 +15,11 @@ from neardup.functions.fingerprint import simhash_words
 from neardup.functions.scalars import (extension, format_number, format_rank, format_size,
                                        hex_to_words, words_to_hex)
 from neardup.operators import actions as ACT, report as REP, selection as SEL, store as ST
-from neardup.operators.components import connected_components
 from neardup.operators.exact import exact_hash_groups
 from neardup.operators.hamming import (band_pairs, collapse, lsh_buckets, lsh_pairs, lsh_positions,
                                        pigeonhole_plan, plan_bands)
 from neardup.plans import sql as S
-from neardup.plans.dataflow import GROUP_COLUMNS, find_duplicates, perceptual_candidates
+from neardup.plans.dataflow import GROUP_COLUMNS, find_duplicates, perceptual_candidates, perceptual_components
 from neardup.sources import fixtures as FX
 from neardup.session import cut_lineage
 from neardup.sources.tables import read_table, spread
@@ -65,14 +64,12 @@ def _cand(spark, d) -> DataFrame:
 
 
 def _text_reps(spark, d):
-    reps, copies = collapse(_cand(spark, d))
-    return cut_lineage(reps), copies          # both join sides and the count read one table
+    return collapse(_cand(spark, d))
 
 
 def _vec_reps(spark, d):
     v = cut_lineage(FX.fp_vec(spark, d).select(F.col("vec_id").alias("id"), "fp"))
-    reps, copies = collapse(v)
-    return cut_lineage(reps), copies
+    return collapse(v)
 
 
 _G = ", ".join(GROUP_COLUMNS)
@@ -85,9 +82,9 @@ _MANIFEST_COLS = ["id", "path", "mtime_s", "file_size", "width", "height", "pixe
                   "format", "file_hash", "error", "quality_score"]
 
 
-@register("analyze_manifest", S.with_ctes("m") + f"SELECT {', '.join(_MANIFEST_COLS)} FROM m")
+@register("analyze_manifest", S.with_ctes("m_failing") + f"SELECT {', '.join(_MANIFEST_COLS)} FROM m_failing")
 def analyze_manifest(spark, d):
-    m = FX.manifest_docs(spark, d, with_fp=False).withColumn("mtime_s", F.unix_seconds("mtime"))
+    m = FX.manifest_docs(spark, d, with_fp=False, failing=True).withColumn("mtime_s", F.unix_seconds("mtime"))
     return m.select(*_MANIFEST_COLS)
 
 
@@ -99,7 +96,7 @@ def quality_score(spark, d):
                     "quality_score")
 
 
-@register("manifest_projection", S.with_ctes("m") + f"""
+@register("manifest_projection", S.with_ctes("m_failing") + f"""
 SELECT path,
        regexp_extract(path, '[^/]*$', 0) AS filename,
        CASE WHEN strpos(path, '/') = 0 THEN '' WHEN regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '/'
@@ -108,9 +105,9 @@ SELECT path,
        width, height, CAST(width AS VARCHAR) || 'x' || CAST(height AS VARCHAR) AS resolution,
        pixel_count, ((pixel_count + 5000) // 10000) / 100.0::DOUBLE AS megapixels, format,
        {S.one_decimal('quality_score')} AS quality_1dp, error
-FROM m""")
+FROM m_failing""")
 def manifest_projection(spark, d):
-    return REP.manifest_projection(FX.manifest_docs(spark, d, with_fp=False))
+    return REP.manifest_projection(FX.manifest_docs(spark, d, with_fp=False, failing=True))
 
 
 @register("format_size", S.with_ctes("m") + f"""
@@ -134,10 +131,10 @@ def format_numbers(spark, d):
                     format_number("file_size").alias("size_fmt"))
 
 
-@register("error_split", S.with_ctes("m") + """
-SELECT CASE WHEN error IS NULL THEN 'valid' ELSE 'error' END AS status, count(*) AS n FROM m GROUP BY 1""")
+@register("error_split", S.with_ctes("m_failing") + """
+SELECT CASE WHEN error IS NULL THEN 'valid' ELSE 'error' END AS status, count(*) AS n FROM m_failing GROUP BY 1""")
 def error_split(spark, d):
-    m = FX.manifest_docs(spark, d, with_fp=False)
+    m = FX.manifest_docs(spark, d, with_fp=False, failing=True)
     return (m.groupBy(F.when(F.col("error").isNull(), "valid").otherwise("error").alias("status"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
@@ -148,9 +145,10 @@ _SCAN_EXTS = [e for e in C.IMAGE_EXTENSIONS if e not in C.CODEC_EXTENSIONS]
 @register("scan_by_extension", S.with_ctes("m") + f"""
 SELECT DISTINCT path, {S.EXT_SQL} AS ext FROM m WHERE {S.EXT_SQL} IN ({', '.join(f"'{e}'" for e in _SCAN_EXTS)})""")
 def scan_by_extension(spark, d):
-    m = FX.manifest_docs(spark, d, with_fp=False)
+    # every path is listed twice: by the manifest and by today's listing
+    listed = FX.manifest_docs(spark, d, with_fp=False).select("path").unionByName(FX.listing_now(spark, d).select("path"))
     from neardup.sources.files import keep_image_paths
-    return keep_image_paths(m.select("path")).select("path", extension("path").alias("ext"))
+    return keep_image_paths(listed).select("path", extension("path").alias("ext"))
 
 
 @register("content_hash", """
@@ -206,8 +204,8 @@ _STRAT_SQL = {
     "quality": "quality_score DESC, path",
     "largest": "file_size DESC, path",
     "smallest": "file_size ASC, path",
-    "newest": "mtime_s DESC NULLS LAST, path",
-    "oldest": "mtime_s ASC NULLS LAST, path",
+    "newest": "CASE WHEN id % 5 <> 0 THEN mtime_s END DESC NULLS LAST, path",
+    "oldest": "CASE WHEN id % 5 <> 0 THEN mtime_s END ASC NULLS LAST, path",
 }
 
 
@@ -217,7 +215,9 @@ SELECT group_id, path, CASE WHEN row_number() OVER (PARTITION BY group_id ORDER
        THEN 'keep' ELSE 'delete' END AS decision FROM groups_exact"""
 
     def q(spark, d):
-        return SEL.selections(_groups_exact(spark, d), strategy)
+        # some members have no known time, so both orders by time meet NULLs
+        g = _groups_exact(spark, d).withColumn("mtime", F.when(F.col("id") % 5 != 0, F.col("mtime")))
+        return SEL.selections(g, strategy)
 
     register(f"select_{strategy}", sql)(q)
 
@@ -268,6 +268,12 @@ def report_summary(spark, d):
     return REP.group_stats(_groups_all(spark, d))
 
 
+@register("report_summary_newest", S.with_ctes("groups_all") + _stats_sql("groups_all"))
+def report_summary_newest(spark, d):
+    """Waste leaves out the best by quality also where the newest is selected."""
+    return REP.group_stats(find_duplicates(FX.manifest_docs(spark, d), threshold=S.T_TEXT, strategy="newest"))
+
+
 @register("scan_summary", S.with_ctes("groups_all", "m") + """
 SELECT (SELECT CAST(count(*) AS BIGINT) FROM m) AS total_files,
        (SELECT CAST(count(error) AS BIGINT) FROM m) AS errors,
@@ -300,6 +306,14 @@ def export_rows(spark, d):
     return REP.export_rows(_groups_all(spark, d))
 
 
+@register("export_rows_newest", S.with_ctes("groups_all") + f"""
+SELECT group_id, match_type, CASE WHEN member_rank = 1 THEN 'keep' ELSE 'duplicate' END AS status, path,
+       width, height, file_size, {S.one_decimal('quality_score')} AS quality_score FROM groups_all""")
+def export_rows_newest(spark, d):
+    """The status follows quality also where the newest is selected."""
+    return REP.export_rows(find_duplicates(FX.manifest_docs(spark, d), threshold=S.T_TEXT, strategy="newest"))
+
+
 @register("groups_json", S.with_ctes("groups_exact") + f"""
 SELECT g.group_id, p.page, g.match_type, g.image_count, p.member_paths, g.best_path, g.selected_keep,
        g.potential_savings
@@ -354,27 +368,55 @@ def action_plan(spark, d):
     return ACT.action_plan(_groups_exact(spark, d), "hardlink")
 
 
-@register("action_plan_move", S.with_ctes("groups_exact") + """
-SELECT group_id, path, 'move' AS action,
-       '/trash/' || CASE WHEN k = 1 THEN name
-                         ELSE regexp_extract(name, '^(.+?)(\\.[^.]*)?$', 1) || '_' || CAST(k - 1 AS VARCHAR)
-                              || regexp_extract(name, '^(.+?)(\\.[^.]*)?$', 2) END AS target,
-       keeper, file_size AS bytes
-FROM (SELECT g.*, k.path AS keeper, regexp_extract(g.path, '[^/]*$', 0) AS name,
+# basenames that repeat, some of them of the form that numbering gives
+_COPY_PATH_SQL = ("'/' || CAST(id AS VARCHAR) || '/copy' || CASE WHEN id % 3 = 0 THEN '_' || CAST(id % 7 AS VARCHAR) ELSE '' END "
+                  "|| CASE WHEN id % 2 = 0 THEN '.png' ELSE '' END")
+_NUMBERED = r"'^(.+)_([1-9][0-9]*)(\.[^.]*)?$'"
+
+
+@register("action_plan_move", S.with_ctes("groups_exact") + f""",
+c AS (SELECT * REPLACE ({_COPY_PATH_SQL} AS path) FROM groups_exact),
+x AS (SELECT g.*, k.path AS keeper, regexp_extract(g.path, '[^/]*$', 0) AS name,
              row_number() OVER (PARTITION BY regexp_extract(g.path, '[^/]*$', 0)
                                 ORDER BY g.group_id, g.member_rank, g.path) AS k
-      FROM groups_exact g JOIN groups_exact k ON k.group_id = g.group_id AND k.member_rank = 1
-      WHERE g.member_rank > 1) x""")
+      FROM c g JOIN c k ON k.group_id = g.group_id AND k.member_rank = 1
+      WHERE g.member_rank > 1),
+used AS (SELECT DISTINCT regexp_extract(name, {_NUMBERED}, 1) || regexp_extract(name, {_NUMBERED}, 3) AS name,
+                CAST(regexp_extract(name, {_NUMBERED}, 2) AS BIGINT) AS number
+         FROM x WHERE regexp_matches(name, {_NUMBERED})),
+tried AS (SELECT name, unnest(range(1, n + 1 + (SELECT count(*) FROM used))) AS number
+          FROM (SELECT name, max(k) AS n FROM x GROUP BY name) y),
+free AS (SELECT name, number, row_number() OVER (PARTITION BY name ORDER BY number) AS r
+         FROM tried t WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.name = t.name AND u.number = t.number))
+SELECT x.group_id, x.path, 'move' AS action,
+       '/trash/' || CASE WHEN x.k = 1 THEN x.name
+                         ELSE regexp_extract(x.name, '^(.+?)(\\.[^.]*)?$', 1) || '_' || CAST(f.number AS VARCHAR)
+                              || regexp_extract(x.name, '^(.+?)(\\.[^.]*)?$', 2) END AS target,
+       x.keeper, x.file_size AS bytes
+FROM x LEFT JOIN free f ON f.name = x.name AND f.r = x.k - 1""")
 def action_plan_move(spark, d):
-    return ACT.action_plan(_groups_exact(spark, d), "move", "/trash")
-
-
-@register("action_plan_summary", S.with_ctes("groups_exact") + """
-SELECT CAST(count(*) AS BIGINT) AS processed, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS errors,
-       CAST(coalesce(sum(file_size), 0) AS BIGINT) AS space_saved
-FROM groups_exact WHERE member_rank > 1""")
+    g = _groups_exact(spark, d).withColumn("path", F.concat(
+        F.lit("/"), F.col("id").cast("string"), F.lit("/copy"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("_"), (F.col("id") % 7).cast("string"))).otherwise(F.lit("")),
+        F.when(F.col("id") % 2 == 0, F.lit(".png")).otherwise(F.lit(""))))
+    return ACT.action_plan(g, "move", "/trash")
+
+
+@register("action_plan_summary", S.with_ctes("groups_exact") + """,
+gone AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0),
+p AS (SELECT g.file_size, g.id NOT IN (SELECT doc_id FROM gone) AS there, k.id NOT IN (SELECT doc_id FROM gone) AS keeper
+      FROM groups_exact g JOIN groups_exact k ON k.group_id = g.group_id AND k.member_rank = 1 WHERE g.member_rank > 1)
+SELECT CAST(count(*) FILTER (WHERE there AND keeper) AS BIGINT) AS processed,
+       CAST(count(*) FILTER (WHERE NOT there) AS BIGINT) AS skipped,
+       CAST(count(*) FILTER (WHERE there AND NOT keeper) AS BIGINT) AS errors,
+       CAST(coalesce(sum(file_size) FILTER (WHERE there AND keeper), 0) AS BIGINT) AS space_saved
+FROM p""")
 def action_plan_summary(spark, d):
-    return ACT.action_summary(ACT.action_plan(_groups_exact(spark, d), "delete"))
+    """Files labelled as poor were removed since the scan."""
+    g = _groups_exact(spark, d)
+    gone = read_table(spark, d, "labels").where(F.col("quality") == 0).select(F.col("doc_id").alias("id"))
+    listing = FX.manifest_docs(spark, d, with_fp=False).select("id", "path").join(gone, "id", "left_anti")
+    return ACT.action_summary(ACT.action_plan(g, "hardlink"), listing)
 
 
 # ---------------------------------------------------------------------------
@@ -461,6 +503,15 @@ def lsh_probe(spark, d):
     return probe_join(probes, reps, 4, _LSH_POS).select(F.col("probe").alias("item_id"), F.col("id").alias("doc_id"))
 
 
+@register("lsh_probe_self", S.with_ctes("lsh_cands") + """
+SELECT src AS probe, dst AS id FROM lsh_cands UNION ALL SELECT dst, src FROM lsh_cands""")
+def lsh_probe_self(spark, d):
+    """Every document looks for the others in the index of all documents."""
+    from neardup.operators.hamming import lsh_probe as probe_join
+    reps, _ = _text_reps(spark, d)
+    return probe_join(reps, reps, 4, _LSH_POS, exclude_self=True).select("probe", "id")
+
+
 @register("lsh_index_stats", S.with_ctes("buckets") + f"""
 SELECT {S.LSH_TABLES} AS num_tables, {S.LSH_BITS} AS bits_per_table,
        (SELECT CAST(count(DISTINCT id) AS BIGINT) FROM buckets) AS total_items,
@@ -500,9 +551,7 @@ def _sizes_sql() -> str:
     return S.with_ctes("m", "cand") + """, sizes AS (
   SELECT 'documents' AS collection, CAST(count(*) AS BIGINT) AS n FROM m
   UNION ALL SELECT 'candidates', CAST(count(*) AS BIGINT) FROM cand
-  UNION ALL SELECT 'embeddings', CAST(count(*) AS BIGINT) FROM embeddings
-  UNION ALL SELECT 'documents_x1000', CAST(count(*) * 1000 AS BIGINT) FROM m
-  UNION ALL SELECT 'documents_x100000', CAST(count(*) * 100000 AS BIGINT) FROM m)"""
+  UNION ALL SELECT 'embeddings', CAST(count(*) AS BIGINT) FROM embeddings)"""
 
 
 def _tier_sql(n: str) -> tuple[str, str]:
@@ -535,10 +584,7 @@ def lsh_cost_model(spark, d):
 
 @register("components", S.with_ctes("comp") + "SELECT id, component FROM comp")
 def components(spark, d):
-    reps, copies = _text_reps(spark, d)
-    pairs = band_pairs(reps, 4, plan_bands(reps.count(), 256, S.T_TEXT))
-    edges = pairs.select("src", "dst").unionByName(copies.select(F.col("id").alias("src"), F.col("rep").alias("dst")))
-    return connected_components(edges)
+    return perceptual_components(_cand(spark, d), S.T_TEXT, 256)
 
 
 @register("vector_components", (S.with_ctes("vpairs", "vcopies") + """, vedges AS (
@@ -547,10 +593,7 @@ def components(spark, d):
 vreach(id, c) AS (SELECT a, a FROM vedges UNION SELECT e.b, r.c FROM vreach r JOIN vedges e ON e.a = r.id)
 SELECT id, min(c) AS component FROM vreach GROUP BY id""").replace("WITH ", "WITH RECURSIVE ", 1))
 def vector_components(spark, d):
-    reps, copies = _vec_reps(spark, d)
-    pairs = band_pairs(reps, 1, plan_bands(reps.count(), 64, S.T_VEC))
-    edges = pairs.select("src", "dst").unionByName(copies.select(F.col("id").alias("src"), F.col("rep").alias("dst")))
-    return connected_components(edges)
+    return perceptual_components(cut_lineage(FX.fp_vec(spark, d).select(F.col("vec_id").alias("id"), "fp")), S.T_VEC, 64)
 
 
 @register("perceptual_groups", S.with_ctes("groups_all") + f"""
@@ -645,10 +688,10 @@ def store_upsert(spark, d):
                        F.unix_seconds("last_accessed").alias("last_accessed_s"))
 
 
-@register("store_invalidate", S.with_ctes("store") + """
-SELECT path, mtime_s FROM store WHERE path NOT IN (SELECT path FROM store WHERE error IS NOT NULL)""")
+@register("store_invalidate", S.with_ctes("store_failing") + """
+SELECT path, mtime_s FROM store_failing WHERE path NOT IN (SELECT path FROM store_failing WHERE error IS NOT NULL)""")
 def store_invalidate(spark, d):
-    store, _ = _store_listing(spark, d)
+    store = FX.store_old(spark, d, failing=True)
     return ST.invalidate(store, store.where(F.col("error").isNotNull())).select(
         "path", F.unix_seconds("mtime").alias("mtime_s"))
 
@@ -692,5 +735,5 @@ def perceptual_only(spark, d):
 SELECT {_G.replace('is_best', 'member_rank = 1 AS is_best')} FROM groups_lsh""")
 def find_duplicates_lsh(spark, d):
     g = find_duplicates(FX.manifest_docs(spark, d), threshold=S.T_TEXT, use_lsh=True,
-                        lsh_params_override=(S.LSH_TABLES, S.LSH_BITS))
+                        lsh_tables_bits=(S.LSH_TABLES, S.LSH_BITS))
     return g.select(*GROUP_COLUMNS)

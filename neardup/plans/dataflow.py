@@ -18,7 +18,7 @@ from neardup.operators.hamming import (HOT_BUCKET_ROWS, band_index, band_pairs,
                                        largest_bucket, leader_edges, lsh_index, lsh_pairs, lsh_positions,
                                        validate_threshold)
 from neardup.operators.ranking import global_index
-from neardup.operators.selection import rank_members
+from neardup.operators.selection import best_per_group, effective_strategy, rank_members
 from neardup.session import cut_lineage
 
 MODES = ("both", "exact_only", "perceptual_only")
@@ -33,32 +33,9 @@ def perceptual_candidates(manifest: DataFrame, hash_groups: DataFrame | None) ->
     return exclude_exact(c, hash_groups) if hash_groups is not None else c
 
 
-def similar_pairs(candidates: DataFrame, threshold: int, bits: int = 256,
-                  use_lsh: bool | None = None, n: int | None = None,
-                  lsh_params_override: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pairs(src, dst, distance) between distinct fingerprints, copies(id, rep)).
-
-    The LSH size tier is chosen from the number of distinct fingerprints unless
-    ``lsh_params_override`` = (tables, bits per table) is given.
-    """
-    n_words = bits // 64
-    reps, copies = collapse(candidates)
-    if n is None:
-        n = reps.count()
-    strat = choose_strategy(n, bits, threshold, use_lsh)
-    if strat.kind == "lsh":
-        tables, k = lsh_params_override or (strat.tables, strat.bits_per_table)
-        pos = lsh_positions(tables, k, bits)
-        pairs = lsh_pairs(reps, n_words, pos, threshold)
-    else:
-        pairs = band_pairs(reps, n_words, strat.band_plan)
-    return pairs, copies
-
-
 def perceptual_components(candidates: DataFrame, threshold: int, bits: int = 256,
-                          use_lsh: bool | None = None,
-                          lsh_params_override: tuple[int, int] | None = None,
-                          hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
+                          use_lsh: bool = False, lsh_tables_bits: tuple[int, int] | None = None,
+                          target_recall: float = 0.99, hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
     """(id, component) for candidates that have at least one similar row.
 
     When a bucket of the chosen index holds more than ``hot_bucket_rows``
@@ -71,12 +48,10 @@ def perceptual_components(candidates: DataFrame, threshold: int, bits: int = 256
     """
     n_words = bits // 64
     reps, copies = collapse(candidates)
-    reps = cut_lineage(reps)
     n = reps.count()
-    strat = choose_strategy(n, bits, threshold, use_lsh)
+    strat = choose_strategy(n, bits, threshold, use_lsh, lsh_tables_bits, target_recall)
     if strat.kind == "lsh":
-        tables, k = lsh_params_override or (strat.tables, strat.bits_per_table)
-        pos = lsh_positions(tables, k, bits)
+        pos = lsh_positions(strat.tables, strat.bits_per_table, bits)
         index, cols = lsh_index(reps, n_words, pos), ["table_idx", *[f"k{i}" for i in range(n_words)]]
 
         def pairs_fn(comp):
@@ -98,15 +73,17 @@ def perceptual_components(candidates: DataFrame, threshold: int, bits: int = 256
 
 
 def find_duplicates(manifest: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, mode: str = "both",
-                    use_lsh: bool | None = None, bits: int = 256, strategy: str = "quality",
-                    valid_only: bool = True, lsh_params_override: tuple[int, int] | None = None,
-                    hot_bucket_rows: int = HOT_BUCKET_ROWS, materialize: bool = True) -> DataFrame:
-    """Groups table (one row per member): GROUP_COLUMNS + id, mtime.
+                    use_lsh: bool = False, bits: int = 256, strategy: str = "quality",
+                    valid_only: bool = True, lsh_tables_bits: tuple[int, int] | None = None,
+                    target_recall: float = 0.99, hot_bucket_rows: int = HOT_BUCKET_ROWS, materialize: bool = True) -> DataFrame:
+    """Groups table (one row per member): GROUP_COLUMNS + id, mtime, selected.
 
     Exact groups come first (ids from 1, ordered by their smallest path), then
     near-duplicate groups, whose members exclude every exact-group member unless
     ``mode='perceptual_only'``. ``member_rank`` orders each group under
-    ``strategy``; ``is_best`` marks rank 1. With ``materialize`` the table is
+    ``strategy`` and ``selected`` marks its rank 1; ``is_best`` marks the best by
+    quality, which reports and action plans keep whatever the strategy. Pairs are
+    exact unless ``use_lsh`` asks for LSH (see ``choose_strategy``). With ``materialize`` the table is
     written under the checkpoint dir and read back, so reports, exports and
     action plans built on it do not recompute the dataflow.
     """
@@ -125,18 +102,24 @@ def find_duplicates(manifest: DataFrame, threshold: int = C.DEFAULT_THRESHOLD, m
                                F.col("file_hash").alias("gkey"), "first_path"))
     if mode != "exact_only":
         cand = perceptual_candidates(m, hash_groups)
-        comps = perceptual_components(cand, threshold, bits, use_lsh, lsh_params_override, hot_bucket_rows)
-        pm = cand.join(comps, "id")
-        first = pm.groupBy("component").agg(F.min("path").alias("first_path"))
+        comps = perceptual_components(cand, threshold, bits, use_lsh, lsh_tables_bits, target_recall, hot_bucket_rows)
+        pm = cut_lineage(cand.join(comps, "id"))
+        first = cut_lineage(pm.groupBy("component").agg(F.min("path").alias("first_path")))
         pm = pm.join(first, "component")
         parts.append(pm.select(*_MEMBER_COLS, F.lit("perceptual").alias("match_type"),
                                F.col("component").cast("string").alias("gkey"), "first_path"))
-    members = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    members = cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
     keys = members.groupBy("match_type", "gkey", "first_path").agg(F.count(F.lit(1)).alias("_n"))
     type_order = F.when(F.col("match_type") == "exact", F.lit(0)).otherwise(F.lit(1))
     ids = global_index(keys.withColumn("_t", type_order), ["_t", "first_path"], "group_id")
     largest = ids.agg(F.max("_n")).first()[0] or 0      # read from the materialised group table
     g = members.join(ids.select("match_type", "gkey", "group_id"), ["match_type", "gkey"])
-    g = rank_members(g, strategy, largest_group=largest).withColumn("is_best", F.col("member_rank") == 1)
-    g = g.select(*GROUP_COLUMNS, "id", "mtime")
+    g = rank_members(g, strategy, largest_group=largest).withColumn("selected", F.col("member_rank") == 1)
+    if effective_strategy(strategy) == "quality":
+        g = g.withColumn("is_best", F.col("selected"))
+    else:
+        g = cut_lineage(g)
+        best = cut_lineage(best_per_group(g).select("group_id", "best_path"))
+        g = g.join(best, "group_id").withColumn("is_best", F.col("path") == F.col("best_path"))
+    g = g.select(*GROUP_COLUMNS, "id", "mtime", "selected")
     return cut_lineage(g) if materialize else g

@@ -72,8 +72,10 @@ def cte(name: str, deps: tuple, body: str) -> None:
     CTES[name] = (deps, body)
 
 
-def manifest_sql(rows: str) -> str:
+def manifest_sql(rows: str, failing: bool = False) -> str:
     """Manifest columns from a (doc_id, text, lang, source, n_chars) relation."""
+    bad = r"NOT coalesce(regexp_matches(text, '[^ \t\n\r]'), false)" + (
+        f" OR doc_id % {FX.DOC_ERROR_EVERY} = 0" if failing else "")
     return f"""
 SELECT doc_id AS id,
        '/' || source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || ext AS path,
@@ -85,17 +87,21 @@ SELECT doc_id AS id,
        bit_depth,
        CASE WHEN ext <> '' THEN upper(substr(ext, 2, 10)) END AS format,
        sha256(text) AS file_hash,
-       CASE WHEN doc_id % {FX.DOC_ERROR_EVERY} = 0 THEN '{FX.DOC_ERROR_TEXT}' END AS error
+       CASE WHEN {bad} THEN '{FX.DOC_ERROR_TEXT}' END AS error
 FROM (SELECT *, {_list(FX.DOC_EXTENSIONS)}[doc_id % {len(FX.DOC_EXTENSIONS)} + 1] AS ext,
              {_list(FX.DOC_BIT_DEPTHS)}[doc_id % {len(FX.DOC_BIT_DEPTHS)} + 1] AS bit_depth
       FROM {rows}) d"""
 
 
-cte("m0", (), manifest_sql("documents"))
-cte("wm0", (), manifest_sql(f"(SELECT page_id AS doc_id, html AS text, '{FX.PAGES_LANG}' AS lang, "
-                            f"'{FX.PAGES_SOURCE}' AS source, CAST(length(html) AS BIGINT) AS n_chars FROM pages)"))
-cte("wm", ("wm0",), f"SELECT *, CASE WHEN error IS NULL THEN {quality_sql()} ELSE 0.0::DOUBLE END AS quality_score FROM wm0")
-cte("m", ("m0",), f"SELECT *, CASE WHEN error IS NULL THEN {quality_sql()} ELSE 0.0::DOUBLE END AS quality_score FROM m0")
+_PAGES = (f"(SELECT page_id AS doc_id, html AS text, '{FX.PAGES_LANG}' AS lang, "
+          f"'{FX.PAGES_SOURCE}' AS source, CAST(length(html) AS BIGINT) AS n_chars FROM pages)")
+# the second of each pair also has the errors by id, for the queries about errors
+for _sfx, _failing in (("", False), ("_failing", True)):
+    cte(f"m0{_sfx}", (), manifest_sql("documents", _failing))
+    cte(f"wm0{_sfx}", (), manifest_sql(_PAGES, _failing))
+    for _w in ("", "w"):
+        cte(f"{_w}m{_sfx}", (f"{_w}m0{_sfx}",), f"SELECT *, CASE WHEN error IS NULL THEN {quality_sql()} "
+                                               f"ELSE 0.0::DOUBLE END AS quality_score FROM {_w}m0{_sfx}")
 
 # SimHash-256 of distinct whitespace tokens
 cte("tok", (), r"""
@@ -162,10 +168,11 @@ cte("groups_exact", ("exact_members",), ranked("exact_members"))
 cte("groups_all", ("all_members",), ranked("all_members"))
 
 # store fixtures (B4)
-cte("store", ("m", "wm"), f"""
+for _sfx in ("", "_failing"):
+    cte(f"store{_sfx}", (f"m{_sfx}", f"wm{_sfx}"), f"""
 SELECT *, 1 AS analysis_version, mtime_s AS created_s,
        {FX.STORE_NOW} - (abs(id) % {FX.STORE_ACCESS_SPREAD_DAYS}) * {FX.DAY} AS last_accessed_s
-FROM (SELECT * FROM m UNION ALL SELECT * REPLACE (-(id + 1) AS id) FROM wm) s""")
+FROM (SELECT * FROM m{_sfx} UNION ALL SELECT * REPLACE (-(id + 1) AS id) FROM wm{_sfx}) s""")
 cte("listing", ("m",), f"""
 SELECT id, path, mtime_s + CASE WHEN id % {FX.LISTING_CHANGED_EVERY} = 0 THEN {FX.DAY} ELSE 0 END AS mtime_s, file_size
 FROM m""")

@@ -7,10 +7,11 @@ metadata filter never open a file. Decoding uses Spark's ``image`` source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from neardup import constants as C
 from neardup.functions.scalars import bit_depth_from_mode, extension, quality_score, words_to_hex
+from neardup.session import cut_lineage
 
 
 def image_extensions(with_codecs: bool = False) -> list[str]:
@@ -63,29 +64,74 @@ def content_hashes(spark: SparkSession, root: str, recursive: bool = True,
     return keep_image_paths(df.select("path", fn(F.col("content")).alias("file_hash")))
 
 
+#: What Spark's ``image`` source decodes; a file of another known type has no pixels but is no error.
+DECODED = (".bmp", ".gif", ".jpeg", ".jpg", ".jpe", ".jfif", ".png", ".wbmp")
+#: First bytes of the formats, as upper-case hex (fixed values).
+MAGIC = (("89504E470D0A1A0A", "PNG"), ("FFD8FF", "JPEG"), ("474946383761", "GIF"), ("474946383961", "GIF"),
+         ("424D", "BMP"), ("49492A00", "TIFF"), ("4D4D002A", "TIFF"), ("38425053", "PSD"))
+
+
+def content_format(content: Column, ext: Column) -> Column:
+    """The format named by the first bytes; else the extension's name."""
+    head = F.hex(F.substring(content, 1, 12))
+    out = F.when(head.startswith("52494646") & head.endswith("57454250"), F.lit("WEBP"))
+    for magic, name in MAGIC:
+        out = out.when(head.startswith(magic), F.lit(name))
+    return out.otherwise(F.when(ext != "", F.upper(F.substring(ext, 2, 10))))
+
+
+def analyze_new(spark: SparkSession, root: str, store: DataFrame, recursive: bool = True,
+                version: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(stored records still valid, manifest of the files that changed or are new) of ``root``.
+
+    Only the listing is read for known files.
+    """
+    from neardup.operators.store import split_hits
+    hits, misses = split_hits(find_image_files(spark, root, recursive), store, version)
+    return hits, analyze(spark, root, recursive, only=misses)
+
+
 def analyze(spark: SparkSession, root: str, recursive: bool = True, with_phash: bool = True,
-            with_hash: bool = True) -> DataFrame:
-    """Manifest of the image files under ``root``.
+            with_hash: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """Manifest of the image files under ``root``, with a gap-free ``id`` in path order.
+
+    ``binaryFile`` (size, mtime, content -> SHA-256) joined on ``_metadata.file_path``
+    to the ``image`` source (width, height, channels, pixels -> pHash). Hashes are
+    taken in the scans, so neither contents nor pixels are shuffled. A damaged
+    file of a type that is decoded gets ``error`` text instead of failing the job; a
+    type without a decoder keeps its hash, with no pixels and no error.
 
-    One job: ``binaryFile`` (size, mtime, content -> SHA-256) joined on
-    ``_metadata.file_path`` to the ``image`` source (width, height, channels,
-    pixels). Undecodable files get ``error`` text instead of failing the job.
+    ``only`` (path, mtime) restricts the work to these files: those older than the
+    oldest of them aren't even opened.
     """
+    from neardup.operators.ranking import global_index
     from neardup.functions.fingerprint import phash_words
     opt = str(recursive).lower()
-    raw = (_binary(spark, root, recursive)
-           .select(F.col("_metadata.file_path").alias("_fp"), "path",
-                   F.col("modificationTime").alias("mtime"), F.col("length").alias("file_size"), "content"))
-    raw = raw.where(extension("path").isin(image_extensions())).dropDuplicates(["path"])
-    img = (spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", opt)
-           .option("pathGlobFilter", extension_glob())      # never try to decode other files
-           .load(root)
-           .select(F.col("_metadata.file_path").alias("_fp"), F.col("image.height").alias("_h"),
-                   F.col("image.width").alias("_w"), F.col("image.nChannels").alias("_c"),
-                   F.col("image.mode").alias("_mode"), F.col("image.data").alias("_data")))
-    j = raw.join(img, "_fp", "left")
-    ok = F.col("_h").isNotNull() & (F.col("_h") > 0)
     ext = extension("path")
+    files = _binary(spark, root, recursive)
+    images = (spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", opt)
+              .option("pathGlobFilter", extension_glob())      # never try to decode other files
+              .load(root))
+    if only is not None:
+        only = cut_lineage(only.select("path", "mtime"))
+        oldest = only.agg(F.min("mtime")).first()[0]
+        since = F.col("_metadata.file_modification_time") >= F.lit(oldest)      # prunes the listing
+        files = files.where(since)
+        images = images.where(since)
+    raw = files.where(ext.isin(image_extensions())).select(
+        F.col("_metadata.file_path").alias("_fp"), "path", F.col("modificationTime").alias("mtime"),
+        F.col("length").alias("file_size"), content_format(F.col("content"), ext).alias("format"),
+        (F.sha2("content", 256) if with_hash else F.lit(None).cast("string")).alias("file_hash"))
+    if only is not None:      # written first, so that the join is of hashes and not of contents
+        raw = cut_lineage(raw).join(only.select("path"), "path", "left_semi")
+    read = F.col("image.height") > 0
+    img = images.select(
+        F.col("_metadata.file_path").alias("_fp"), F.col("image.height").alias("_h"),
+        F.col("image.width").alias("_w"), F.col("image.nChannels").alias("_c"),
+        (F.when(read, phash_words("image.data", "image.height", "image.width", "image.nChannels")) if with_phash
+         else F.lit(None).cast("array<bigint>")).alias("_phash"))
+    j = raw.dropDuplicates(["path"]).join(img, "_fp", "left")
+    ok = F.col("_h").isNotNull() & (F.col("_h") > 0)
     mode_name = F.when(F.col("_c") == 1, F.lit("L")).when(F.col("_c") == 3, F.lit("RGB")) \
         .when(F.col("_c") == 4, F.lit("RGBA"))
     out = j.select(
@@ -94,12 +140,9 @@ def analyze(spark: SparkSession, root: str, recursive: bool = True, with_phash:
         F.when(ok, F.col("_h")).otherwise(F.lit(0)).alias("height"),
         F.when(ok, F.col("_w").cast("bigint") * F.col("_h")).otherwise(F.lit(0).cast("bigint")).alias("pixel_count"),
         F.when(ok, bit_depth_from_mode(mode_name)).otherwise(F.lit(0)).alias("bit_depth"),
-        F.when(ok, F.upper(F.substring(ext, 2, 10))).alias("format"),
-        (F.sha2("content", 256) if with_hash else F.lit(None).cast("string")).alias("file_hash"),
-        (F.when(ok, phash_words("_data", "_h", "_w", "_c")) if with_phash
-         else F.lit(None).cast("array<bigint>")).alias("fp"),
-        F.when(~ok, F.lit("cannot identify image file")).alias("error"))
-    out = out.withColumn("perceptual_hash", words_to_hex("fp", 4))
+        "format", "file_hash", F.when(ok, F.col("_phash")).alias("fp"),
+        F.when(~ok & ext.isin(*DECODED), F.lit("cannot identify image file")).alias("error"))
+    out = global_index(out, ["path"], "id").withColumn("perceptual_hash", words_to_hex("fp", 4))
     q = F.when(F.col("error").isNull(), quality_score("pixel_count", "file_size", "bit_depth", "path")) \
         .otherwise(F.lit(0.0))
     return out.withColumn("quality_score", q)

@@ -20,7 +20,7 @@ from neardup.sources.tables import read_table, spread
 DOC_EXTENSIONS = (".png", ".jpg", ".cr2", ".gif", ".tiff", ".webp", ".JPEG", ".fits", ".txt", "")
 DOC_BIT_DEPTHS = (1, 8, 16, 24, 32, 64)
 DOC_HEIGHT = 4000
-DOC_ERROR_EVERY = 97                 # doc_id % 97 = 0 -> analysis error
+DOC_ERROR_EVERY = 97                 # failing=True: doc_id % 97 = 0 -> analysis error
 DOC_ERROR_TEXT = "cannot identify image file"
 DOC_MTIME_BASE = 1704067200          # 2024-01-01 00:00:00 UTC, + doc_id seconds
 DOC_BYTES_PER_CHAR_BYTE = 1024       # file_size = UTF-8 bytes of text * 1024
@@ -30,12 +30,17 @@ def _pick(values, idx) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx % len(values)).cast("int") + 1)
 
 
-def manifest_rows(rows: DataFrame, with_fp: bool = True) -> DataFrame:
+def manifest_rows(rows: DataFrame, with_fp: bool = True, failing: bool = False) -> DataFrame:
     """(doc_id, text, lang, source, n_chars) rows -> manifest(id, path, mtime, file_size, width,
-    height, pixel_count, bit_depth, format, file_hash, perceptual_hash, fp, quality_score, error)."""
+    height, pixel_count, bit_depth, format, file_hash, perceptual_hash, fp, quality_score, error).
+
+    A NULL or blank text is an error. ``failing`` adds errors by id, for the queries
+    whose feature is the treatment of errors; they drop no row.
+    """
     did = F.col("doc_id")
     ext = _pick(DOC_EXTENSIONS, did)
-    error = F.when(did % DOC_ERROR_EVERY == 0, F.lit(DOC_ERROR_TEXT))
+    bad = ~F.coalesce(F.col("text").rlike(r"[^ \t\n\r]"), F.lit(False))
+    error = F.when(bad | (did % DOC_ERROR_EVERY == 0) if failing else bad, F.lit(DOC_ERROR_TEXT))
     m = rows.select(
         did.alias("id"),
         F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), did.cast("string"), ext).alias("path"),
@@ -57,18 +62,18 @@ def manifest_rows(rows: DataFrame, with_fp: bool = True) -> DataFrame:
     return m.withColumn("quality_score", q)
 
 
-def manifest_docs(spark: SparkSession, sf_dir: str, with_fp: bool = True) -> DataFrame:
+def manifest_docs(spark: SparkSession, sf_dir: str, with_fp: bool = True, failing: bool = False) -> DataFrame:
     """documents -> manifest (B1)."""
     docs = read_table(spark, sf_dir, "documents")
-    return manifest_rows(spread(docs) if with_fp else docs, with_fp)
+    return manifest_rows(spread(docs) if with_fp else docs, with_fp, failing)
 
 
-def manifest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def manifest_pages(spark: SparkSession, sf_dir: str, failing: bool = False) -> DataFrame:
     """pages -> manifest rows under /pages/web/ (ids negated: -(page_id + 1))."""
     pages = read_table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.lit(PAGES_LANG).alias("lang"),
         F.lit(PAGES_SOURCE).alias("source"), F.length("html").cast("bigint").alias("n_chars"))
-    return manifest_rows(pages, with_fp=False).withColumn("id", -(F.col("id") + 1))
+    return manifest_rows(pages, with_fp=False, failing=failing).withColumn("id", -(F.col("id") + 1))
 
 
 def fp_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +102,10 @@ PAGES_LANG = "web"           # pages become files that were analysed once and ar
 PAGES_SOURCE = "pages"
 
 
-def store_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_old(spark: SparkSession, sf_dir: str, failing: bool = False) -> DataFrame:
     """Analysis store left by an earlier scan: every document, plus every page as a file
     that has since been deleted; version and access times added. No row is filtered out."""
-    m = manifest_docs(spark, sf_dir, with_fp=False).unionByName(manifest_pages(spark, sf_dir))
+    m = manifest_docs(spark, sf_dir, with_fp=False, failing=failing).unionByName(manifest_pages(spark, sf_dir, failing))
     return (m.withColumn("analysis_version", F.lit(1))
             .withColumn("created_at", F.col("mtime"))
             .withColumn("last_accessed", F.timestamp_seconds(

@@ -8,16 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from neardup.functions.scalars import hex_to_words
+from neardup.operators.ranking import global_index
+
 MANIFEST_JSON_SCHEMA = ("path STRING, file_size BIGINT, width INT, height INT, pixel_count BIGINT, "
                         "bit_depth INT, format STRING, file_hash STRING, perceptual_hash STRING, "
-                        "quality_score DOUBLE, error STRING")
+                        "quality_score DOUBLE, error STRING, mtime DOUBLE")
 
 
 def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(MANIFEST_JSON_SCHEMA).json(path)
     w = F.coalesce("width", F.lit(0))
     h = F.coalesce("height", F.lit(0))
-    return raw.select(
+    out = raw.select(
         "path",
         F.coalesce("file_size", F.lit(0).cast("bigint")).alias("file_size"),
         w.alias("width"), h.alias("height"),
@@ -27,4 +30,5 @@ def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:
         F.nullif("file_hash", F.lit("")).alias("file_hash"),
         F.nullif("perceptual_hash", F.lit("")).alias("perceptual_hash"),
         F.coalesce("quality_score", F.lit(0.0)).alias("quality_score"),
-        "error")
+        "error", F.timestamp_seconds("mtime").alias("mtime"), hex_to_words("perceptual_hash").alias("fp"))
+    return global_index(out, ["path"], "id")

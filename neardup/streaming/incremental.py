@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from neardup.functions.scalars import extension
 from neardup.operators.hamming import size_checked_broadcast
 from neardup.operators import store as ST
+from neardup.session import cut_lineage
 from neardup.sources.files import extension_glob, image_extensions
 
 BINARY_SCHEMA = T.StructType([
@@ -23,7 +24,10 @@ BINARY_SCHEMA = T.StructType([
     T.StructField("content", T.BinaryType(), True),
 ])
 
-STORE_COLUMNS = ["path", "mtime", "file_size", "file_hash", "analysis_version", "created_at", "last_accessed"]
+#: What a batch analysis stores and a stream leaves open: pixels are decoded by the batch ``analyze``.
+OPEN_COLUMNS = {"width": "int", "height": "int", "pixel_count": "bigint", "bit_depth": "int", "format": "string",
+                "perceptual_hash": "string", "quality_score": "double", "error": "string"}
+STORE_COLUMNS = ["path", "mtime", "file_size", "file_hash", *OPEN_COLUMNS, "analysis_version", "created_at", "last_accessed"]
 
 
 def arriving_files(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -40,12 +44,16 @@ def analyse_batch(batch: DataFrame) -> DataFrame:
     return (batch.where(extension("path").isin(image_extensions()))
             .select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("file_size"),
                     F.sha2("content", 256).alias("file_hash"),
+                    *[F.lit(None).cast(t).alias(c) for c, t in OPEN_COLUMNS.items()],
                     F.lit(ST.ANALYSIS_VERSION).alias("analysis_version"),
                     now.alias("created_at"), now.alias("last_accessed")))
 
 
 def exact_on_arrival(new_rows: DataFrame, store: DataFrame | None) -> DataFrame:
-    """(path, file_hash, reason) for arrivals whose content is already stored or repeated in the batch.
+    """(path, file_hash, reason) for arrivals whose content is stored under another path or repeated in the batch.
+
+    A batch that is played again after a crash finds its own rows in the store;
+    these are no duplicates of themselves.
 
     The store is probed with the batch's distinct hashes (a broadcast bounded by
     the micro-batch size, checked), so no shuffle of the store is needed.
@@ -58,9 +66,10 @@ def exact_on_arrival(new_rows: DataFrame, store: DataFrame | None) -> DataFrame:
         return in_batch
     batch_hashes = size_checked_broadcast(new_rows.select("file_hash").where(F.col("file_hash").isNotNull())
                                           .distinct())
-    seen = store.select("file_hash").join(batch_hashes, "file_hash", "left_semi").distinct()
-    known = new_rows.join(seen, "file_hash", "left_semi").select("path", "file_hash",
-                                                                 F.lit("store").alias("reason"))
+    seen = (store.select("file_hash", "path").join(batch_hashes, "file_hash", "left_semi")
+            .groupBy("file_hash").agg(F.min("path").alias("_least"), F.max("path").alias("_most")))
+    known = (new_rows.join(seen, "file_hash").where((F.col("_least") != F.col("path")) | (F.col("_most") != F.col("path")))
+             .select("path", "file_hash", F.lit("store").alias("reason")))
     return known.unionByName(in_batch).dropDuplicates(["path"])
 
 
@@ -75,7 +84,7 @@ def start(spark: SparkSession, source_dir: str, store_root: str, duplicates_dir:
     snapshots = ST.SnapshotStore(spark, store_root)
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
-        rows = analyse_batch(batch)
+        rows = cut_lineage(analyse_batch(batch))      # the files are read and hashed once
         store = snapshots.read()
         dups = exact_on_arrival(rows, store)
         dups.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").parquet(

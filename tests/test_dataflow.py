@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from neardup.operators import actions as ACT, report as REP, selection as SEL
 from neardup.plans.dataflow import find_duplicates
+from neardup.session import cut_lineage
 
 SCHEMA = ("id long, path string, mtime timestamp, file_size long, width int, height int, "
           "pixel_count long, bit_depth int, format string, file_hash string, perceptual_hash string, "
@@ -109,14 +110,77 @@ def test_action_plan_and_unique_names(spark):
     g = spark.createDataFrame(rows, "group_id long, path string, member_rank int, is_best boolean, file_size long")
     plan = {r.path: r.target for r in ACT.action_plan(g, "move", "/trash/").collect()}
     assert plan == {"/b/x.jpg": "/trash/x.jpg", "/d/x.jpg": "/trash/x_1.jpg", "/f/x.jpg": "/trash/x_2.jpg"}
+    taken = [(1, "/a/k", 1, True, 1), (1, "/a/x.jpg", 2, False, 1), (2, "/b/k", 1, True, 1), (2, "/b/x.jpg", 2, False, 1),
+             (3, "/c/k", 1, True, 1), (3, "/c/x_1.jpg", 2, False, 1), (3, "/c/x_1.jpg/y", 3, False, 1)]
+    t = spark.createDataFrame(taken, g.schema)
+    names = [r.target for r in ACT.action_plan(t, "move", "/trash").collect()]
+    assert sorted(names) == ["/trash/x.jpg", "/trash/x_1.jpg", "/trash/x_2.jpg", "/trash/y"]
+    there = spark.createDataFrame([("x.jpg",), ("x_2.jpg",), ("x_2.jpg",), ("other",)], "name string")
+    names = [r.target for r in ACT.action_plan(t, "move", "/trash", there).collect()]
+    assert sorted(names) == ["/trash/x_1.jpg", "/trash/x_3.jpg", "/trash/x_4.jpg", "/trash/y"]
     hl = {r.path: (r.target, r.keeper) for r in ACT.action_plan(g, "hardlink").collect()}
     assert hl["/d/x.jpg"] == ("/c/y.jpg", "/c/y.jpg")
     s = ACT.action_summary(ACT.action_plan(g, "delete")).first()
     assert (s.processed, s.space_saved) == (3, 30)
+    listing = spark.createDataFrame([("/a/x.jpg",), ("/b/x.jpg",), ("/d/x.jpg",)], "path string")
+    s = ACT.action_summary(ACT.action_plan(g, "symlink"), listing).first()
+    assert (s.processed, s.skipped, s.errors, s.space_saved) == (1, 1, 1, 20)
     with pytest.raises(ValueError):
         ACT.action_plan(g, "move")
 
 
+def test_keeper_is_the_best_by_quality_whatever_is_selected(spark, manifest):
+    by_quality = {r.path: r.is_best for r in find_duplicates(manifest, threshold=4).collect()}
+    g = find_duplicates(manifest, threshold=4, strategy="oldest")
+    assert {r.path: r.is_best for r in g.collect()} == by_quality
+    assert {r.path for r in g.where("selected").collect()} == {"/p/a1.png", "/p/b.png"}
+    status = {r.path: r.status for r in REP.export_rows(g).collect()}
+    assert all((s == "keep") == by_quality[p] for p, s in status.items())
+
+
+def test_empty_hashes_form_no_group(spark, manifest):
+    unread = manifest.withColumn("file_hash", F.lit(""))
+    assert find_duplicates(unread, mode="exact_only").count() == 0
+
+
+@pytest.mark.parametrize("join", ["members", "exclude", "hub", "collapse", "rank"])
+def test_hot_keys_are_split(spark, join):
+    """Half of all rows share a key; with broadcasts off the final plan has a split join."""
+    from neardup.operators import components, exact, hamming, ranking
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "20k",
+            "spark.sql.files.openCostInBytes": "1k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        n = 20_000
+        half = F.col("id") < n // 2
+        hot = cut_lineage(spark.range(n).withColumn("file_hash", F.when(half, F.lit("hot")).otherwise(
+            F.concat(F.lit("h"), (F.col("id") % 4000).cast("string")))).withColumn("path", F.col("id").cast("string")))
+        if join in ("members", "exclude"):
+            f = exact.exact_members if join == "members" else exact.exclude_exact
+            df = f(hot, exact.exact_hash_groups(hot))
+        elif join == "hub":
+            e = cut_lineage(spark.range(1, n).select(F.when(F.col("id") < n // 2, F.lit(0)).otherwise(F.col("id") - 1).cast("long").alias("lo"),
+                                                     F.col("id").alias("hi")))
+            df = components._large_star(e)
+        elif join == "collapse":
+            fp = hot.withColumn("fp", F.array(F.when(half, F.lit(0)).otherwise(F.col("id") % 4000).cast("long")))
+            _, df = hamming.collapse(fp)
+        else:
+            df = ranking.rank_in_group(hot, ["file_hash"], ["path"], max_window_rows=10)
+        df.write.format("noop").mode("overwrite").save()
+        df.count()
+        rows = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert rows is not None and "skew=true" in plan, plan
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_report_and_export(spark, manifest, scratch):
     g = find_duplicates(manifest, threshold=4)
     lines = [r.line for r in REP.report_lines(g).orderBy("group_id", "seq").collect()]

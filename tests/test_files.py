@@ -1,10 +1,11 @@
 import os
 
 import pytest
+from neardup.sources import files as FS
 from pyspark.sql import functions as F
 
-from neardup.sources import files as FS
 from neardup.plans.dataflow import find_duplicates
+from neardup.session import cut_lineage
 
 
 def test_discovery_filters_extensions_and_recurses(spark, image_dir):
@@ -44,8 +45,31 @@ def test_analyze_and_phash(spark, image_dir):
     assert dist("identical1.png", "unique.png") > 40
 
 
+def test_only_changed_files_are_analysed_again(spark, image_dir):
+    first = FS.analyze(spark, image_dir).withColumn("analysis_version", F.lit(1))
+    store = cut_lineage(first)
+    os.utime(os.path.join(image_dir, "unique.png"), (2_000_000_000, 2_000_000_000))
+    hits, new = FS.analyze_new(spark, image_dir, store)
+    assert {os.path.basename(r.path) for r in new.collect()} == {"unique.png"}
+    assert hits.count() == store.count() - 1
+
+
+def test_types_without_decoder_keep_their_hash(spark, image_dir):
+    for name in ("a.tga", "b.tga"):
+        with open(os.path.join(image_dir, name), "wb") as f:
+            f.write(b"not decoded here")
+    with open(os.path.join(image_dir, "wrong.jpg"), "wb") as f, open(os.path.join(image_dir, "unique.png"), "rb") as g:
+        f.write(g.read())
+    m = FS.analyze(spark, image_dir)
+    rows = {os.path.basename(r.path): r for r in m.collect()}
+    assert rows["a.tga"].error is None and rows["a.tga"].file_hash == rows["b.tga"].file_hash
+    assert rows["wrong.jpg"].format == "PNG" and sorted(r.id for r in rows.values()) == list(range(1, len(rows) + 1))
+    exact = {os.path.basename(r.path) for r in find_duplicates(m, mode="exact_only").collect()}
+    assert {"a.tga", "b.tga"} <= exact
+
+
 def test_files_end_to_end(spark, image_dir):
-    m = FS.analyze(spark, image_dir).withColumn("id", F.xxhash64("path"))
+    m = FS.analyze(spark, image_dir)
     g = find_duplicates(m, threshold=10)
     groups = {}
     for r in g.collect():

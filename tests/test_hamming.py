@@ -117,9 +117,13 @@ def test_threshold_validation():
 
 
 def test_strategy_chooser():
-    assert H.choose_strategy(100, 256, 10).kind == "bands"
+    for n, bits, t in [(100, 256, 10), (10 ** 8, 256, 32), (10 ** 6, 64, 18), (10 ** 9, 256, 60)]:
+        assert H.choose_strategy(n, bits, t).kind == "bands"      # exact at every size
     assert H.choose_strategy(100, 256, 10, use_lsh=True).kind == "lsh"
-    assert H.choose_strategy(10 ** 6, 256, 10, use_lsh=False).kind == "bands"
+    s = H.choose_strategy(10 ** 8, 256, 10, use_lsh=True, lsh_tables_bits=(15, 20))
+    assert (s.kind, s.tables, s.bits_per_table) == ("lsh", 15, 20)
+    with pytest.raises(ValueError):
+        H.choose_strategy(10 ** 6, 64, 62, use_lsh=True, target_recall=0.9999999)
 
 
 def test_probe(spark):
@@ -144,5 +148,5 @@ def test_solved_params_reach_target():
     for n, t in [(10_000, 10), (1_000_000, 20), (10 ** 9, 32)]:
         L, k = H.solve_lsh_params(n, t, 256, 0.99)
         assert H.lsh_recall(L, k, 256, t) >= 0.99
-    s = H.choose_strategy(10 ** 9, 256, 60)
+    s = H.choose_strategy(10 ** 9, 256, 60, use_lsh=True)
     assert s.kind == "lsh" and H.lsh_recall(s.tables, s.bits_per_table, 256, 60) >= 0.99

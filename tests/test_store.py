@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from neardup.operators import store as ST
@@ -70,6 +72,15 @@ def test_snapshot_store(spark, scratch):
     assert len(s.parts()) == 2 and s.read().count() == 2
     s.compact(1)
     assert len(s.parts()) == 1 and s.drop_old() == 3 and s.read().count() == 2
+    # a crash after the part is written and before its list: the old list still counts
+    before = s.parts()
+    s._new_part(store_rows(spark), None)
+    assert s.parts() == before and s.read().count() == 2
+    # of two writers that started from one list, the second fails
+    version = s._version()
+    s._point(before, version)
+    with pytest.raises(RuntimeError):
+        s._point(before, version)
     s.clear()
     assert s.read().count() == 0
 

@@ -1,7 +1,8 @@
 import os
 import shutil
 
-from neardup.operators.store import SnapshotStore
+from neardup.operators.store import SnapshotStore, lookup
+from neardup.sources.files import find_image_files
 from neardup.streaming import incremental as INC
 
 
@@ -23,3 +24,9 @@ def test_available_now_stream(spark, image_dir, scratch):
     dups = {(os.path.basename(r.path), r.reason) for r in spark.read.parquet(scratch + "/dups").collect()}
     assert dups == {("identical2.png", "store"), ("s2.png", "batch")}
     assert store.read().count() == 5
+    # a batch that is played again is no duplicate of itself, and a listing finds the streamed rows
+    again = INC.analyse_batch(spark.read.format("binaryFile").load(src))
+    replayed = {os.path.basename(r.path) for r in INC.exact_on_arrival(again, store.read()).collect()}
+    assert "unique.png" not in replayed
+    found = lookup(find_image_files(spark, src), store.read()).collect()
+    assert len(found) == 5 and all(r.cached and r.file_hash for r in found)
