@@ -46,9 +46,9 @@ class Rule(NamedTuple):
 
 RULES = [
     Rule("word_length", "word_chars", "n_words", 2.0, 15.0),
-    Rule("symbols_per_word", "n_symbols", "n_words", None, 0.1),
+    Rule("symbols_per_word", "n_symbols", "n_words", None, 0.2),
     Rule("stop_words", "n_stop_words", None, 2, None),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 0.3),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 0.5),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 0.9),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 0.3),
 ]
