@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from neardup.llm.bytewords import mix
 from neardup.llm.common import by_bytes
-from neardup.llm.vocab import Known, SentencePieces
+from neardup.llm.vocab import Known, SentencePieces, kept_in_worker
 from neardup.session import ship_by_value
 
 ship_by_value(__name__)
@@ -240,7 +240,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", batch_bytes: in
     def coded(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        codec = Codec(vocabulary)
+        codec = kept_in_worker(("codec", vocabulary), lambda: Codec(vocabulary))
         for batch, first, end in by_bytes(batches, "_text", batch_bytes):
             part = batch.slice(first, end - first)
             ids = codec.encode([x or "" for x in part.column("_text").to_pylist()])
@@ -258,7 +258,7 @@ def decode(coded: DataFrame, vocabulary: str, ids: str = "ids", to: str = "decod
     """``coded`` with the text of its ids; null ids give null."""
     def texts(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        codec = Codec(vocabulary)
+        codec = kept_in_worker(("codec", vocabulary), lambda: Codec(vocabulary))
         for batch in batches:
             out = [None if x is None else codec.decode(x) for x in batch.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names[1:]), pa.array(out, pa.string())],
@@ -276,7 +276,7 @@ def round_trip(docs: DataFrame, vocabulary: str, text: str = "text", batch_bytes
     def coded(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        codec = Codec(vocabulary)
+        codec = kept_in_worker(("codec", vocabulary), lambda: Codec(vocabulary))
         for batch, first, end in by_bytes(batches, "_text", batch_bytes):
             part = batch.slice(first, end - first)
             texts = [x or "" for x in part.column("_text").to_pylist()]

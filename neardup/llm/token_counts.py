@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, functions as F
 
 from neardup.llm.common import by_bytes
-from neardup.llm.vocab import ByteLevel, Known, SentencePieces
+from neardup.llm.vocab import ByteLevel, Known, SentencePieces, kept_in_worker
 from neardup.session import ship_by_value
 
 ship_by_value(__name__)
@@ -74,7 +74,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text:
     def lengths(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
-        counter = kind(vocabulary)
+        counter = kept_in_worker(("lengths", vocabulary), lambda: kind(vocabulary))
         for batch, first, end in by_bytes(batches, "_text", batch_bytes):
             part = batch.slice(first, end - first)
             texts = [x or "" for x in part.column("_text").to_pylist()]

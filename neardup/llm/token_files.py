@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from neardup.llm.common import ROW_ID, by_bytes, scannable, with_row_id
-from neardup.llm.vocab import ByteLevel
+from neardup.llm.vocab import ByteLevel, kept_in_worker
 from neardup.session import ensure_checkpoint_dir, ship_by_value
 
 ship_by_value(__name__)
@@ -113,7 +113,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col:
     def segments(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        encoder = ByteLevel(vocabulary)
+        encoder = kept_in_worker(("ids", vocabulary), lambda: ByteLevel(vocabulary))
         end = np.asarray([end_id], dtype="<u4").tobytes()
         schema = pa.schema([("shard", pa.int32()), ("segment", pa.int64()), ("n_ids", pa.int64()),
                             ("block_ids", pa.int32()), ("planes", pa.int32()),
