@@ -3,12 +3,17 @@
 Candidate pairs are the pairs of nodes in one bucket. A bucket may hold a third of
 all nodes, so its pairs are not listed. Instead:
 
-1. each node is tested against the smallest node of each of its buckets;
+1. each node is tested against one node of each of its buckets, the bucket's leader. Leaders are
+   chosen by an order of the nodes that differs from bucket to bucket, so a node of many
+   buckets meets many others, those most like it most often;
 2. the links found give provisional groups;
 3. only in buckets that still hold several groups, the nodes outside the largest
    one are tested against the nodes of the other groups.
 
-Pairs left out are in one group already, so the groups are those of all pairs
+Step 3 leaves out pairs that can't be links for a bound that the caller may give, for
+example how many elements of each set no other set has.
+
+Pairs left out are in one group already or can't be links, so the groups are those of all pairs
 of all buckets. In a bucket of near copies step 1 does nearly everything and
 the work is linear in the bucket.
 
@@ -29,25 +34,34 @@ Verify = Callable[[DataFrame], DataFrame]
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """(key, node, size, leader, leader_size) of the buckets that hold two nodes or more."""
-    leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other"))
-    leaders = cut_lineage(leaders.where(F.col("leader") != F.col("other")).select("key", "leader"))
-    return cut_lineage(members.join(leaders, "key"))
+    """(key, node, size, leader) of the buckets that hold two nodes or more; key and node are longs.
+
+    The order is that of the nodes' numbers after an exclusive or with a hash of the
+    key, which the same operation undoes.
+    """
+    mask = F.xxhash64("key")
+    leaders = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("least"), F.count(F.lit(1)).alias("n"))
+    leaders = leaders.where(F.col("n") > 1).select("key", F.col("least").bitwiseXOR(mask).alias("leader"))
+    return cut_lineage(members.join(cut_lineage(leaders), "key"))
 
 
 def link_groups(shared: DataFrame, sizes: DataFrame, verify: Verify,
-                compatible: Callable[[Column, Column], Column]) -> DataFrame:
+                compatible: Callable[[Column, Column], Column], lone: Callable[[DataFrame], DataFrame] | None = None,
+                possible: Callable[[Column, Column, Column, Column], Column] | None = None) -> DataFrame:
     """(id, component) of all nodes that have a link; component is the smallest node of the group.
 
     shared      rows of ``shared_buckets``
-    sizes       (node, size) of all nodes
+    sizes       (node, size) of all nodes; a size is whatever ``compatible`` compares
     verify      keeps the true links of a DataFrame (a, b) of distinct pairs, a < b
-    compatible  cheap necessary condition on the sizes of two nodes
+    compatible  cheap condition on the sizes of two nodes, without which they aren't linked
+    lone        for a DataFrame (node) the (node, lone): what no other of these nodes has
+    possible    condition on size, lone, size, lone of two nodes, without which they aren't linked
     """
-    stars = cut_lineage(shared.where(F.col("node") != F.col("leader"))
-                        .select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("size").alias("size_b"))
-                        .distinct())
-    sized = stars.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a")
+    stars = shared.where(F.col("node") != F.col("leader")).select(
+        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    stars = cut_lineage(stars)
+    sized = (stars.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a")
+             .join(sizes.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b"))
     links = cut_lineage(verify(sized.where(compatible(F.col("size_a"), F.col("size_b"))).select("a", "b")))
     groups = connected_components(links, "a", "b")
 
@@ -60,13 +74,21 @@ def link_groups(shared: DataFrame, sizes: DataFrame, verify: Verify,
         return groups
 
     rows = cut_lineage(labelled.join(largest, "key"))
-    few = rows.where(F.col("component") != F.col("top"))
-    few = few.select("key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("component").alias("cx"))
+    if lone is not None:
+        alone = lone(rows.select("node").distinct())
+        rows = cut_lineage(rows.join(alone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0))))
+    else:
+        rows = rows.withColumn("lone", F.lit(0))
+    few = rows.where(F.col("component") != F.col("top")).select(
+        "key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("component").alias("cx"), F.col("lone").alias("lone_x"))
+    wanted = compatible(F.col("size_x"), F.col("size"))
+    if possible is not None:
+        wanted = wanted & possible(F.col("size_x"), F.col("lone_x"), F.col("size"), F.col("lone"))
     pairs = few.join(rows, "key").where(
-        (F.col("cx") != F.col("component")) & compatible(F.col("size_x"), F.col("size"))
+        (F.col("cx") != F.col("component")) & wanted
         & ((F.col("component") == F.col("top")) | (F.col("x") < F.col("node"))))
     pairs = cut_lineage(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
-    more = cut_lineage(verify(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti")))
+    more = cut_lineage(verify(pairs.join(stars, ["a", "b"], "left_anti")))
     if more.isEmpty():
         return groups
     return connected_components(groups.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more), "a", "b")

@@ -9,11 +9,14 @@ A-Z, words parted by ``SPACES``); a shorter text is one shingle.
   independent functions. The walk ends for a document once all its registers are
   filled: a later rank can't be smaller. It runs level by level over the elements
   of many documents at once.
-* Documents with equal sets are one node. Its bands of registers are the bucket keys.
+* Documents with equal sets are one node. Its bands are the bucket keys: the 300
+  registers are dealt into bands of ``width`` registers, three or four times in different
+  orders, which gives about 100 bands. Wide bands matter where many documents share a
+  long passage: pairs of half the similarity asked for hardly ever share one.
 * ``linking`` turns buckets into groups; each link is confirmed on the full sets.
 
-With 40 bands of 6 registers a pair at similarity 0.85 shares a bucket with
-probability 1 - 6e-9, at 0.8 with 1 - 5e-6, at 0.3 with 0.03.
+A pair shares a bucket with probability 1 - 2e-5 at similarity 0.85 (bands of 12; 0.5: 0.02)
+and at 0.8 (bands of 9; 0.5: 0.2), and nearer to 1 for any pair more alike.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; a
 null doc_id counts as no id (it is the component_id only of itself); rows of equal
@@ -35,7 +38,9 @@ from neardup.session import cut_lineage, ship_by_value
 
 ship_by_value(__name__)
 
-BANDS, ROWS = 40, 6
+REGISTERS = 300
+#: Bands wanted, and the chance for a pair at the asked similarity to share any one of them.
+BANDS, BAND_CHANCE = 100, 0.14
 BATCH_BYTES = 1 << 21
 #: Levels worked out by tracing swaps back; longer walks (few elements) keep their permutation.
 TRACED = 6
@@ -113,17 +118,28 @@ def superminhash(sets: list, registers: int):
     return ranks.reshape(n, m)
 
 
-def band_keys(ranks, bands: int):
-    """One 64-bit key for each band of registers and each signature."""
+def bands(percent: int, seed: int = 11):
+    """The registers of each band (bands x width)."""
+    import math
+
+    import numpy as np
+    width = max(1, min(REGISTERS, round(math.log(BAND_CHANCE) / math.log(min(percent, 99) / 100)))) if percent > 0 else 1
+    each = REGISTERS // width
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.permutation(REGISTERS)[:each * width].reshape(each, width)
+                           for _ in range(max(1, round(BANDS / each)))])
+
+
+def band_keys(ranks, of_bands):
+    """One 64-bit key for each signature and band."""
     import numpy as np
-    parts = ranks.reshape(len(ranks), bands, ranks.shape[1] // bands)
-    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2])
-    for j in range(parts.shape[2]):
-        keys = mix(keys + parts[:, :, j] * np.uint64(0x9E3779B97F4A7C15))
+    keys = np.broadcast_to(np.arange(len(of_bands), dtype=np.uint64), (len(ranks), len(of_bands)))
+    for registers in of_bands.T:
+        keys = mix(keys + ranks[:, registers] * np.uint64(0x9E3779B97F4A7C15))
     return keys.view(np.int64)
 
 
-def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, id_col: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int, percent: int, id_col: str, text: str) -> DataFrame:
     """ROW_ID, doc_id, n_shingles, set_key (digest of the set, null if empty) and the band keys."""
     source = with_row_id(docs).select(F.col(text).alias("_text"), F.col(id_col).alias("doc_id"), *ROW_ID)
 
@@ -132,13 +148,13 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, id_col: str
 
         import numpy as np
         import pyarrow as pa
-        shingler = Shingler(shingle)
+        shingler, of_bands = Shingler(shingle), bands(percent)
         for batch, first, end in by_bytes(batches, "_text", BATCH_BYTES):
             part = batch.slice(first, end - first)
             sets = shingler.sets(part.column("_text").cast(pa.binary()).to_pylist())
             keys: list = [None] * len(sets)
             full = [i for i, s in enumerate(sets) if len(s)]
-            found = band_keys(superminhash([sets[i] for i in full], bands * rows), bands)
+            found = band_keys(superminhash([sets[i] for i in full], REGISTERS), of_bands)
             for i, x in zip(full, found):
                 keys[i] = x
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -173,14 +189,14 @@ def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int, text: str) -> Dat
     return source.mapInArrow(sets, "node long, elements array<long>")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
-                    id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id",
+                    text: str = "text") -> DataFrame:
     """A row for each row of ``docs``: ROW_ID, doc_id, n_shingles, component_id and kept (doc_id = component_id).
 
     Links are the pairs with 100 * common >= percent * all shingles of the two sets.
     """
     docs = scannable(docs)
-    signed = cut_lineage(signatures(docs, shingle, bands, rows, id_col, text))
+    signed = cut_lineage(signatures(docs, shingle, percent, id_col, text))
     nodes = (signed.where(F.col("set_key").isNotNull()).groupBy("set_key")
              .agg(F.min("doc_id").alias("first_doc"), F.min(F.struct(*ROW_ID)).alias("at"),
                   F.max("n_shingles").alias("size"), F.first("keys").alias("keys")))
@@ -198,10 +214,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         both = pairs.join(left, "a").join(right, "b")
         return both.where(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
+    def lone(some: DataFrame) -> DataFrame:
+        each = elements.join(some, "node").select("node", F.explode("elements").alias("x"))
+        held = each.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+        return held.where(F.col("n") == 1).groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+
+    def possible(x: Column, lone_x: Column, y: Column, lone_y: Column) -> Column:
+        most = F.least(x - lone_x, y - lone_y)      # what the two sets can have in common
+        return 100 * most >= percent * (x + y - most)
+
     def compatible(x: Column, y: Column) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    groups = link_groups(shared, nodes.select("node", "size"), verify, compatible)
+    groups = link_groups(shared, nodes.select("node", "size"), verify, compatible, lone, possible)
     grouped = nodes.select("node", "set_key", "first_doc").join(groups.withColumnRenamed("id", "node"), "node", "left")
     grouped = cut_lineage(grouped.withColumn("component", F.coalesce("component", "node")).drop("node"))
     firsts = cut_lineage(grouped.groupBy("component").agg(F.min("first_doc").alias("component_id")))
