@@ -14,6 +14,12 @@ where they have a slot and enough other words, as a template.
    question with other numbers or names is found, and a chance likeness of
    sentence patterns isn't.
 4. A document leaks an item if ``percent`` of the item's windows are matched.
+5. Copies with words changed, left out or put in, and parts of an item, lose too many
+   windows for that. Runs of ``SEED`` words (as written, or with placeholders) find them:
+   of n words with d edits n - SEED + 1 - SEED * d of the item's runs are left. Where a document
+   has as many, its words around them are aligned with the item's (longest common
+   subsequence; a slot matches a slot of its kind). It leaks the item if ``percent`` of
+   the item's words are matched and the slots agree, or if ``RUN`` words in a row are.
 
 Items of fewer words than a window are one window, which only texts of exactly
 these words match.
@@ -41,6 +47,10 @@ WINDOW = 5
 PERCENT = 80
 #: Words of a template window that must not be slots.
 PLAIN_WORDS = 3
+#: Words of the runs that find changed copies, and of a run that is a leak by itself.
+SEED, RUN = 3, 18
+#: Shifts of a document's words against an item's that are aligned in one go.
+BAND = 8
 #: Places of the bitmap of benchmark windows (512 KB).
 BITMAP = 1 << 22
 
@@ -157,13 +167,70 @@ def windows(hashes, kinds, size: int):
     return places, np.concatenate([joined(hashes), mix(typed)]), np.arange(len(places)) >= count
 
 
+def seeds(hashes, kinds):
+    """(places, hashes) of a text's runs of SEED words, as written and, where they have slots, with placeholders."""
+    import numpy as np
+    count = max(0, len(hashes) - SEED + 1)
+    marks = mix(np.arange(4, dtype=np.uint64) + np.uint64(1))
+    typed = np.where(kinds == PLAIN, hashes, marks[kinds])
+    slots = np.concatenate([[0], np.cumsum(kinds != PLAIN)])
+    mixed = slots[SEED:] - slots[:-SEED] if count else slots[:0]
+    some = np.flatnonzero((mixed > 0) & (mixed < SEED))
+    out = []
+    for codes, start in ((hashes, 1 << 20), (typed, 1 << 21)):
+        joined = mix(codes[:count] + np.uint64(start))
+        for k in range(1, SEED):
+            joined = mix(joined + codes[k:count + k])
+        out.append(joined)
+    return np.concatenate([np.arange(count), some]), np.concatenate([out[0], out[1][some]])
+
+
+def aligned(item, text, percent: int) -> tuple[bool, bool]:
+    """(leak, verbatim) for (hashes, kinds) of an item and of the part of a text that it is aligned with."""
+    import numpy as np
+    (a, ka), (b, kb) = item, text
+    n, m = len(a), len(b)
+    if not n or not m:
+        return False, False
+    exact = a[:, None] == b[None, :]
+    weight = np.where(exact, 1000, np.where((ka[:, None] == kb[None, :]) & (ka[:, None] != PLAIN), 999, 0))
+    best = np.zeros((n + 1, m + 1), dtype=np.int64)
+    for i in range(n):
+        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + weight[i]))
+    pairs, i, j = [], n, m
+    while i and j:
+        if weight[i - 1, j - 1] and best[i, j] == best[i - 1, j - 1] + weight[i - 1, j - 1]:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif best[i, j] == best[i - 1, j]:
+            i -= 1
+        else:
+            j -= 1
+    pairs.reverse()
+    stands, agree = {}, True
+    for i, j in pairs:
+        if ka[i] != PLAIN and kb[j] != PLAIN:
+            agree &= stands.setdefault(int(a[i]), int(b[j])) == int(b[j])
+    run, longest, last = 0, 0, None
+    for i, j in pairs:
+        follows = last == (i - 1, j - 1)
+        counts = agree or exact[i, j]
+        run = (run + 1 if follows else 1) if counts else 0
+        longest, last = max(longest, run), (i, j)
+    leak = (agree and 100 * len(pairs) >= percent * n) or longest >= RUN
+    return leak, bool(all(exact[i, j] for i, j in pairs))
+
+
 def _slot_words(text: bytes, kinds, starts, ends, place: int, size: int) -> list[str]:
     return [text[starts[i]:ends[i]].decode("utf-8", "replace").strip(".,;:!?\"'()[]").lower()
             for i in range(place, min(place + size, len(kinds))) if kinds[i] != PLAIN]
 
 
 def _windows_of(rows: DataFrame, keys: list[str], size: int, bitmap: bytes | None) -> DataFrame:
-    """keys, place, n_windows, hash, template and slots of each window of _text that is in the bitmap."""
+    """keys, place, n_windows, hash, template, slots and seed of each window and seed of _text that is in the bitmap.
+
+    Items (without a bitmap) of fewer words than a window have no seeds.
+    """
     def found(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -171,17 +238,23 @@ def _windows_of(rows: DataFrame, keys: list[str], size: int, bitmap: bytes | Non
         filled = None if bitmap is None else np.frombuffer(bitmap, dtype=np.uint8)
         for batch, first, end in by_bytes(batches, "_text", CHUNK):
             part = batch.slice(first, end - first)
-            took, out = [], {"place": [], "n_windows": [], "hash": [], "template": [], "slots": []}
+            took, out = [], {"place": [], "n_windows": [], "hash": [], "template": [], "slots": [], "seed": []}
             for i, text in enumerate(part.column("_text").cast(pa.binary()).to_pylist()):
                 hashes, kinds, starts, ends = canonical.words(text or b"")
                 places, keyed, template = windows(hashes, kinds, size)
+                n = len(places) - int(template.sum())
+                if filled is not None or len(hashes) >= size:
+                    at, runs = seeds(hashes, kinds)
+                    seed = np.arange(len(places) + len(at)) >= len(places)
+                    places, keyed = np.concatenate([places, at]), np.concatenate([keyed, runs])
+                    template = np.concatenate([template, np.zeros(len(at), dtype=bool)])
+                else:
+                    seed = np.zeros(len(places), dtype=bool)
                 if filled is not None and len(keyed):
                     bit = (keyed & np.uint64(BITMAP - 1)).astype(np.int64)
                     hit = (filled[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                    n = len(places) - int(template.sum())
-                    places, keyed, template = places[hit], keyed[hit], template[hit]
-                else:
-                    n = len(places) - int(template.sum())
+                    places, keyed, template, seed = places[hit], keyed[hit], template[hit], seed[hit]
+                out["seed"] += seed.tolist()
                 took += [i] * len(places)
                 out["place"] += places.tolist()
                 out["n_windows"] += [n] * len(places)
@@ -192,13 +265,14 @@ def _windows_of(rows: DataFrame, keys: list[str], size: int, bitmap: bytes | Non
             if took:
                 own = part.take(pa.array(took, pa.int64()))
                 kinds_of = {"place": pa.int64(), "n_windows": pa.int64(), "hash": pa.int64(), "template": pa.bool_(),
-                            "slots": pa.list_(pa.string())}
+                            "slots": pa.list_(pa.string()), "seed": pa.bool_()}
                 yield pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), *(pa.array(v, kinds_of[c]) for c, v in out.items())],
                                                  names=[*keys, *out])
 
     schema = rows.select(*keys).schema
     for name, kind in (("place", T.LongType()), ("n_windows", T.LongType()), ("hash", T.LongType()),
-                       ("template", T.BooleanType()), ("slots", T.ArrayType(T.StringType()))):
+                       ("template", T.BooleanType()), ("slots", T.ArrayType(T.StringType())),
+                       ("seed", T.BooleanType())):
         schema = schema.add(name, kind)
     return rows.select("_text", *keys).mapInArrow(found, schema)
 
@@ -215,6 +289,43 @@ def _bitmap(items: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _aligned_leaks(given: DataFrame, asked: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """(ROW_ID, item_id, verbatim) of the leaks among ``wanted`` (ROW_ID, item_id, bands)."""
+    listed = wanted.join(asked, "item_id").groupBy(*ROW_ID).agg(F.collect_list(F.struct("item_id", F.col("_text").alias("item"), "bands")).alias("asked"))
+    both = given.select(*ROW_ID, "_text").join(cut_lineage(listed), ROW_ID)
+    item_type = asked.schema["item_id"].dataType
+
+    def judged(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        canonical = Canonical()
+        for batch, first, end in by_bytes(batches, "_text", CHUNK):
+            part = batch.slice(first, end - first)
+            took, items, verbatim = [], [], []
+            texts = part.column("_text").cast(pa.binary()).to_pylist()
+            for i, (text, wants) in enumerate(zip(texts, part.column("asked").to_pylist())):
+                hashes, kinds, _, _ = canonical.words(text)
+                for want in wants:
+                    of_item, its_kinds, _, _ = canonical.words((want["item"] or "").encode("utf-8", "surrogatepass"))
+                    n = len(of_item)
+                    slack = n * (100 - percent) // 100
+                    for band in want["bands"]:
+                        a, b = max(0, BAND * band - slack), BAND * (band + 1) + n + slack
+                        leak, exact = aligned((of_item, its_kinds), (hashes[a:b], kinds[a:b]), percent)
+                        if leak:
+                            took.append(i)
+                            items.append(want["item_id"])
+                            verbatim.append(exact)
+            if took:
+                own = part.take(pa.array(took, pa.int64()))
+                kind = part.schema.field("asked").type.value_type.field("item_id").type
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in ROW_ID), pa.array(items, kind), pa.array(verbatim, pa.bool_())],
+                                                 names=[*ROW_ID, "item_id", "verbatim"])
+
+    schema = given.select(*ROW_ID).schema.add("item_id", item_type).add("verbatim", T.BooleanType())
+    found = both.mapInArrow(judged, schema)
+    return cut_lineage(found.groupBy(*ROW_ID, "item_id").agg(F.max("verbatim").alias("verbatim")))
+
+
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, percent: int, id_col: str, text: str,
            item_id: str, item_text: str) -> DataFrame:
     """ROW_ID, doc_id, item_id, n_windows, n_matched, verbatim of the leaks."""
@@ -224,9 +335,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, percent: int, id_
     near = cut_lineage(_windows_of(given, ["doc_id", *ROW_ID], window, _bitmap(items)))
 
     sides = items.select("hash", "template", "item_id", "n_windows", F.col("place").alias("item_place"),
-                         F.col("slots").alias("item_slots"))
-    met = near.drop("n_windows").join(sides, ["hash", "template"])
-    met = cut_lineage(met.withColumn("shift", F.col("place") - F.col("item_place")))
+                         F.col("slots").alias("item_slots"), "seed")
+    every = near.drop("n_windows").join(sides, ["hash", "template", "seed"])
+    every = cut_lineage(every.withColumn("shift", F.col("place") - F.col("item_place")))
+    met = every.where(~F.col("seed"))
     pair = [*ROW_ID, "item_id"]
     slots = met.where("template").select(*pair, "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
     unlike = (slots.groupBy(*pair, "shift", "s.item_slots").agg(F.min("s.slots").alias("least"), F.max("s.slots").alias("most"))
@@ -239,7 +351,22 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, percent: int, id_
                                                    F.max("written").alias("written"))
     counted = places.groupBy(*pair).agg(F.max("doc_id").alias("doc_id"), F.max("n_windows").alias("n_windows"),
                                         F.count(F.lit(1)).alias("n_matched"), F.min("written").alias("verbatim"))
-    return counted.where(100 * F.col("n_matched") >= percent * F.col("n_windows"))
+    counted = cut_lineage(counted)
+    whole = counted.where(100 * F.col("n_matched") >= percent * F.col("n_windows"))
+
+    # the fewest seeds that percent of the words, or RUN of them in a row, leave
+    n = F.col("n_windows") + window - 1
+    left = n - SEED + 1 - SEED * F.floor(n * (100 - percent) / 100)
+    seen = every.where("seed").groupBy(*pair).agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_windows").alias("n_windows"), F.countDistinct("item_place").alias("n_seeds"),
+        F.collect_set(F.floor(F.col("shift") / BAND)).alias("bands"))
+    wanted = cut_lineage(seen.where(F.col("n_seeds") >= F.greatest(F.lit(1), F.least(left, F.lit(RUN - SEED + 1))))
+                         .join(whole.select(*pair), pair, "left_anti"))
+    more = _aligned_leaks(given, asked, wanted.select(*pair, "bands"), percent)
+    more = (more.join(wanted.select(*pair, "doc_id", "n_windows"), pair)
+            .join(counted.select(*pair, "n_matched"), pair, "left")
+            .select(*pair, "doc_id", "n_windows", F.coalesce("n_matched", F.lit(0).cast("bigint")).alias("n_matched"), "verbatim"))
+    return whole.select(*more.columns).unionByName(more)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, id_col: str = "doc_id",

@@ -56,3 +56,17 @@ def test_words_do_not_depend_on_parts(monkeypatch, chunk):
     kinds = dict(zip(words, whole[1].tolist()))
     assert kinds["Anna"] == D.NAME and kinds["Last"] == D.PLAIN and kinds["12"] == D.NUMBER and kinds["days?"] == D.UNIT
     assert "#" not in words
+
+
+def test_changed_copies_and_parts_are_found(spark):
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    short, middle, long = words[:10], words[10:30], words
+    one = [*short[:5], "other", *short[6:]]
+    four = [w if k % 5 != 3 else "other" for k, w in enumerate(middle)]
+    less = [w for k, w in enumerate(middle) if k % 6 != 2]
+    items = [(1, " ".join(short)), (2, " ".join(middle)), (3, " ".join(long))]
+    docs = [(1, "some text " * 9 + " ".join(one) + " and so on"), (2, "x y " + " ".join(four)), (3, "a b " + " ".join(less) + " c d"),
+            (4, "k l m " + " ".join(long[30:]) + " k l m"), (5, " ".join(long[40:50])), (6, " ".join(short[:5])),
+            (7, " ".join(w if k % 3 else "other" for k, w in enumerate(middle)))]
+    got = [(d, i) for d, i, _ in leaks(spark, docs, items)]
+    assert got == [(1, 1), (2, 2), (3, 2), (4, 3)]
