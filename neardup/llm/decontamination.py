@@ -4,7 +4,8 @@ Texts are reduced to words (letters and digits; Latin letters in lower case). In
 the template of a text, numbers, units after a number, and names (capitalised
 words inside a sentence) are replaced by typed placeholders; the words they stand
 for are the slots. Windows of ``window`` words are taken twice: as written, and,
-where they have a slot and enough other words, as a template.
+where they have a slot, as a template, which goes on over further words until it has
+enough that are no slots.
 
 1. The hashes of all benchmark windows fill a bitmap of fixed size. Workers
    pass on only those document windows whose hash is in it.
@@ -144,11 +145,14 @@ class Canonical:
 
 
 def windows(hashes, kinds, size: int):
-    """(places, hashes, is template) of a text's windows as written, then of its template windows."""
+    """(places, hashes, is template, lengths) of a text's windows as written, then of its template windows.
+
+    A template window has ``size`` words, and as many more as it takes to hold PLAIN_WORDS that are no slots.
+    """
     import numpy as np
     n = len(hashes)
     if not n:
-        return np.empty(0, dtype=np.int64), hashes, np.empty(0, dtype=bool)
+        return np.empty(0, dtype=np.int64), hashes, np.empty(0, dtype=bool), np.empty(0, dtype=np.int64)
     size = min(size, n)
     count = n - size + 1
 
@@ -159,12 +163,22 @@ def windows(hashes, kinds, size: int):
         return out
 
     slots = np.concatenate([[0], np.cumsum(kinds != PLAIN)])
-    slots = slots[size:] - slots[:-size] if size < len(slots) else slots
-    template = np.flatnonzero((slots > 0) & (size - slots >= PLAIN_WORDS))
+    plain = np.arange(n + 1) - slots
     marks = mix(np.arange(4, dtype=np.uint64) + np.uint64(1))
-    typed = joined(np.where(kinds == PLAIN, hashes, marks[kinds]))[template]
+    codes = np.where(kinds == PLAIN, hashes, marks[kinds])
+    # the first end that leaves PLAIN_WORDS behind each place
+    ends = np.maximum(np.searchsorted(plain, plain[:count] + PLAIN_WORDS), np.arange(count) + size)
+    template = np.flatnonzero((ends <= n) & (slots[np.minimum(ends, n)] > slots[:count]))
+    ends = ends[template]
+    typed = joined(codes)[template]
+    longer, at = ends - template > size, template + size
+    while longer.any():
+        typed[longer] = mix(typed[longer] + codes[at[longer]])
+        at[longer] += 1
+        longer = at < ends
     places = np.concatenate([np.arange(count), template])
-    return places, np.concatenate([joined(hashes), mix(typed)]), np.arange(len(places)) >= count
+    lengths = np.concatenate([np.full(count, size), ends - template])
+    return places, np.concatenate([joined(hashes), mix(typed)]), np.arange(len(places)) >= count, lengths
 
 
 def seeds(hashes, kinds):
@@ -241,27 +255,28 @@ def _windows_of(rows: DataFrame, keys: list[str], size: int, bitmap: bytes | Non
             took, out = [], {"place": [], "n_windows": [], "hash": [], "template": [], "slots": [], "seed": []}
             for i, text in enumerate(part.column("_text").cast(pa.binary()).to_pylist()):
                 hashes, kinds, starts, ends = canonical.words(text or b"")
-                places, keyed, template = windows(hashes, kinds, size)
+                places, keyed, template, lengths = windows(hashes, kinds, size)
                 n = len(places) - int(template.sum())
                 if filled is not None or len(hashes) >= size:
                     at, runs = seeds(hashes, kinds)
                     seed = np.arange(len(places) + len(at)) >= len(places)
                     places, keyed = np.concatenate([places, at]), np.concatenate([keyed, runs])
                     template = np.concatenate([template, np.zeros(len(at), dtype=bool)])
+                    lengths = np.concatenate([lengths, np.full(len(at), SEED)])
                 else:
                     seed = np.zeros(len(places), dtype=bool)
                 if filled is not None and len(keyed):
                     bit = (keyed & np.uint64(BITMAP - 1)).astype(np.int64)
                     hit = (filled[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                    places, keyed, template, seed = places[hit], keyed[hit], template[hit], seed[hit]
+                    places, keyed, template, seed, lengths = places[hit], keyed[hit], template[hit], seed[hit], lengths[hit]
                 out["seed"] += seed.tolist()
                 took += [i] * len(places)
                 out["place"] += places.tolist()
                 out["n_windows"] += [n] * len(places)
                 out["hash"] += keyed.view(np.int64).tolist()
                 out["template"] += template.tolist()
-                out["slots"] += [_slot_words(text, kinds, starts, ends, p, size) if t else []
-                                 for p, t in zip(places.tolist(), template.tolist())]
+                out["slots"] += [_slot_words(text, kinds, starts, ends, p, k) if t else []
+                                 for p, t, k in zip(places.tolist(), template.tolist(), lengths.tolist())]
             if took:
                 own = part.take(pa.array(took, pa.int64()))
                 kinds_of = {"place": pa.int64(), "n_windows": pa.int64(), "hash": pa.int64(), "template": pa.bool_(),

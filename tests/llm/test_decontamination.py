@@ -70,3 +70,21 @@ def test_changed_copies_and_parts_are_found(spark):
             (7, " ".join(w if k % 3 else "other" for k, w in enumerate(middle)))]
     got = [(d, i) for d, i, _ in leaks(spark, docs, items)]
     assert got == [(1, 1), (2, 2), (3, 2), (4, 3)]
+
+
+def test_items_dense_in_slots_are_found_with_other_parameters(spark):
+    rate = "a car drives 60 miles in 2 hours and 90 miles in 3 hours so how far does it go"
+    sums = "what is 12 plus 7 minus 5 times 4 plus 31 minus 6 in all"
+    docs = [(1, "x y " + rate.replace("60", "80").replace("2", "4").replace("90", "70").replace("3", "5") + " z"),
+            (2, "what is 15 plus 8 minus 9 times 2 plus 64 minus 3 in all"),
+            (3, "12 miles in 3 hours and 40 miles in 7 hours are two facts")]
+    assert leaks(spark, docs, [(1, rate), (2, sums)]) == [(1, 1, False), (2, 2, False)]
+
+
+def test_template_windows_go_on_over_slots():
+    import numpy as np
+    words = D.Canonical().words(b"go 1 2 3 4 5 far and away")
+    places, _, template, lengths = D.windows(words[0], words[1], 5)
+    own = {int(p): int(k) for p, k, t in zip(places, lengths, template) if t}
+    assert own == {0: 8, 1: 8, 2: 7, 3: 6, 4: 5} and places[~template].tolist() == list(range(5))
+    assert (np.diff(lengths[~template]) == 0).all()
