@@ -33,7 +33,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")   # a run is taken whole, so shorter ones needn't match first
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]{4,6})\}?|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 BATCH_BYTES = 1 << 20
@@ -159,7 +159,7 @@ def _percent(layer: Layer, m: re.Match):
 
 def _escape(layer: Layer, m: re.Match):
     digits = next(g for g in m.groups() if g is not None)
-    code = int(digits, 10 if m[5] is not None else 16)
+    code = int(digits, 10 if m[6] is not None else 16)
     if code > 0x10FFFF or 0xD800 <= code < 0xE000:
         return None, [], True
     return [(chr(code), m.start(), m.end())], [], True

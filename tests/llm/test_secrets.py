@@ -68,3 +68,9 @@ def test_query_form(spark):
     assert by[2].spans == "" and by[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert by[None].base_sha256 == hashlib.sha256(b"assign:0:13").hexdigest() and by[None].complete
     assert S.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_unicode_escapes_end_after_four_digits_or_at_the_brace():
+    for text in ("token\\u003dabc123def4567890", "password=\\u0022deadbeef99\\u0022", "tok\\u{65}n=abcdef12", "token\\u{3d}abcdef12",
+                 "token\\u{00003d}abcdef12", "&#116;oken=abcdef12"):
+        assert [k for k, _ in spans(text)] == ["assign"], text
