@@ -1,8 +1,10 @@
 """Secret scans through nested encodings.
 
 Each whole text is searched for three kinds of secrets. Then a worklist unwraps
-it: percent escapes, Unicode and character-reference escapes, and base64 runs
-(whose bytes may be compressed, also several times) each give a new layer, which
+it: percent escapes, Unicode and character-reference escapes, and base64 runs, also
+runs wrapped over lines (whose bytes may be compressed, also several times, and in
+several members), each give a new layer. Bytes that aren't UTF-8 are read as UTF-16 where
+zero bytes say so, else as Latin-1, so none are left out. A layer
 is searched and unwrapped in turn until nothing new comes up. A layer that was
 seen at the same place before is not taken up again, so layers that decode to
 themselves end. Every character of a layer knows the span of the text it came
@@ -12,7 +14,9 @@ base64, the whole run for compressed bytes.
 Defined cases: a null or empty text has no finds; each row is scanned by itself,
 so ties and repeated rows don't matter; an empty table gives an empty result;
 only the id and the text are read. A compressed layer is unpacked up to
-``MAX_LAYER`` bytes; ``complete`` is false where one was longer.
+``MAX_LAYER`` bytes; ``complete`` is false where one was longer, ended early, was
+damaged or needs a window of more than ``MAX_WINDOW`` bytes. ``n_layers`` counts
+layers of UTF-8 or UTF-16 without control characters, and others that hold a find.
 """
 
 from __future__ import annotations
@@ -36,8 +40,16 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
+#: Lines of base64; the breaks may be written as backslash and letter.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt])"
+                     r"(?:[A-Za-z0-9+/_-]{16,}+[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*+)+[A-Za-z0-9+/_-]+={0,2}")
+LINE = re.compile(r"(?<!\\)[A-Za-z0-9+/_-]+|(?<=\\)(?:r\\)?n[\x20\t]*([A-Za-z0-9+/_-]+)")
+
 BATCH_BYTES = 1 << 20
 MAX_LAYER = 1 << 26
+MAX_WINDOW = 1 << 27
+#: Compressed bytes taken at once.
+PIECE = 512
 MAGIC = {b"\x1f\x8b": "gzip", b"\x78\x01": "zlib", b"\x78\x5e": "zlib", b"\x78\x9c": "zlib", b"\x78\xda": "zlib",
          b"BZh": "bz2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
@@ -51,50 +63,67 @@ def finds(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def unpack(data: bytes) -> tuple[bytes | None, bool]:
-    """(what compressed ``data`` holds, whether that is all); None if it isn't compressed."""
-    kind = next((k for magic, k in MAGIC.items() if data.startswith(magic)), None)
-    try:
-        if kind in ("gzip", "zlib"):
-            import zlib
-            reader = zlib.decompressobj(47 if kind == "gzip" else 15)
-            out = reader.decompress(data, MAX_LAYER)
-            return out, not reader.unconsumed_tail
-        if kind == "bz2":
-            import bz2
-            reader = bz2.BZ2Decompressor()
-            out = reader.decompress(data, MAX_LAYER)
-            return out, reader.eof or reader.needs_input
-        if kind == "xz":
-            import lzma
-            reader = lzma.LZMADecompressor(memlimit=MAX_LAYER)
-            out = reader.decompress(data, MAX_LAYER)
-            return out, reader.eof or reader.needs_input
-        if kind == "zstd":
-            import io
-
-            import zstandard
-            reader = zstandard.ZstdDecompressor(max_window_size=MAX_LAYER).stream_reader(io.BytesIO(data))
-            out = reader.read(MAX_LAYER)
-            return out, len(reader.read(1)) == 0
-    except Exception:  # noqa: BLE001  damaged or other data that only begins like it
-        return None, True
-    return None, True
+def _reader(kind: str):
+    if kind in ("gzip", "zlib"):
+        import zlib
+        return zlib.decompressobj(31 if kind == "gzip" else 15)
+    if kind == "bz2":
+        import bz2
+        return bz2.BZ2Decompressor()
+    if kind == "xz":
+        import lzma
+        return lzma.LZMADecompressor(format=lzma.FORMAT_XZ, memlimit=MAX_WINDOW)
+    import zstandard
+    return zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW).decompressobj()
 
 
-def as_text(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return None if not text or CONTROL.search(text) else text
+def unpack(data: bytes) -> tuple[bytes | None, bool]:
+    """(what all members of compressed ``data`` hold, whether that is all); None if it isn't compressed."""
+    magic, kind = next(((magic, kind) for magic, kind in MAGIC.items() if data.startswith(magic)), (b"", ""))
+    if not kind:
+        return None, True
+    # two bytes, or three with a digit to follow, may begin other data
+    sure = (kind in ("xz", "zstd") or kind == "gzip" and data[2:3] == b"\x08"
+            or kind == "bz2" and data[4:10] in (b"1AY&SY", b"\x17\x72\x45\x38\x50\x90"))
+    out, rest = bytearray(), data
+    while rest.startswith(magic):
+        at = 0
+        try:
+            reader = _reader(kind)
+            while not reader.eof and at < len(rest):
+                left = MAX_LAYER - len(out)
+                if left <= 0:
+                    return bytes(out), False
+                piece, at = rest[at:at + PIECE], at + PIECE
+                out += reader.decompress(piece) if kind == "zstd" else reader.decompress(piece, left)
+        except Exception:  # noqa: BLE001  damaged or other data that only begins like it
+            return (bytes(out), False) if out else (None, not sure)
+        if not reader.eof:
+            return (bytes(out), False) if out else (None, not sure)
+        rest = reader.unused_data + rest[at:]
+    return bytes(out[:MAX_LAYER]), len(out) <= MAX_LAYER
+
+
+def as_text(data: bytes) -> tuple[str, str, bool]:
+    """(text, encoding, whether it is plain text) of any bytes."""
+    zeros = [data[k::2].count(0) * 4 > len(data) for k in (0, 1)]
+    if data.startswith((b"\xff\xfe", b"\xfe\xff")) or zeros[0] != zeros[1]:
+        encoding = "utf-16-be" if data.startswith(b"\xfe\xff") or zeros[0] else "utf-16-le"
+        text = data.decode(encoding, "replace")
+    else:
+        encoding = "utf-8"
+        try:
+            text = data.decode(encoding)
+        except UnicodeDecodeError:
+            return data.decode("latin-1"), "latin-1", False
+    return text, encoding, not CONTROL.search(text)
 
 
 class Layer:
     """A decoded text; ``begin[i]`` to ``end[i]`` is the span of the document that gave character i."""
 
-    def __init__(self, text: str, begin: list[int] | range, end: list[int] | range):
-        self.text, self.begin, self.end = text, begin, end
+    def __init__(self, text: str, begin: list[int] | range, end: list[int] | range, plain: bool = True):
+        self.text, self.begin, self.end, self.plain = text, begin, end, plain
 
     def span(self, first: int, last: int) -> tuple[int, int]:
         """Of the characters [first, last); compressed bytes all have the run's span."""
@@ -103,18 +132,19 @@ class Layer:
 
 def _unpacked(data: bytes, first: int, last: int) -> tuple[Layer | None, bool]:
     """The text inside compressed ``data`` found at [first, last)."""
-    whole, seen = True, set()
-    inner, all_of_it = unpack(data)
-    while inner is not None:
+    inner, whole = unpack(data)
+    if inner is None:
+        return None, whole
+    seen = set()
+    while inner not in seen:
+        seen.add(inner)
+        deeper, all_of_it = unpack(inner)
         whole &= all_of_it
-        text = as_text(inner)
-        if text is not None:
-            return Layer(text, [first] * len(text), [last] * len(text)), whole
-        if inner in seen:
+        if deeper is None:
             break
-        seen.add(inner)
-        inner, all_of_it = unpack(inner)
-    return None, whole
+        inner = deeper
+    text, _, plain = as_text(inner)
+    return Layer(text, [first] * len(text), [last] * len(text), plain), whole
 
 
 def _substituted(layer: Layer, pattern: re.Pattern, decode) -> tuple[list[Layer], bool]:
@@ -165,31 +195,51 @@ def _escape(layer: Layer, m: re.Match):
     return [(chr(code), m.start(), m.end())], [], True
 
 
-def _base64(layer: Layer) -> tuple[list[Layer], bool]:
+def _decoded(layer: Layer, chars: str, at: list[int] | range) -> tuple[Layer | None, bool]:
+    """The layer of base64 ``chars``, which stand at the places ``at`` of ``layer``."""
     import binascii
-    out, whole = [], True
+    run = chars.rstrip("=")
+    if len(run) % 4 == 1:
+        return None, True
+    plain = run.replace("-", "+").replace("_", "/")
+    data = binascii.a2b_base64(plain + "=" * (-len(plain) % 4))
+    inside, whole = _unpacked(data, layer.begin[at[0]], layer.end[at[-1]])
+    if inside is not None:
+        return inside, whole
+    text, encoding, is_plain = as_text(data)
+    begin, end, place = [], [], 0
+    for c in text:
+        n = len(c.encode(encoding))
+        begin.append(layer.begin[at[min(place * 8 // 6, len(run) - 1)]])
+        end.append(layer.end[at[min(-(-(place + n) * 8 // 6), len(run)) - 1]])
+        place += n
+    return Layer(text, begin, end, is_plain), whole
+
+
+def _base64(layer: Layer) -> tuple[list[Layer], bool]:
+    out, whole, joined = [], True, []
+    if "\n" in layer.text or "\\n" in layer.text:
+        for m in WRAPPED.finditer(layer.text):
+            lines = [x.span(1) if x[1] is not None else x.span() for x in LINE.finditer(layer.text, m.start(), m.end())]
+            # the last line may be a word that only follows
+            for last in {len(lines), len(lines) - 1} - {0, 1}:
+                at = [k for a, b in lines[:last] for k in range(a, b)]
+                inside, all_of_it = _decoded(layer, "".join(layer.text[a:b] for a, b in lines[:last]), at)
+                if last == len(lines):
+                    joined.append((m.start(), m.end(), all_of_it and inside is not None))
+                    whole &= all_of_it
+                if inside is not None:
+                    out.append(inside)
+    done = iter(joined)
+    block = next(done, None)
     for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        plain = run.replace("-", "+").replace("_", "/")
-        data = binascii.a2b_base64(plain + "=" * (-len(plain) % 4))
-        inside, all_of_it = _unpacked(data, *layer.span(m.start(), m.end()))
-        whole &= all_of_it
+        while block is not None and block[1] <= m.start():
+            block = next(done, None)
+        inside, all_of_it = _decoded(layer, m[0], range(m.start(), m.end()))
+        # a line that was read whole with the lines after it may end early by itself
+        whole &= all_of_it or (block is not None and block[0] <= m.start() and block[2])
         if inside is not None:
             out.append(inside)
-            continue
-        text = as_text(data)
-        if text is None:
-            continue
-        begin, end, at = [], [], 0
-        for c in text:
-            n = len(c.encode())
-            first, last = layer.span(m.start() + at * 8 // 6, m.start() + -(-(at + n) * 8 // 6))
-            begin.append(first)
-            end.append(last)
-            at += n
-        out.append(Layer(text, begin, end))
     return out, whole
 
 
@@ -214,8 +264,9 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], set[tuple[int, int, int
             if mark is None or mark in seen:
                 continue
             seen.add(mark)
-            layers += 1
-            for first, kind, last in finds(x.text):
+            held = finds(x.text)
+            layers += x.plain or bool(held)
+            for first, kind, last in held:
                 a, b = x.span(first, last)
                 found.add((a, kind, b))
             work.append(x)

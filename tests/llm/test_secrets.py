@@ -74,3 +74,30 @@ def test_unicode_escapes_end_after_four_digits_or_at_the_brace():
     for text in ("token\\u003dabc123def4567890", "password=\\u0022deadbeef99\\u0022", "tok\\u{65}n=abcdef12", "token\\u{3d}abcdef12",
                  "token\\u{00003d}abcdef12", "&#116;oken=abcdef12"):
         assert [k for k, _ in spans(text)] == ["assign"], text
+
+
+def wrapped(x, columns, feed="\n"):
+    run = b64(x)
+    return feed.join(run[i:i + columns] for i in range(0, len(run), columns))
+
+
+def test_wrapped_base64_members_encodings_and_short_ends():
+    import lzma
+    import random
+    noise = random.Random(4).randbytes(600).hex()
+    noise = " ".join(noise[i:i + 12] for i in range(0, len(noise), 12))
+    long = (noise + " " + SECRET + " " + noise).encode()
+    for feed in ("\n", "\r\n", "\n  ", "\\n"):
+        for columns in (64, 76):
+            for data in (gzip.compress(long), long, gzip.compress(long[:300]) + gzip.compress(long[300:])):
+                text = "x: " + wrapped(data, columns, feed) + "\nNext words here"
+                _, found, _, whole = S.scan(text)
+                assert "assign" in {S.KINDS[k] for _, k, _ in found} and whole, (feed, columns)
+    half = len(SECRET) // 2
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress, lambda x: lzma.compress(x, preset=9)):
+        run = b64(pack(SECRET[:half].encode()) + pack(SECRET[half:].encode()))
+        assert spans("a " + run + " b") == [("assign", run)] and S.scan("a " + run)[3]
+    for data in (SECRET.encode("utf-16-le"), SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), b"\x01\xe9 " + SECRET.encode() + b" \xff"):
+        assert [k for k, _ in spans("a " + b64(data) + " b")] == ["assign"]
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        assert not S.scan("a " + b64(pack(long)[:-9]))[3]
