@@ -37,8 +37,8 @@ BUCKETS = 1 << 15
 GRAMS = (2, 3, 4)
 DIMENSIONS = 16
 EPOCHS, RATE = 12, 2.0
-#: Bounds of the sample: documents of a language (about), languages, fragments of a document, words of one.
-PER_LANGUAGE, LANGUAGES, FRAGMENTS, FRAGMENT_WORDS = 400, 100, 3, 12
+#: Bounds of the sample: documents of a language (about), fragments of a document, words of one.
+PER_LANGUAGE, FRAGMENTS, FRAGMENT_WORDS = 400, 3, 12
 ACCURACY = 0.99
 BATCH_BYTES = 1 << 19
 UNDETERMINED = "und"
@@ -81,18 +81,21 @@ def held_out(id_col: str) -> Column:
 def examples(docs: DataFrame, id_col: str, text: str, lang: str) -> list[tuple[str, bool, object, object]]:
     """(language, for calibration, buckets, weights) of the sampled texts and fragments.
 
-    A bounded number of rows reaches the driver, each of at most BUCKETS numbers.
+    A bounded number of rows of each language reaches the driver, each of at most BUCKETS numbers.
     """
     import numpy as np
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    sizes = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
+    sizes = known.groupBy(lang).count().orderBy(F.desc("count"), lang).collect()
     if not sizes:
         return []
     unit = 1 << 40
     place = F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(unit))
-    chosen = F.lit(False)
+    shares: dict[int, list] = {}
     for r in sizes:
-        chosen = chosen | ((F.col(lang) == r[lang]) & (place < int(unit * min(1.0, PER_LANGUAGE / r["count"]))))
+        shares.setdefault(int(unit * min(1.0, PER_LANGUAGE / r["count"])), []).append(r[lang])
+    chosen = F.lit(False)
+    for share, languages in shares.items():
+        chosen = chosen | (F.col(lang).isin(languages) & (place < share))
     rows = (known.where(chosen).limit(2 * PER_LANGUAGE * len(sizes))
             .select(F.col(lang).alias("_lang"), (F.pmod(F.xxhash64(F.lit(8), F.col(id_col)), F.lit(5)) == 0).alias("_calibrate"),
                     F.xxhash64(F.lit(9), F.col(id_col)).alias("_seed"), F.col(text).alias("_text")))
@@ -174,7 +177,7 @@ def train(found: list, seed: int = 5) -> Model | None:
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, held_out, lang_pred, score (calibrated probability) and accepted of each whole text."""
     rows = docs.select(F.col(id_col).alias("_id"), held_out(id_col).alias("held_out"), F.col(text).alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)   # BUCKETS x LANGUAGES numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)   # BUCKETS numbers for each language
 
     def scored(batches: Iterator) -> Iterator:
         import numpy as np

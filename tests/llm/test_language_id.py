@@ -48,3 +48,10 @@ def test_long_texts_count_every_gram(monkeypatch):
                 n = max(L.GRAMS) - 1
                 parts += L.across(text[at + size - n:at + size + n], n).tolist()
         assert sorted(parts) == whole
+
+
+def test_every_labelled_language_is_learned_from(spark):
+    from neardup.llm import language_id
+    rows = [(10 * k + d, f"text of language {k} here", f"l{k:03d}") for k in range(120) for d in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len({x[0] for x in language_id.examples(docs, "doc_id", "text", "lang")}) == 120
