@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from neardup.llm import (
-    chat, decontamination, language_id, line_dedup, minhash, quality, secret_scan, sentencepiece_codec, token_counts,
-    token_files)
+    chat, decontamination, language_id, line_dedup, merkle, minhash, quality, secret_scan, sentencepiece_codec, simhash_tiles,
+    spelling, token_counts, token_files)
 from neardup.llm.common import table
 from neardup.llm.sql import SQL  # noqa: F401
 
@@ -73,3 +73,23 @@ def op9_decontamination(spark, sf_dir):
 @query
 def op10_chat_rotation(spark, sf_dir):
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), typo_rate=spelling.TYPO_RATE)
+
+
+@query
+def op12_simhash_tiles(spark, sf_dir):
+    found = simhash_tiles.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = merkle.manifest(table(spark, sf_dir, "documents"),
+                            claimed={"text": F.when(tampered, lowered).otherwise(F.col("text"))})
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
