@@ -7,7 +7,8 @@ Three candidate generators, all equi-joins (never a cross join):
   band (pigeonhole). Each row is indexed under its exact band values and probes
   with every value within ``r`` bits of its own; the join key is (band, value).
   ``r = 0`` with ``m = t + 1`` is the classic pigeonhole split; the planner picks
-  ``m`` by an estimated cost (multi-index hashing, Norouzi et al. 2012).
+  ``m`` by an estimated cost (multi-index hashing, Norouzi et al. 2012). Radii may
+  also differ from band to band (``operators.pigeonhole``).
 * ``lsh_pairs`` -- approximate bit-sampling LSH with seeded positions.
 * Equal fingerprints are collapsed first (``collapse``), so a fingerprint shared
   by a third of all rows becomes one representative plus a member list and never
@@ -125,13 +126,18 @@ class BandPlan:
     radius: int
     probes_per_row: int
     est_candidates: float
+    radii: tuple = ()     # a radius for each band (-1: not used); empty: ``radius`` in all
+
+    @property
+    def allowed(self) -> tuple:
+        return self.radii or (self.radius,) * len(self.bands)
 
     @property
     def est_rows(self) -> float:
         return self.probes_per_row + self.est_candidates
 
 
-def _layout(bits: int, m: int) -> tuple:
+def layout(bits: int, m: int) -> tuple:
     base, extra = divmod(bits, m)
     out, s = [], 0
     for i in range(m):
@@ -142,20 +148,20 @@ def _layout(bits: int, m: int) -> tuple:
 
 
 def make_band_plan(bits: int, threshold: int, m: int, n: int = 1) -> BandPlan:
-    bands = _layout(bits, m)
+    bands = layout(bits, m)
     r = threshold // m
     probes = sum(sum(comb(e - s, j) for j in range(r + 1)) for s, e in bands)
     cands = sum(sum(comb(e - s, j) for j in range(r + 1)) * n / 2.0 ** (e - s) for s, e in bands)
     return BandPlan(bits, threshold, bands, r, probes, cands)
 
 
-def _min_bands(bits: int) -> int:
+def min_bands(bits: int) -> int:
     return -(-bits // 63)           # every band must fit a BIGINT
 
 
 def pigeonhole_plan(bits: int, threshold: int) -> BandPlan:
     """``t + 1`` exact bands (radius 0), or more when needed to fit 63-bit keys."""
-    return make_band_plan(bits, threshold, min(bits, max(threshold + 1, _min_bands(bits))))
+    return make_band_plan(bits, threshold, min(bits, max(threshold + 1, min_bands(bits))))
 
 
 def plan_bands(n: int, bits: int, threshold: int, max_probes: int = 20000) -> BandPlan:
@@ -165,7 +171,7 @@ def plan_bands(n: int, bits: int, threshold: int, max_probes: int = 20000) -> Ba
     assuming uniform bits. Bands must fit a BIGINT (<= 63 bits).
     """
     best = None
-    lo = _min_bands(bits)
+    lo = min_bands(bits)
     for m in range(lo, max(lo, min(bits, threshold + 1)) + 1):
         p = make_band_plan(bits, threshold, m, n)
         if p.probes_per_row > max_probes:
@@ -185,9 +191,40 @@ def _with_comp(base: DataFrame, comp: DataFrame | None) -> DataFrame:
 def band_index(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "rep",
                fp_col: str = "fp") -> DataFrame:
     """Index rows (id, w0.., band, key): every representative under each exact band value."""
-    keys = F.array(*[extract_bits(word_names("w", n_words), s, e) for s, e in plan.bands])
+    keys = _band_keys(n_words, plan)
     base = with_words(reps.select(F.col(rep_col).alias("id"), fp_col), fp_col, n_words).drop(fp_col)
-    return base.select("id", *word_names("w", n_words), F.posexplode(keys).alias("band", "key"))
+    rows = base.select("id", *word_names("w", n_words), F.posexplode(keys).alias("band", "key"))
+    return rows.where(_used_band("band", plan))
+
+
+def _band_keys(n_words: int, plan: BandPlan) -> Column:
+    """The value of each band; 0 for a band that the plan leaves out."""
+    return F.array(*[extract_bits(word_names("w", n_words), s, e) if r >= 0 else F.lit(0).cast("bigint")
+                     for (s, e), r in zip(plan.bands, plan.allowed)])
+
+
+def _used_band(band: str, plan: BandPlan) -> Column:
+    left_out = [i for i, r in enumerate(plan.allowed) if r < 0]
+    return ~F.col(band).isin(left_out) if left_out else F.lit(True)
+
+
+def _probe_keys(key: Column, plan: BandPlan) -> Column:
+    """All values within the band's radius of ``key``, by the column ``band``."""
+    def variants(width: int, radius: int) -> Column:
+        masks = masks_within(width, radius)
+        if len(masks) <= VARIANTS_INLINE:        # plain XOR expressions, compiled with the stage
+            return F.array(*[key.bitwiseXOR(F.lit(m)) for m in masks])
+        return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: key.bitwiseXOR(m))
+
+    of_shape: dict[tuple[int, int], list[int]] = {}
+    for i, ((s, e), r) in enumerate(zip(plan.bands, plan.allowed)):
+        if r >= 0:
+            of_shape.setdefault((e - s, r), []).append(i)
+    shapes = list(of_shape.items())
+    out = variants(*shapes[-1][0])
+    for shape, bands in shapes[:-1]:
+        out = F.when(F.col("band").isin(bands), variants(*shape)).otherwise(out)
+    return out
 
 
 def band_pairs(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "rep",
@@ -198,34 +235,24 @@ def band_pairs(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "re
     emitted (used by the hot-bucket path of the component search).
     """
     aw, bw = word_names("a", n_words), word_names("b", n_words)
-    keys = F.array(*[extract_bits(word_names("w", n_words), s, e) for s, e in plan.bands])
+    keys = _band_keys(n_words, plan)
     base = with_words(reps.select(F.col(rep_col).alias("id"), fp_col), fp_col, n_words).drop(fp_col)
     base = _with_comp(base.select("id", *word_names("w", n_words), keys.alias("_keys")), comp)
     index = base.select(F.col("id").alias("dst"), *[F.col(f"w{i}").alias(b) for i, b in enumerate(bw)],
-                        F.col("_comp").alias("dst_comp"), F.posexplode("_keys").alias("band", "key"))
+                        F.col("_comp").alias("dst_comp"), F.posexplode("_keys").alias("band", "key")).where(_used_band("band", plan))
     probe = base.select(F.col("id").alias("src"), *[F.col(f"w{i}").alias(a) for i, a in enumerate(aw)],
                         F.col("_comp").alias("src_comp"), F.posexplode("_keys").alias("band", "key0"))
+    probe = probe.where(_used_band("band", plan))
     if plan.radius == 0:
         probe = probe.withColumnRenamed("key0", "key")
     else:
-        widths = sorted({e - s for s, e in plan.bands})
-        wide = plan.bands[0][1] - plan.bands[0][0]
-        n_wide = sum(1 for s, e in plan.bands if e - s == wide)
-        key0 = F.col("key0")
-
-        def variants(w):
-            masks = masks_within(w, plan.radius)
-            if len(masks) <= VARIANTS_INLINE:        # plain XOR expressions, compiled with the stage
-                return F.array(*[key0.bitwiseXOR(F.lit(m)) for m in masks])
-            return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: key0.bitwiseXOR(m))
-
-        keys_arr = variants(wide) if len(widths) == 1 else \
-            F.when(F.col("band") < n_wide, variants(wide)).otherwise(variants(min(widths)))
-        probe = probe.select("src", *aw, "src_comp", "band", F.explode(keys_arr).alias("key"))
+        probe = probe.select("src", *aw, "src_comp", "band", F.explode(_probe_keys(F.col("key0"), plan)).alias("key"))
     # canonical band: the first band whose distance is within the radius
     first = None
-    for i, (s, e) in enumerate(plan.bands):
-        cond = masked_distance(aw, bw, _word_masks(s, e, n_words)) <= plan.radius
+    for i, ((s, e), r) in enumerate(zip(plan.bands, plan.allowed)):
+        if r < 0:
+            continue
+        cond = masked_distance(aw, bw, _word_masks(s, e, n_words)) <= r
         first = F.when(cond, F.lit(i)) if first is None else first.when(cond, F.lit(i))
     d = distance(aw, bw)
     cond = ((probe["band"] == index["band"]) & (probe["key"] == index["key"])
@@ -397,15 +424,16 @@ class Strategy:
 
 
 def choose_strategy(n: int, bits: int, threshold: int, use_lsh: bool = False,
-                    lsh_tables_bits: tuple[int, int] | None = None, target_recall: float = 0.99) -> Strategy:
-    """The exact band join at every size, unless LSH is asked for.
+                    lsh_tables_bits: tuple[int, int] | None = None, target_recall: float = 0.99,
+                    plan: BandPlan | None = None) -> Strategy:
+    """The exact band join at every size (by ``plan``, if given), unless LSH is asked for.
 
     ``use_lsh=True`` takes ``lsh_tables_bits`` = (tables, bits per table) when given,
     else tables and bits solved for ``target_recall`` at d = threshold; it is an
     error when none reach it. LSH misses pairs by design.
     """
     if not use_lsh:
-        return Strategy("bands", band_plan=plan_bands(n, bits, threshold))
+        return Strategy("bands", band_plan=plan or plan_bands(n, bits, threshold))
     tables, k = lsh_tables_bits or solve_lsh_params(n, threshold, bits, target_recall)
     return Strategy("lsh", tables=tables, bits_per_table=k)
 

@@ -17,7 +17,8 @@ from neardup.functions.scalars import (extension, format_number, format_rank, fo
 from neardup.operators import actions as ACT, report as REP, selection as SEL, store as ST
 from neardup.operators.exact import exact_hash_groups
 from neardup.operators.hamming import (band_pairs, collapse, lsh_buckets, lsh_pairs, lsh_positions,
-                                       pigeonhole_plan, plan_bands)
+                                       pigeonhole_plan)
+from neardup.operators.pigeonhole import general_plan
 from neardup.plans import sql as S
 from neardup.plans.dataflow import GROUP_COLUMNS, find_duplicates, perceptual_candidates, perceptual_components
 from neardup.sources import fixtures as FX
@@ -434,7 +435,7 @@ _PAIRS_SQL = S.with_ctes("pairs") + "SELECT src, dst, distance FROM pairs"
 @register("hamming_pairs_exact", _PAIRS_SQL)
 def hamming_pairs_exact(spark, d):
     reps, _ = _text_reps(spark, d)
-    return band_pairs(reps, 4, plan_bands(reps.count(), 256, S.T_TEXT))
+    return band_pairs(reps, 4, general_plan(reps, reps.count(), 256, S.T_TEXT))
 
 
 @register("hamming_pairs_bands", _PAIRS_SQL)
@@ -446,7 +447,7 @@ def hamming_pairs_bands(spark, d):
 @register("vector_pairs", S.with_ctes("vpairs") + "SELECT src, dst, distance FROM vpairs")
 def vector_pairs(spark, d):
     reps, _ = _vec_reps(spark, d)
-    return band_pairs(reps, 1, plan_bands(reps.count(), 64, S.T_VEC))
+    return band_pairs(reps, 1, general_plan(reps, reps.count(), 64, S.T_VEC))
 
 
 _LSH_POS = lsh_positions(S.LSH_TABLES, S.LSH_BITS, 256)

@@ -4,7 +4,7 @@ The driver only sees scalars: the number of distinct fingerprints (strategy
 choice), the size of the fullest bucket (hot-bucket path, only when it could
 matter), the component loop's convergence test and the largest group size (read
 from the materialised group table). Lineage is cut by Parquet writes under the
-checkpoint dir; no rows are collected.
+checkpoint dir; no rows are collected but the band planner's sample of at most 1,024 fingerprints.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from neardup.operators.exact import exact_hash_groups, exact_members, exclude_ex
 from neardup.operators.hamming import (HOT_BUCKET_ROWS, band_index, band_pairs, choose_strategy, collapse,
                                        largest_bucket, leader_edges, lsh_index, lsh_pairs, lsh_positions,
                                        validate_threshold)
+from neardup.operators.pigeonhole import general_plan
 from neardup.operators.ranking import global_index
 from neardup.operators.selection import best_per_group, effective_strategy, rank_members
 from neardup.session import cut_lineage
@@ -49,7 +50,8 @@ def perceptual_components(candidates: DataFrame, threshold: int, bits: int = 256
     n_words = bits // 64
     reps, copies = collapse(candidates)
     n = reps.count()
-    strat = choose_strategy(n, bits, threshold, use_lsh, lsh_tables_bits, target_recall)
+    plan = None if use_lsh else general_plan(reps, n, bits, threshold)
+    strat = choose_strategy(n, bits, threshold, use_lsh, lsh_tables_bits, target_recall, plan)
     if strat.kind == "lsh":
         pos = lsh_positions(strat.tables, strat.bits_per_table, bits)
         index, cols = lsh_index(reps, n_words, pos), ["table_idx", *[f"k{i}" for i in range(n_words)]]
