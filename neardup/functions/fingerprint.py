@@ -7,11 +7,13 @@
   form (explode + 128 vote sums), whose wide hash aggregate falls out of codegen.
 * ``vector_fingerprint``: 64-bit above-median code of an embedding (built-ins only).
 * ``phash_words``: 256-bit DCT hash of decoded pixels (Arrow/pandas, numpy).
+* ``gray_levels`` and ``dct_hash``: DCT hash of small gray pictures held as arrays (built-ins only, whole numbers).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -80,6 +82,42 @@ def vector_fingerprint(embedding: str, dims: int = 64) -> Column:
         f"IF(element_at({e}, i + 1) >= t, shiftleft(1L, {dims - 1} - i), 0L)))[0] END")
 
 
+DCT_SCALE = 1 << 12
+
+
+def dct_basis(n: int) -> list[int]:
+    """The n x n cosines of the DCT-II in rows by frequency, times DCT_SCALE and rounded."""
+    return [round(math.cos(math.pi * (2 * x + 1) * u / (2 * n)) * DCT_SCALE) for u in range(n) for x in range(n)]
+
+
+def gray_levels(values: str, size: int) -> Column:
+    """``values`` (size * size numbers) as gray levels 0 to 255 from the least to the largest; NULL for another length or NULLs."""
+    return F.expr(
+        f"CASE WHEN size({values}) = {size * size} AND forall({values}, x -> x IS NOT NULL) THEN "
+        f"transform({values}, x -> CAST(COALESCE(FLOOR((CAST(x AS DOUBLE) - array_min({values})) * 255.0D / "
+        f"NULLIF(CAST(array_max({values}) AS DOUBLE) - array_min({values}), 0.0D)), 0) AS BIGINT)) END")
+
+
+def dct_hash(pixels: str, size: int = 8, keep: int = 8) -> Column:
+    """The DCT hash of a gray picture in rows, an array of ``size`` * ``size`` whole numbers: keep * keep / 64 words.
+
+    A bit is set where a coefficient of the ``keep`` x ``keep`` lowest frequencies is above their median.
+    Cosines are scaled whole numbers, so sums are exact and the same on every engine.
+    """
+    basis = "array(" + ", ".join(f"{c}L" for c in dct_basis(size)) + ")"
+    n, k = size, keep
+    rows = (f"transform(sequence(0, {n * k - 1}), i -> aggregate(sequence(0, {n - 1}), 0L, "
+            f"(s, x) -> s + {pixels}[(i div {k}) * {n} + x] * b[(i % {k}) * {n} + x]))")
+    both = (f"transform(sequence(0, {k * k - 1}), i -> aggregate(sequence(0, {n - 1}), 0L, "
+            f"(s, y) -> s + t[y * {k} + i % {k}] * b[(i div {k}) * {n} + y]))")
+    middle = f"sort_array(c)[{k * k // 2 - 1}] + sort_array(c)[{k * k // 2}]"
+    words = (f"transform(sequence(0, {k * k // 64 - 1}), w -> aggregate(sequence(0, 63), 0L, "
+             f"(s, j) -> shiftleft(s, 1) | IF(2 * c[w * 64 + j] > m, 1L, 0L)))")
+    # each value is computed once: an outer lambda binds it
+    return F.expr(f"CASE WHEN {pixels} IS NOT NULL THEN transform(array({basis}), b -> transform(array({rows}), t -> "
+                  f"transform(array({both}), c -> transform(array({middle}), m -> {words})[0])[0])[0])[0] END")
+
+
 # ---------------------------------------------------------------------------
 # image pHash (DCT hash, Zauner 2010): gray -> 64x64 area average -> 2-D DCT-II
 # -> top-left 16x16 block -> bit = coefficient > median of the block

@@ -172,6 +172,13 @@ def vector_fingerprint_q(spark, d):
     return FX.fp_vec(spark, d).select("vec_id", "vec_hash")
 
 
+@register("dct_hash", S.with_ctes("dct") + """
+SELECT e.vec_id, lpad(lower(hex(dct.w0)), 16, '0') AS dct_hash FROM embeddings e LEFT JOIN dct USING (vec_id)""")
+def dct_hash_q(spark, d):
+    """The embeddings as gray pictures of 8 x 8 and their DCT hash, in column arithmetic."""
+    return FX.dct_vec(spark, d).select("vec_id", words_to_hex("fp", 1).alias("dct_hash"))
+
+
 @register("fingerprint_parse", S.with_ctes("fpx") + f"""
 SELECT doc_id, {', '.join(S.signed(S.hex_word('perceptual_hash', i)) + f' AS w{i}' for i in range(4))},
        upper(perceptual_hash) AS upper_hash,
@@ -450,6 +457,15 @@ def vector_pairs(spark, d):
     return band_pairs(reps, 1, general_plan(reps, reps.count(), 64, S.T_VEC))
 
 
+@register("dct_pairs", S.with_ctes("dct_reps") + f"""
+SELECT a.rep AS src, b.rep AS dst, CAST({S.dist('a', 'b', 1)} AS INTEGER) AS distance
+FROM dct_reps a JOIN dct_reps b ON a.rep < b.rep WHERE {S.dist('a', 'b', 1)} <= {S.T_VEC}""")
+def dct_pairs(spark, d):
+    """Pictures whose DCT hashes differ in few bits: the image path with the exact band join."""
+    reps, _ = collapse(cut_lineage(FX.dct_vec(spark, d).select(F.col("vec_id").alias("id"), "fp")))
+    return band_pairs(reps, 1, general_plan(reps, reps.count(), 64, S.T_VEC))
+
+
 _LSH_POS = lsh_positions(S.LSH_TABLES, S.LSH_BITS, 256)
 
 

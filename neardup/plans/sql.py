@@ -8,6 +8,7 @@ from the same Python constants so both sides use the same literals.
 from __future__ import annotations
 
 from neardup import constants as C
+from neardup.functions.fingerprint import dct_basis
 from neardup.operators.hamming import lsh_positions
 from neardup.sources import fixtures as FX
 
@@ -189,6 +190,21 @@ SELECT a.rep AS src, b.rep AS dst, CAST({dist('a', 'b', 1)} AS INTEGER) AS dista
 FROM vreps a JOIN vreps b ON a.rep < b.rep WHERE {dist('a', 'b', 1)} <= {T_VEC}""")
 
 
+# embeddings as gray pictures of 8 x 8: DCT hash in whole numbers
+_BASIS = f"({dct_basis(8)}::BIGINT[])"
+cte("dct", (), f"""
+SELECT vec_id, list_reduce(list_transform(range(64), lambda i: CASE WHEN 2 * c[i + 1] > list_sort(c)[32] + list_sort(c)[33]
+                 THEN (1::UBIGINT << (63 - i)) ELSE 0::UBIGINT END), lambda x, y: x | y) AS w0
+FROM (SELECT vec_id, list_transform(range(64), lambda i: list_sum(list_transform(range(8),
+               lambda y: t[y * 8 + i % 8 + 1] * {_BASIS}[(i // 8) * 8 + y + 1]))::BIGINT) AS c
+FROM (SELECT vec_id, list_transform(range(64), lambda i: list_sum(list_transform(range(8),
+               lambda x: p[(i // 8) * 8 + x + 1] * {_BASIS}[(i % 8) * 8 + x + 1]))::BIGINT) AS t
+FROM (SELECT vec_id, list_transform(embedding, lambda e: coalesce(floor((e::DOUBLE - list_min(embedding)::DOUBLE) * 255.0::DOUBLE
+               / nullif(list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE, 0.0::DOUBLE)), 0)::BIGINT) AS p
+FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL)) = 0)))""")
+cte("dct_reps", ("dct",), "SELECT w0, min(vec_id) AS rep FROM dct GROUP BY w0")
+
+
 def lsh_key_sql(h: str, positions) -> str:
     k = len(positions)
     return " | ".join(f"({hex_bit(h, p)} << {k - 1 - j})" for j, p in enumerate(positions))

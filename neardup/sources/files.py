@@ -1,17 +1,20 @@
 """File sources: discovery by extension, content hashes, image analysis.
 
-``binaryFile`` lists files with path/length/modificationTime; ``content`` is read
-only when a later column needs it (column pruning), so discovery and the
-metadata filter never open a file. Decoding uses Spark's ``image`` source.
+Discovery lists folders in tasks (``discovery``) and opens no file; hashes and headers come from one
+pass over each file in pieces (``pieces``). Decoding uses Spark's ``image`` source.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from neardup import constants as C
 from neardup.functions.scalars import bit_depth_from_mode, extension, quality_score, words_to_hex
 from neardup.session import cut_lineage
+from neardup.sources.discovery import discover
+from neardup.sources.pieces import file_facts
 
 
 def image_extensions(with_codecs: bool = False) -> list[str]:
@@ -33,13 +36,6 @@ def extension_glob(with_codecs: bool = False) -> str:
     return "*.{" + ",".join(ci(e[1:]) for e in image_extensions(with_codecs)) + "}"
 
 
-def _binary(spark: SparkSession, root: str, recursive: bool, with_codecs: bool = False):
-    return (spark.read.format("binaryFile")
-            .option("recursiveFileLookup", str(recursive).lower())
-            .option("pathGlobFilter", extension_glob(with_codecs))
-            .load(root))
-
-
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(path, mtime, file_size) of every regular file under ``root`` (content not read)."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root))
@@ -48,100 +44,100 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFr
 
 def find_image_files(spark: SparkSession, root: str, recursive: bool = True,
                      with_codecs: bool = False) -> DataFrame:
-    """(path, mtime, file_size) of the image files under ``root``."""
-    df = _binary(spark, root, recursive, with_codecs)
-    listing = df.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("file_size"))
-    return keep_image_paths(listing, with_codecs)
+    """(path, mtime, file_size) of the image files under ``root``: hidden ones too, links resolved, no file opened."""
+    return discover(spark, root, image_extensions(with_codecs), recursive)
 
 
 def content_hashes(spark: SparkSession, root: str, recursive: bool = True,
                    algorithm: str = "sha256") -> DataFrame:
-    """(path, file_hash) of the image files under ``root``."""
-    fn = {"sha256": lambda c: F.sha2(c, 256), "sha224": lambda c: F.sha2(c, 224),
-          "sha384": lambda c: F.sha2(c, 384), "sha512": lambda c: F.sha2(c, 512),
-          "sha1": F.sha1, "md5": F.md5}[algorithm]
-    df = _binary(spark, root, recursive)
-    return keep_image_paths(df.select("path", fn(F.col("content")).alias("file_hash")))
+    """(path, file_hash) of the image files under ``root``; the hash of a file that can't be read is NULL."""
+    return file_facts(find_image_files(spark, root, recursive), algorithm).select("path", "file_hash")
 
 
 #: What Spark's ``image`` source decodes; a file of another known type has no pixels but is no error.
 DECODED = (".bmp", ".gif", ".jpeg", ".jpg", ".jpe", ".jfif", ".png", ".wbmp")
-#: First bytes of the formats, as upper-case hex (fixed values).
-MAGIC = (("89504E470D0A1A0A", "PNG"), ("FFD8FF", "JPEG"), ("474946383761", "GIF"), ("474946383961", "GIF"),
-         ("424D", "BMP"), ("49492A00", "TIFF"), ("4D4D002A", "TIFF"), ("38425053", "PSD"))
-
-
-def content_format(content: Column, ext: Column) -> Column:
-    """The format named by the first bytes; else the extension's name."""
-    head = F.hex(F.substring(content, 1, 12))
-    out = F.when(head.startswith("52494646") & head.endswith("57454250"), F.lit("WEBP"))
-    for magic, name in MAGIC:
-        out = out.when(head.startswith(magic), F.lit(name))
-    return out.otherwise(F.when(ext != "", F.upper(F.substring(ext, 2, 10))))
-
-
 def analyze_new(spark: SparkSession, root: str, store: DataFrame, recursive: bool = True,
                 version: int = 1) -> tuple[DataFrame, DataFrame]:
     """(stored records still valid, manifest of the files that changed or are new) of ``root``.
 
-    Only the listing is read for known files.
+    Only the listing is read for known files; the others are opened one by one, whatever their times.
     """
     from neardup.operators.store import split_hits
     hits, misses = split_hits(find_image_files(spark, root, recursive), store, version)
-    return hits, analyze(spark, root, recursive, only=misses)
+    return hits, analyze_listed(spark, misses)
 
 
 def analyze(spark: SparkSession, root: str, recursive: bool = True, with_phash: bool = True,
             with_hash: bool = True, only: DataFrame | None = None) -> DataFrame:
-    """Manifest of the image files under ``root``, with a gap-free ``id`` in path order.
+    """Manifest of the image files under ``root``, or of the files of ``only`` (path, mtime, file_size)."""
+    if only is not None:
+        return analyze_listed(spark, only, with_phash, with_hash)
+    listing = find_image_files(spark, root, recursive)
+    return analyze_listed(spark, listing, with_phash, with_hash, root=root, recursive=recursive)
 
-    ``binaryFile`` (size, mtime, content -> SHA-256) joined on ``_metadata.file_path``
-    to the ``image`` source (width, height, channels, pixels -> pHash). Hashes are
-    taken in the scans, so neither contents nor pixels are shuffled. A damaged
-    file of a type that is decoded gets ``error`` text instead of failing the job; a
-    type without a decoder keeps its hash, with no pixels and no error.
 
-    ``only`` (path, mtime) restricts the work to these files: those older than the
-    oldest of them aren't even opened.
+def _plain_path(file_path: Column) -> Column:
+    """``_metadata.file_path``, a URI, as the listing writes paths."""
+    plain = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^file:///", "file:/")
+
+
+def pixel_hashes(spark: SparkSession, listing: DataFrame, root: str | None = None, recursive: bool = True) -> DataFrame:
+    """(path, fp, decoded) of the listed files that Spark's ``image`` source finds; decoded is False for damaged ones.
+
+    With ``root`` all files under it are read; else the listed paths are given to the
+    reader, so that no other file is opened (its listing is on the driver in any case).
     """
-    from neardup.operators.ranking import global_index
     from neardup.functions.fingerprint import phash_words
-    opt = str(recursive).lower()
+    wanted = listing.where(extension("path").isin(*DECODED)).select("path")
+    if root is not None:
+        reader = (spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", str(recursive).lower())
+                  .option("pathGlobFilter", extension_glob()))
+        images = reader.load(root)
+    else:
+        paths = [r.path for r in wanted.toLocalIterator()]
+        if not paths:
+            return wanted.select("path", F.lit(None).cast("array<bigint>").alias("fp"), F.lit(False).alias("decoded"))
+        # names are taken literally, not as patterns
+        images = (spark.read.format("image").option("dropInvalid", "false")
+                  .load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]))
+    read = F.coalesce(F.col("image.height") > 0, F.lit(False))
+    return images.select(
+        _plain_path(F.col("_metadata.file_path")).alias("path"),
+        F.when(read, phash_words("image.data", "image.height", "image.width", "image.nChannels")).alias("fp"),
+        read.alias("decoded"))
+
+
+def analyze_listed(spark: SparkSession, listing: DataFrame, with_phash: bool = True, with_hash: bool = True,
+                   root: str | None = None, recursive: bool = True) -> DataFrame:
+    """Manifest of the listed files (path, mtime, file_size), with a gap-free ``id`` in path order.
+
+    One pass over each file, in pieces, gives its hash and its header: format, size and
+    mode. The pixel hash comes from Spark's ``image`` source. Hashes are taken in the scans, so neither
+    contents nor pixels are shuffled. A file that can't be read, or a damaged one of a type
+    that is decoded, gets ``error`` text instead of failing the job; other types keep
+    their hash, and their size where the header tells it.
+    """
+    from neardup.operators.ranking import global_index
+    listing = cut_lineage(listing.select("path", "mtime", "file_size"))
     ext = extension("path")
-    files = _binary(spark, root, recursive)
-    images = (spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", opt)
-              .option("pathGlobFilter", extension_glob())      # never try to decode other files
-              .load(root))
-    if only is not None:
-        only = cut_lineage(only.select("path", "mtime"))
-        oldest = only.agg(F.min("mtime")).first()[0]
-        since = F.col("_metadata.file_modification_time") >= F.lit(oldest)      # prunes the listing
-        files = files.where(since)
-        images = images.where(since)
-    raw = files.where(ext.isin(image_extensions())).select(
-        F.col("_metadata.file_path").alias("_fp"), "path", F.col("modificationTime").alias("mtime"),
-        F.col("length").alias("file_size"), content_format(F.col("content"), ext).alias("format"),
-        (F.sha2("content", 256) if with_hash else F.lit(None).cast("string")).alias("file_hash"))
-    if only is not None:      # written first, so that the join is of hashes and not of contents
-        raw = cut_lineage(raw).join(only.select("path"), "path", "left_semi")
-    read = F.col("image.height") > 0
-    img = images.select(
-        F.col("_metadata.file_path").alias("_fp"), F.col("image.height").alias("_h"),
-        F.col("image.width").alias("_w"), F.col("image.nChannels").alias("_c"),
-        (F.when(read, phash_words("image.data", "image.height", "image.width", "image.nChannels")) if with_phash
-         else F.lit(None).cast("array<bigint>")).alias("_phash"))
-    j = raw.dropDuplicates(["path"]).join(img, "_fp", "left")
-    ok = F.col("_h").isNotNull() & (F.col("_h") > 0)
-    mode_name = F.when(F.col("_c") == 1, F.lit("L")).when(F.col("_c") == 3, F.lit("RGB")) \
-        .when(F.col("_c") == 4, F.lit("RGBA"))
-    out = j.select(
+    facts = cut_lineage(file_facts(listing, "sha256" if with_hash else None))
+    if with_phash:
+        hashed = pixel_hashes(spark, listing, root, recursive).dropDuplicates(["path"])
+        facts = facts.join(hashed, "path", "left")
+    else:
+        facts = facts.withColumns({"fp": F.lit(None).cast("array<bigint>"), "decoded": F.lit(None).cast("boolean")})
+    damaged = ~F.coalesce("decoded", F.lit(True)) | F.col("width").isNull()
+    error = F.coalesce("read_error", F.when(damaged & ext.isin(*DECODED), F.lit("cannot identify image file")))
+    ok = F.col("error").isNull() & F.col("width").isNotNull()
+    named = F.coalesce("format", F.when(ext != "", F.upper(F.substring(ext, 2, 10))))
+    out = facts.withColumn("error", error).select(
         "path", "mtime", "file_size",
-        F.when(ok, F.col("_w")).otherwise(F.lit(0)).alias("width"),
-        F.when(ok, F.col("_h")).otherwise(F.lit(0)).alias("height"),
-        F.when(ok, F.col("_w").cast("bigint") * F.col("_h")).otherwise(F.lit(0).cast("bigint")).alias("pixel_count"),
-        F.when(ok, bit_depth_from_mode(mode_name)).otherwise(F.lit(0)).alias("bit_depth"),
-        "format", "file_hash", F.when(ok, F.col("_phash")).alias("fp"),
-        F.when(~ok & ext.isin(*DECODED), F.lit("cannot identify image file")).alias("error"))
+        F.when(ok, F.col("width")).otherwise(F.lit(0)).alias("width"),
+        F.when(ok, F.col("height")).otherwise(F.lit(0)).alias("height"),
+        F.when(ok, F.col("width").cast("bigint") * F.col("height")).otherwise(F.lit(0).cast("bigint")).alias("pixel_count"),
+        F.when(ok, bit_depth_from_mode("mode")).otherwise(F.lit(0)).alias("bit_depth"),
+        named.alias("format"), "file_hash", F.when(ok, F.col("fp")).alias("fp"), "error")
     out = global_index(out, ["path"], "id").withColumn("perceptual_hash", words_to_hex("fp", 4))
     q = F.when(F.col("error").isNull(), quality_score("pixel_count", "file_size", "bit_depth", "path")) \
         .otherwise(F.lit(0.0))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from neardup.functions.fingerprint import simhash_words, vector_fingerprint
+from neardup.functions.fingerprint import dct_hash, gray_levels, simhash_words, vector_fingerprint
 from neardup.functions.scalars import quality_score, words_to_hex
 from neardup.sources.tables import read_table, spread
 
@@ -91,6 +91,12 @@ def fp_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("vec_hash", words_to_hex("fp", 1))
 
 
+def dct_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, fp ARRAY<BIGINT>(1)): DCT hash of the 64-dim embeddings taken as gray pictures of 8 x 8."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", gray_levels("embedding", 8).alias("pixels"))
+    return e.select("vec_id", dct_hash("pixels", 8, 8).alias("fp"))
+
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES of the store fixture (B4): an older store and today's listing
 # ---------------------------------------------------------------------------
