@@ -314,6 +314,35 @@ def _masked_keys(word_cols: list[str], positions, n_words: int) -> Column:
                      for m in masks])
 
 
+#: Rows of a bucket that one task compares with each other; fuller buckets are cut into tiles.
+TILE_ROWS = 2_000
+
+
+def bucket_tiles(index: DataFrame, bucket_cols: list[str], rows: int = TILE_ROWS) -> DataFrame | None:
+    """(bucket_cols, blocks) of the buckets with more than ``rows`` rows; None if there are none."""
+    full = index.groupBy(*bucket_cols).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
+    full = cut_lineage(full.select(*bucket_cols, F.expr(f"CAST((n + {rows - 1}) div {rows} AS INT)").alias("blocks")))
+    return None if full.isEmpty() else full
+
+
+def tiled(side: DataFrame, id_col: str, bucket_cols: list[str], tiles: DataFrame | None, as_left: bool) -> DataFrame:
+    """``side`` with (low, high): the pairs of blocks of its bucket in which each row is compared.
+
+    A bucket cut into k blocks (by a hash of the id) has k * (k + 1) / 2 pairs of blocks; a row of block b stands
+    on the left of the pairs (b, j >= b) and on the right of (i <= b, b). As part of the
+    join key they spread a bucket over that many tasks; every pair of rows meets in one of them.
+    """
+    if tiles is None:
+        return side.withColumns({"low": F.lit(0), "high": F.lit(0)})
+    cut = side.join(tiles, bucket_cols, "left")
+    cut = cut.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
+    others = F.sequence("block", F.col("blocks") - 1) if as_left else F.sequence(F.lit(0), F.col("block"))
+    cut = cut.withColumn("other", F.explode(others))
+    low, high = ("block", "other") if as_left else ("other", "block")
+    return cut.withColumns({"low": F.col(low), "high": F.col(high)}).drop("blocks", "block", "other")
+
+
 def _lsh_side(df: DataFrame, id_name: str, names: list[str], positions, n_words: int,
               rep_col: str, fp_col: str, comp: DataFrame | None = None) -> DataFrame:
     base = with_words(df.select(F.col(rep_col).alias("id"), fp_col), fp_col, n_words)
@@ -353,23 +382,31 @@ def _key_match(left: DataFrame, right: DataFrame, n_words: int) -> Column:
 
 
 def lsh_pairs(reps: DataFrame, n_words: int, positions, threshold: int | None,
-              rep_col: str = "rep", fp_col: str = "fp", comp: DataFrame | None = None) -> DataFrame:
+              rep_col: str = "rep", fp_col: str = "fp", comp: DataFrame | None = None,
+              tile_rows: int = TILE_ROWS) -> DataFrame:
     """Pairs (src < dst) colliding in at least one table, each once.
 
     With ``threshold`` the pairs are verified (distance <= threshold) inside the
     join; without it every distinct candidate pair is returned (``distance`` too).
+    A bucket of more than ``tile_rows`` rows is compared in tiles, each a key of the join.
     """
     aw, bw = word_names("a", n_words), word_names("b", n_words)
+    bucket = ["table_idx", *[f"k{k}" for k in range(n_words)]]
     left = _lsh_side(reps, "src", aw, positions, n_words, rep_col, fp_col, comp)
     right = _lsh_side(reps, "dst", bw, positions, n_words, rep_col, fp_col, comp)
+    tiles = bucket_tiles(left.select(*bucket), bucket, tile_rows)
+    left, right = tiled(left, "src", bucket, tiles, True), tiled(right, "dst", bucket, tiles, False)
     d = distance(aw, bw)
-    cond = (_key_match(left, right, n_words) & (F.col("src") < F.col("dst"))
+    # in a tile of one block with itself each pair meets twice, in a tile of two blocks once
+    once = (left["low"] < left["high"]) | (F.col("src") < F.col("dst"))
+    cond = (_key_match(left, right, n_words) & (left["low"] == right["low"]) & (left["high"] == right["high"]) & once
             & (_first_collision(aw, bw, positions, n_words) == left["table_idx"]))
     if threshold is not None:
         cond = cond & (d <= threshold)
     if comp is not None:
         cond = cond & (F.col("src_comp") != F.col("dst_comp"))
-    return left.join(right, cond).select("src", "dst", d.alias("distance"))
+    met = left.join(right, cond)
+    return met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), d.alias("distance"))
 
 
 # ---------------------------------------------------------------------------

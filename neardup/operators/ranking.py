@@ -40,6 +40,22 @@ def global_index(df: DataFrame, order: list, idx_col: str = "idx", start: int =
             .drop("_mid", "_pid", "_loc", "_off"))
 
 
+def running_total(df: DataFrame, order: list, value: str, total_col: str) -> DataFrame:
+    """Add ``total_col``: the sum of ``value`` over the rows before this one in ``order`` (which must break all ties).
+
+    As in ``global_index`` rows are summed by range partitions and shifted by the partitions' totals.
+    """
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = df.repartitionByRange(_partitions(df), *order_cols).withColumn("_pid", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    local = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_pid").agg(F.sum(value).alias("_all"))
+    shifts = sums.select("_pid", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
+    out = ranged.withColumn(total_col, F.coalesce(F.sum(value).over(local), F.lit(0))).join(F.broadcast(shifts), "_pid")
+    return out.withColumn(total_col, F.col(total_col) + F.col("_before")).drop("_pid", "_before")
+
+
 # A window partition is sorted by one task; groups up to this size are cheap there.
 WINDOW_MAX_GROUP_ROWS = 1_000_000
 

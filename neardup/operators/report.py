@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from neardup.functions.scalars import (directory, filename, format_size, megapixels, one_decimal,
                                        resolution)
+from neardup.operators.ranking import global_index, running_total
+from neardup.session import cut_lineage
 
 
 def manifest_projection(manifest: DataFrame) -> DataFrame:
@@ -70,6 +72,65 @@ def report_lines(groups: DataFrame) -> DataFrame:
     return head.unionByName(members)
 
 
+RULE = 70
+SECTIONS = (("exact", "EXACT DUPLICATES (identical files)"), ("perceptual", "PERCEPTUAL DUPLICATES (visually similar)"))
+
+
+def report_document(groups: DataFrame) -> DataFrame:
+    """The whole text report (line_no from 1, line): title, counts, a section for each kind of match, total.
+
+    Group numbers start anew in each section. A group's first line follows from the lines of the
+    groups before it, a running total over range partitions, and a member's line from its
+    rank; so no task sees all lines, and ``line_no`` alone orders them.
+    """
+    groups = cut_lineage(groups)
+    dupe = F.when(~F.col("is_best"), F.col("file_size")).otherwise(F.lit(0))
+    sums = {r.match_type: r for r in groups.groupBy("match_type").agg(
+        F.countDistinct("group_id").alias("groups"), F.count(F.lit(1)).alias("files"), F.sum(dupe).alias("waste")).collect()}
+    counts = [(sums[m].groups, sums[m].files - sums[m].groups) if m in sums else (0, 0) for m, _ in SECTIONS]
+    rule, thin = "=" * RULE, "-" * RULE
+    lines = ["", rule, "DUPLICATE IMAGE REPORT", rule, ""]
+    lines += [f"{kind} duplicates found: {files} files in {n} groups" for kind, (n, files) in zip(("Exact", "Perceptual"), counts)]
+    fixed, starts, at = list(enumerate(lines, 1)), {}, len(lines)
+    for (match, title), (n, files) in zip(SECTIONS, counts):
+        starts[match] = at
+        if n:
+            fixed += [(at + k, text) for k, text in enumerate(["", thin, title, thin], 1)]
+            starts[match] = at + 4
+            at += 4 + 2 * n + 2 * (files + n)
+    end = [*enumerate(["", rule], at + 1), *enumerate([rule], at + 4)]
+    spark = groups.sparkSession
+    frame = spark.createDataFrame([(i, t) for i, t in fixed + end], "line_no bigint, line string")
+    waste = sum(r.waste or 0 for r in sums.values())
+    total = spark.createDataFrame([(at + 3, waste)], "line_no bigint, waste bigint").select(
+        "line_no", F.concat(F.lit("Total space recoverable: "), format_size("waste")).alias("line"))
+
+    heads = groups.groupBy("match_type", "group_id").agg((F.count(F.lit(1)) * 2 + 2).alias("lines"))
+    placed = None
+    for match, _ in SECTIONS:
+        part = running_total(heads.where(F.col("match_type") == match), ["group_id"], "lines", "before")
+        part = global_index(part.withColumn("start", (F.col("before") + starts[match]).cast("bigint")), ["group_id"], "number")
+        placed = part if placed is None else placed.unionByName(part)
+    placed = cut_lineage(placed)
+    head = placed.select(F.explode(F.array(
+        F.struct((F.col("start") + 1).alias("line_no"), F.lit("").alias("line")),
+        F.struct((F.col("start") + 2).alias("line_no"),
+                 F.format_string("Group %d (%d files):", "number", F.expr("(lines - 2) div 2")).alias("line")))).alias("l")).select("l.*")
+    mark = F.when(F.col("is_best"), F.lit("  [KEEP] ")).otherwise(F.lit("  [DUPE] "))
+    detail = F.concat(F.lit("         "), resolution("width", "height"), F.lit(" | "), format_size("file_size"),
+                      F.lit(" | Score: "), one_decimal("quality_score"))
+    first = F.col("start") + 1 + 2 * F.col("member_rank")
+    members = groups.join(placed.select("group_id", "start"), "group_id").select(F.explode(F.array(
+        F.struct(first.alias("line_no"), F.concat(mark, "path").alias("line")),
+        F.struct((first + 1).alias("line_no"), detail.alias("line")))).alias("l")).select("l.*")
+    return frame.unionByName(total).unionByName(head).unionByName(members)
+
+
+def write_document(groups: DataFrame, path: str) -> None:
+    """The text report as files whose names and lines are in order."""
+    report_document(groups).orderBy("line_no").select("line").write.mode("overwrite").text(path)
+
+
 def export_rows(groups: DataFrame) -> DataFrame:
     """CSV records: group_id, match_type, status (keep/duplicate by quality), path, width,
     height, file_size, quality (one decimal)."""

@@ -6,6 +6,7 @@ inventory; several operators share a query when one plan exercises them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,6 +16,7 @@ from neardup.functions.fingerprint import simhash_words
 from neardup.functions.scalars import (extension, format_number, format_rank, format_size,
                                        hex_to_words, words_to_hex)
 from neardup.operators import actions as ACT, report as REP, selection as SEL, store as ST
+from neardup.operators.bucket_store import BucketStore
 from neardup.operators.exact import exact_hash_groups
 from neardup.operators.hamming import (band_pairs, collapse, lsh_buckets, lsh_pairs, lsh_positions,
                                        pigeonhole_plan)
@@ -22,7 +24,7 @@ from neardup.operators.pigeonhole import general_plan
 from neardup.plans import sql as S
 from neardup.plans.dataflow import GROUP_COLUMNS, find_duplicates, perceptual_candidates, perceptual_components
 from neardup.sources import fixtures as FX
-from neardup.session import cut_lineage
+from neardup.session import cut_lineage, ensure_checkpoint_dir
 from neardup.sources.tables import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,6 +309,34 @@ def report_rows(spark, d):
     return REP.report_lines(_groups_all(spark, d))
 
 
+_RULE, _THIN = "=" * REP.RULE, "-" * REP.RULE
+_FOUND = "SELECT 0, 0, {k}, '{kind} duplicates found: ' || count(*) FILTER (WHERE member_rank > 1) || ' files in ' || " \
+         "count(DISTINCT group_id) || ' groups' FROM groups_all WHERE match_type = '{match}'"
+
+
+@register("report_document", S.with_ctes("groups_all") + f""", n AS (
+SELECT *, dense_rank() OVER (PARTITION BY match_type ORDER BY group_id) AS i, count(*) OVER (PARTITION BY group_id) AS files,
+       CASE WHEN match_type = 'exact' THEN 1 ELSE 2 END AS section FROM groups_all),
+l(section, grp, seq, line) AS (
+SELECT 0, 0, unnest([1, 2, 3, 4, 5]), unnest(['', '{_RULE}', 'DUPLICATE IMAGE REPORT', '{_RULE}', ''])
+UNION ALL {_FOUND.format(k=6, kind="Exact", match="exact")}
+UNION ALL {_FOUND.format(k=7, kind="Perceptual", match="perceptual")}
+UNION ALL SELECT section, 0, unnest([1, 2, 3, 4]), unnest(['', '{_THIN}', CASE WHEN section = 1 THEN '{REP.SECTIONS[0][1]}' ELSE '{REP.SECTIONS[1][1]}' END, '{_THIN}'])
+          FROM (SELECT DISTINCT section FROM n)
+UNION ALL SELECT section, i, -1, '' FROM n WHERE member_rank = 1
+UNION ALL SELECT section, i, 0, printf('Group %d (%d files):', i, files) FROM n WHERE member_rank = 1
+UNION ALL SELECT section, i, 2 * member_rank - 1, CASE WHEN member_rank = 1 THEN '  [KEEP] ' ELSE '  [DUPE] ' END || path FROM n
+UNION ALL SELECT section, i, 2 * member_rank, '         ' || CAST(width AS VARCHAR) || 'x' || CAST(height AS VARCHAR) || ' | '
+       || {S.size_sql('file_size')} || ' | Score: ' || {S.one_decimal('quality_score')} FROM n
+UNION ALL SELECT 3, 0, unnest([1, 2, 4]), unnest(['', '{_RULE}', '{_RULE}'])
+UNION ALL SELECT 3, 0, 3, 'Total space recoverable: ' || {S.size_sql('waste')}
+          FROM (SELECT CAST(coalesce(sum(file_size) FILTER (WHERE member_rank > 1), 0) AS BIGINT) AS waste FROM groups_all) w)
+SELECT row_number() OVER (ORDER BY section, grp, seq) AS line_no, line FROM l""")
+def report_document(spark, d):
+    """The text report as the original prints it, each line with its number."""
+    return REP.report_document(_groups_all(spark, d))
+
+
 @register("export_rows", S.with_ctes("groups_all") + f"""
 SELECT group_id, match_type, CASE WHEN member_rank = 1 THEN 'keep' ELSE 'duplicate' END AS status, path,
        width, height, file_size, {S.one_decimal('quality_score')} AS quality_score FROM groups_all""")
@@ -705,6 +735,38 @@ def store_upsert(spark, d):
                        F.unix_seconds("last_accessed").alias("last_accessed_s"))
 
 
+def _bucket_store(spark, d):
+    """The old store as a bucketed table of its own, in the session's shared folder."""
+    old = FX.store_old(spark, d)
+    store = BucketStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}", old.schema)
+    store.append(old, 0)
+    return store
+
+
+@register("store_table_split", SQL["incremental_split"])
+def store_table_split(spark, d):
+    """Hits and misses against the bucketed store: only the listing is shuffled."""
+    hits, misses = ST.split_hits(FX.listing_now(spark, d), _bucket_store(spark, d).read())
+    return hits.select("path", F.lit("hit").alias("status")).unionByName(misses.select("path", F.lit("miss").alias("status")))
+
+
+@register("store_table_changes", S.with_ctes("store", "listing", "m") + f"""
+SELECT path, mtime_s, file_size, quality_score FROM store WHERE path IN (SELECT path FROM listing)
+UNION ALL
+SELECT l.path, l.mtime_s, l.file_size, m.quality_score FROM {_JOIN} JOIN m ON m.id = l.id WHERE NOT {_HIT}""")
+def store_table_changes(spark, d):
+    """The bucketed store after a scan: misses appended (twice, as a replayed batch), files that are gone removed."""
+    store, listing = _bucket_store(spark, d), FX.listing_now(spark, d)
+    new = _analyzed_misses(spark, d, store.read(), listing)
+    now = F.timestamp_seconds(F.lit(FX.STORE_NOW))
+    new = cut_lineage(new.withColumns({"analysis_version": F.lit(ST.ANALYSIS_VERSION), "created_at": now, "last_accessed": now}))
+    gone = cut_lineage(store.read().join(listing.select("path"), "path", "left_anti"))
+    store.append(new, 1)
+    store.append(new, 1)
+    store.remove(gone, 2)
+    return store.read().select("path", F.unix_seconds("mtime").alias("mtime_s"), "file_size", "quality_score")
+
+
 @register("store_invalidate", S.with_ctes("store_failing") + """
 SELECT path, mtime_s FROM store_failing WHERE path NOT IN (SELECT path FROM store_failing WHERE error IS NOT NULL)""")
 def store_invalidate(spark, d):

@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from neardup.functions.headers import parse_header
+from neardup.operators.ranking import running_total
 from neardup.session import cut_lineage, ship_by_value
 from neardup.sources.discovery import filesystem
 
@@ -33,15 +34,10 @@ FACTS = ("path string, mtime timestamp, file_size long, file_hash string, format
 def by_shares(listing: DataFrame, share: int = SHARE, files: int = SHARE_FILES) -> DataFrame:
     """``listing`` (path, mtime, file_size) partitioned so that tasks get about ``share`` bytes and ``files`` files each."""
     weight = F.greatest(F.coalesce("file_size", F.lit(0)).cast("double") / share, F.lit(1.0 / files))
-    rows = listing.repartitionByRange(F.col("path")).withColumn("_part", F.spark_partition_id()).withColumn("_weight", weight)
-    rows = cut_lineage(rows.withColumn("_sum", F.sum("_weight").over(Window.partitionBy("_part").orderBy("path"))))
-    parts = rows.groupBy("_part").agg(F.sum("_weight").alias("_all"))
-    # one row for each partition
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_part", F.coalesce(F.sum("_all").over(before), F.lit(0.0)).alias("_before"))
-    shared = rows.join(F.broadcast(parts), "_part").withColumn("_share", F.floor(F.col("_before") + F.col("_sum")))
+    rows = running_total(listing.select("path", "mtime", "file_size").withColumn("_weight", weight), ["path"], "_weight", "_sum")
+    rows = cut_lineage(rows.withColumn("_share", F.floor(F.col("_sum") + F.col("_weight"))))
     shares = int(rows.agg(F.sum("_weight")).first()[0] or 0) + 1
-    return shared.select("path", "mtime", "file_size", "_share").repartitionByRange(shares, "_share", "path").drop("_share")
+    return rows.select("path", "mtime", "file_size", "_share").repartitionByRange(shares, "_share", "path").drop("_share")
 
 
 def file_facts(listing: DataFrame, algorithm: str | None = "sha256", share: int = SHARE) -> DataFrame:
