@@ -10,8 +10,8 @@ all nodes, so its pairs are not listed. Instead:
 3. only in buckets that still hold several groups, the nodes outside the largest
    one are tested against the nodes of the other groups.
 
-Step 3 leaves out pairs that can't be links for a bound that the caller may give, for
-example how many elements of each set no other set has.
+For sets the caller has a better third step: ``prefix_pairs`` finds the like sets among the nodes
+of those buckets by their rarest elements instead of by the buckets.
 
 Pairs left out are in one group already or can't be links, so the groups are those of all pairs
 of all buckets. In a bucket of near copies step 1 does nearly everything and
@@ -46,16 +46,16 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
 
 def link_groups(shared: DataFrame, sizes: DataFrame, verify: Verify,
-                compatible: Callable[[Column, Column], Column], lone: Callable[[DataFrame], DataFrame] | None = None,
-                possible: Callable[[Column, Column, Column, Column], Column] | None = None) -> DataFrame:
+                compatible: Callable[[Column, Column], Column],
+                search: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of all nodes that have a link; component is the smallest node of the group.
 
     shared      rows of ``shared_buckets``
     sizes       (node, size) of all nodes; a size is whatever ``compatible`` compares
     verify      keeps the true links of a DataFrame (a, b) of distinct pairs, a < b
     compatible  cheap condition on the sizes of two nodes, without which they aren't linked
-    lone        for a DataFrame (node) the (node, lone): what no other of these nodes has
-    possible    condition on size, lone, size, lone of two nodes, without which they aren't linked
+    search      for a DataFrame (node, component) a DataFrame (a, b), a < b, of distinct pairs that holds all links
+                between different components; without it the buckets are searched
     """
     stars = shared.where(F.col("node") != F.col("leader")).select(
         F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
@@ -67,28 +67,57 @@ def link_groups(shared: DataFrame, sizes: DataFrame, verify: Verify,
 
     labelled = shared.select("key", "node", "size").join(groups.withColumnRenamed("id", "node"), "node", "left")
     labelled = cut_lineage(labelled.withColumn("component", F.coalesce("component", "node")))
-    counted = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("groups"))
-    largest = cut_lineage(largest.where(F.col("groups") > 1).select("key", F.col("top.component").alias("top")))
+    largest = several(labelled, "key")
     if largest.isEmpty():
         return groups
 
-    rows = cut_lineage(labelled.join(largest, "key"))
-    if lone is not None:
-        alone = lone(rows.select("node").distinct())
-        rows = cut_lineage(rows.join(alone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0))))
+    rows = labelled.join(largest, "key")
+    if search is not None:
+        pairs = search(rows.select("node", "component").distinct())
     else:
-        rows = rows.withColumn("lone", F.lit(0))
-    few = rows.where(F.col("component") != F.col("top")).select(
-        "key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("component").alias("cx"), F.col("lone").alias("lone_x"))
-    wanted = compatible(F.col("size_x"), F.col("size"))
-    if possible is not None:
-        wanted = wanted & possible(F.col("size_x"), F.col("lone_x"), F.col("size"), F.col("lone"))
-    pairs = few.join(rows, "key").where(
-        (F.col("cx") != F.col("component")) & wanted
-        & ((F.col("component") == F.col("top")) | (F.col("x") < F.col("node"))))
-    pairs = cut_lineage(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct())
-    more = cut_lineage(verify(pairs.join(stars, ["a", "b"], "left_anti")))
+        rows = cut_lineage(rows)
+        few = rows.where(F.col("component") != F.col("top")).select(
+            "key", F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("component").alias("cx"))
+        pairs = few.join(rows, "key").where(
+            (F.col("cx") != F.col("component")) & compatible(F.col("size_x"), F.col("size"))
+            & ((F.col("component") == F.col("top")) | (F.col("x") < F.col("node"))))
+        pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    more = cut_lineage(verify(cut_lineage(pairs).join(stars, ["a", "b"], "left_anti")))
     if more.isEmpty():
         return groups
     return connected_components(groups.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more), "a", "b")
+
+
+def several(rows: DataFrame, key: str) -> DataFrame:
+    """(key, top) of the keys whose rows are of several components; top is the largest one."""
+    counted = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy(key).agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("groups"))
+    return cut_lineage(largest.where(F.col("groups") > 1).select(key, F.col("top.component").alias("top")))
+
+
+def prefix_pairs(elements: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of ``nodes`` (node, component) of different components that may reach the similarity.
+
+    elements  (node, elements): the sets, arrays of longs
+
+    All sets are put in one order of elements, those that few of these sets hold first. Of two sets with
+    100 * common >= percent * all, each holds at least percent of its own size in common; so the first
+    size - ceil(percent * size / 100) + 1 elements of one and of the other share an element (prefix filter, Chaudhuri et al. 2006).
+    What follows the first shared element bounds what the two have in common (Xiao et al. 2008). Where
+    an element's sets are mostly of one component, the others are compared with them and not they with each other.
+    """
+    each = elements.join(nodes, "node").select("node", "component", F.size("elements").alias("size"), F.explode("elements").alias("x"))
+    held = cut_lineage(each.groupBy("x").agg(F.count(F.lit(1)).alias("held")))
+    ordered = each.join(held, "x").groupBy("node").agg(
+        F.first("component").alias("component"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("held", "x"))).alias("order"))
+    count = F.expr(f"CAST(size - ({percent}L * size + 99) div 100 + 1 AS INT)")
+    prefix = ordered.select("node", "component", "size", F.posexplode(F.slice("order", 1, count)).alias("at", "e"))
+    prefix = cut_lineage(prefix.where(F.col("e.held") > 1).select("node", "component", "size", "at", F.col("e.x").alias("x")))
+    rows = cut_lineage(prefix.join(several(prefix, "x"), "x"))
+    few = rows.where(F.col("component") != F.col("top")).select(
+        "x", F.col("node").alias("one"), F.col("component").alias("c1"), F.col("size").alias("size1"), F.col("at").alias("at1"))
+    most = F.least(F.col("size1") - F.col("at1"), F.col("size") - F.col("at"))
+    pairs = few.join(rows, "x").where(
+        (F.col("c1") != F.col("component")) & ((F.col("component") == F.col("top")) | (F.col("one") < F.col("node")))
+        & (100 * most >= percent * (F.col("size1") + F.col("size") - most)))
+    return pairs.select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct()

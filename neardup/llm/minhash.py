@@ -13,7 +13,8 @@ A-Z, words parted by ``SPACES``); a shorter text is one shingle.
   registers are dealt into bands of ``width`` registers, three or four times in different
   orders, which gives about 100 bands. Wide bands matter where many documents share a
   long passage: pairs of half the similarity asked for hardly ever share one.
-* ``linking`` turns buckets into groups; each link is confirmed on the full sets.
+* ``linking`` turns buckets into groups; each link is confirmed on the full sets. What the buckets' leaders
+  leave open is searched by the sets' rarest elements, which finds every pair asked for.
 
 A pair shares a bucket with probability 1 - 2e-5 at similarity 0.85 (bands of 12; 0.5: 0.02)
 and at 0.8 (bands of 9; 0.5: 0.2), and nearer to 1 for any pair more alike.
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from neardup.llm.bytewords import Hasher, mix, word_hashes
 from neardup.llm.common import ROW_ID, by_bytes, scannable, with_row_id
-from neardup.llm.linking import link_groups, shared_buckets
+from neardup.llm.linking import link_groups, prefix_pairs, shared_buckets
 from neardup.session import cut_lineage, ship_by_value
 
 ship_by_value(__name__)
@@ -214,19 +215,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         both = pairs.join(left, "a").join(right, "b")
         return both.where(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
-    def lone(some: DataFrame) -> DataFrame:
-        each = elements.join(some, "node").select("node", F.explode("elements").alias("x"))
-        held = each.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-        return held.where(F.col("n") == 1).groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
-
-    def possible(x: Column, lone_x: Column, y: Column, lone_y: Column) -> Column:
-        most = F.least(x - lone_x, y - lone_y)      # what the two sets can have in common
-        return 100 * most >= percent * (x + y - most)
+    def search(some: DataFrame) -> DataFrame:
+        return prefix_pairs(elements, some, percent)
 
     def compatible(x: Column, y: Column) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    groups = link_groups(shared, nodes.select("node", "size"), verify, compatible, lone, possible)
+    groups = link_groups(shared, nodes.select("node", "size"), verify, compatible, search)
     grouped = nodes.select("node", "set_key", "first_doc").join(groups.withColumnRenamed("id", "node"), "node", "left")
     grouped = cut_lineage(grouped.withColumn("component", F.coalesce("component", "node")).drop("node"))
     firsts = cut_lineage(grouped.groupBy("component").agg(F.min("first_doc").alias("component_id")))

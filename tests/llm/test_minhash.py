@@ -119,3 +119,29 @@ def test_one_row_of_each_group_stays(spark):
     assert got.columns == ["doc_id", "text", "keys"]
     assert sorted((r.doc_id for r in got.collect())) == [3, 8, 8, 9]
     assert minhash.keep_first(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_prefix_pairs_hold_all_like_sets(spark):
+    """Every pair at the similarity and across components is among the pairs, for a hub element and ties too."""
+    from neardup.llm.linking import prefix_pairs
+    rng = random.Random(12)
+    for percent in (60, 80, 85, 100):
+        found = []
+        for _ in range(25):
+            base = set(rng.sample(range(500), rng.choice([1, 2, 7, 20, 40]))) | ({1000} if rng.random() < 0.5 else set())
+            found.append(base)
+            for _ in range(3):
+                copy = set(base)
+                for x in rng.sample(sorted(base), min(len(base) - 1, rng.randint(0, 3))):
+                    copy.discard(x)
+                copy |= set(rng.sample(range(500), rng.randint(0, 2)))
+                found.append(copy)
+        components = [rng.randrange(30) for _ in found]
+        elements = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(found)], "node long, elements array<long>")
+        nodes = spark.createDataFrame(list(enumerate(components)), "node long, component long")
+        got = [(r.a, r.b) for r in prefix_pairs(elements, nodes, percent).collect()]
+        want = {(i, j) for i in range(len(found)) for j in range(i + 1, len(found)) if components[i] != components[j]
+                and 100 * len(found[i] & found[j]) >= percent * len(found[i] | found[j])}
+        assert len(got) == len(set(got)) and want <= set(got) and want
+        assert all(components[a] != components[b] for a, b in got)
+        assert len(got) < 0.3 * len(found) ** 2 / 2
