@@ -38,6 +38,8 @@ ship_by_value(__name__)
 
 UNKNOWN_PENALTY = 10.0
 BATCH_BYTES = 1 << 20
+#: Name of the worked-on column inside the functions; no input column may have it.
+INPUT = "_neardup_input"
 #: Window boundaries are compared for a common ancestor each time so many longest pieces are uncommitted.
 PATIENCE = 4
 
@@ -67,7 +69,7 @@ class Codec:
                 self.vocabulary.setdefault(p[:k])
         self.unknown = min(scores) - UNKNOWN_PENALTY
         self.known = Known()
-        self.tables = None
+        self.tables = self.texts = None
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of the normalised ``text``, in the portions in which they are committed."""
@@ -140,7 +142,7 @@ class Codec:
         return [i for part in self.stream(text) for i in part]
 
     def _tables(self):
-        """The vocabulary's prefixes as sorted hashes, with the id (-1: only a prefix) and score of each."""
+        """The hashes of the vocabulary's prefixes, the id (-1: only a prefix) and score of each, and a hash table of their places."""
         import numpy as np
         prefixes = list(self.vocabulary)
         hashed = np.zeros(len(prefixes), dtype=np.uint64)
@@ -148,11 +150,37 @@ class Codec:
             here = [i for i, p in enumerate(prefixes) if len(p) > k]
             chars = np.array([ord(prefixes[i][k]) for i in here], dtype=np.uint64)
             hashed[here] = mix(hashed[here] + chars + np.uint64(1))
-        order = np.argsort(hashed)
         if len(np.unique(hashed)) < len(hashed):
             raise ValueError("two prefixes of the vocabulary have one hash")
-        found = [self.vocabulary[prefixes[i]] or (-1, 0.0) for i in order]
-        return hashed[order], np.array([f[0] for f in found]), np.array([f[1] for f in found])
+        found = [self.vocabulary[p] or (-1, 0.0) for p in prefixes]
+        slots = np.full(1 << (8 * len(hashed)).bit_length(), -1, dtype=np.int32)
+        mask, waiting, probes = np.uint64(len(slots) - 1), np.arange(len(hashed)), 0
+        while len(waiting):         # each goes to the first free slot from that of its hash on
+            at = ((hashed[waiting] + np.uint64(probes)) & mask).astype(np.int64)
+            free = np.flatnonzero(slots[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            slots[at[free[first]]] = waiting[free[first]]
+            waiting = np.delete(waiting, free[first])
+            probes += 1
+        return hashed, np.array([f[0] for f in found]), np.array([f[1] for f in found]), slots, probes
+
+    def _find(self, prefix):
+        """(place in the tables, whether it is there) of each hashed prefix."""
+        import numpy as np
+        hashes, _, _, slots, probes = self.tables
+        mask = np.uint64(len(slots) - 1)
+        at = slots[(prefix & mask).astype(np.int64)]
+        known = hashes[at] == prefix
+        known &= at >= 0
+        other = np.flatnonzero((at >= 0) & ~known)
+        for k in range(1, probes):
+            if not len(other):
+                break
+            here = slots[((prefix[other] + np.uint64(k)) & mask).astype(np.int64)]
+            hit = (here >= 0) & (hashes[here] == prefix[other])
+            at[other[hit]], known[other[hit]] = here[hit], True
+            other = other[(here >= 0) & ~hit]
+        return at, known
 
     def windows(self, texts: list[str]) -> list[bytes | None]:
         """The same search for many texts that fit into one window each, all in step.
@@ -165,7 +193,7 @@ class Codec:
             return []
         if self.tables is None:
             self.tables = self._tables()
-        hashes, ids, scores = self.tables
+        _, ids, scores, _, _ = self.tables
         n, lens = len(texts), np.array([len(t) for t in texts])
         width = int(lens.max())
         chars = np.zeros((n, width), dtype=np.uint64)
@@ -182,8 +210,7 @@ class Codec:
             prefix = np.zeros(len(rows), dtype=np.uint64)
             for j in range(i, width):
                 prefix = mix(prefix + chars[rows, j] + np.uint64(1))
-                at = np.minimum(np.searchsorted(hashes, prefix), len(hashes) - 1)
-                known = hashes[at] == prefix
+                at, known = self._find(prefix)
                 piece = np.where(known, ids[at], -1)
                 if j == i:
                     whole[rows[piece < 0]] = False
@@ -225,10 +252,12 @@ class Codec:
         known.forget()
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ``ids``; broken UTF-8 becomes replacement characters."""
-        text = self.text
-        return b"".join([text[i] for i in ids]).decode("utf-8", "replace")[1:]
+    def decode(self, ids) -> str:
+        """The text of ``ids`` (a list or an array); broken UTF-8 becomes replacement characters."""
+        import numpy as np
+        if self.texts is None:
+            self.texts = np.array(self.text, dtype=object)
+        return b"".join(self.texts[np.asarray(ids, dtype=np.int64)].tolist()).decode("utf-8", "replace")[1:]
 
 
 def _columns(docs: DataFrame, new: list[str]) -> list[str]:
@@ -241,16 +270,16 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", batch_bytes: in
         import numpy as np
         import pyarrow as pa
         codec = kept_in_worker(("codec", vocabulary), lambda: Codec(vocabulary))
-        for batch, first, end in by_bytes(batches, "_text", batch_bytes):
+        for batch, first, end in by_bytes(batches, INPUT, batch_bytes):
             part = batch.slice(first, end - first)
-            ids = codec.encode([x or "" for x in part.column("_text").to_pylist()])
+            ids = codec.encode([x or "" for x in part.column(INPUT).to_pylist()])
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names[1:]), lists],
                                              names=[*part.schema.names[1:], "ids"])
 
-    rows = docs.select(F.col(text).alias("_text"), *_columns(docs, ["ids", "n_ids", "_text"]))
-    schema = rows.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType()))
+    rows = docs.select(F.col(text).alias(INPUT), *_columns(docs, ["ids", "n_ids", INPUT]))
+    schema = rows.drop(INPUT).schema.add("ids", T.ArrayType(T.IntegerType()))
     return rows.mapInArrow(coded, schema).withColumn("n_ids", F.size("ids").cast("bigint"))
 
 
@@ -260,12 +289,12 @@ def decode(coded: DataFrame, vocabulary: str, ids: str = "ids", to: str = "decod
         import pyarrow as pa
         codec = kept_in_worker(("codec", vocabulary), lambda: Codec(vocabulary))
         for batch in batches:
-            out = [None if x is None else codec.decode(x) for x in batch.column("_ids").to_pylist()]
+            out = [None if x is None else codec.decode(x) for x in batch.column(INPUT).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names[1:]), pa.array(out, pa.string())],
                                              names=[*batch.schema.names[1:], to])
 
-    rows = coded.select(F.col(ids).alias("_ids"), *_columns(coded, [to, "_ids"]))
-    return rows.mapInArrow(texts, rows.drop("_ids").schema.add(to, "string"))
+    rows = coded.select(F.col(ids).alias(INPUT), *_columns(coded, [to, INPUT]))
+    return rows.mapInArrow(texts, rows.drop(INPUT).schema.add(to, "string"))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -277,16 +306,16 @@ def round_trip(docs: DataFrame, vocabulary: str, text: str = "text", batch_bytes
         import numpy as np
         import pyarrow as pa
         codec = kept_in_worker(("codec", vocabulary), lambda: Codec(vocabulary))
-        for batch, first, end in by_bytes(batches, "_text", batch_bytes):
+        for batch, first, end in by_bytes(batches, INPUT, batch_bytes):
             part = batch.slice(first, end - first)
-            texts = [x or "" for x in part.column("_text").to_pylist()]
+            texts = [x or "" for x in part.column(INPUT).to_pylist()]
             ids = codec.encode(texts)
-            same = [codec.decode(np.frombuffer(i, "<i4").tolist()) == t for t, i in zip(texts, ids)]
+            same = [codec.decode(np.frombuffer(i, "<i4")) == t for t, i in zip(texts, ids)]
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names[1:]), lists, pa.array(same)],
                                              names=[*part.schema.names[1:], "ids", "same"])
 
-    rows = docs.select(F.col(text).alias("_text"), *_columns(docs, ["ids", "n_ids", "same", "_text", text]))
-    schema = rows.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("same", "boolean")
+    rows = docs.select(F.col(text).alias(INPUT), *_columns(docs, ["ids", "n_ids", "same", INPUT, text]))
+    schema = rows.drop(INPUT).schema.add("ids", T.ArrayType(T.IntegerType())).add("same", "boolean")
     return rows.mapInArrow(coded, schema).withColumn("n_ids", F.size("ids").cast("bigint"))
