@@ -16,7 +16,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACES_RE = "[\\x20\\x09-\\x0D]+"
 
 #: Columns that name one input row for good: the hash of its file and its place there.
-ROW_ID = ["_file", "_row"]
+ROW_ID = ["_neardup_file", "_neardup_row"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,7 @@ def with_row_id(df: DataFrame) -> DataFrame:
     split anew, for example after executors are lost.
     """
     meta = df.metadataColumn("_metadata")
-    return df.select("*", F.xxhash64(meta["file_path"]).alias("_file"), meta["row_index"].alias("_row"))
+    return df.select("*", F.xxhash64(meta["file_path"]).alias(ROW_ID[0]), meta["row_index"].alias(ROW_ID[1]))
 
 
 def by_bytes(batches: Iterator, column: str, limit: int) -> Iterator[tuple]:

@@ -25,7 +25,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from neardup.llm.bytewords import mix
 from neardup.llm.common import by_bytes
@@ -42,7 +42,8 @@ PER_LANGUAGE, FRAGMENTS, FRAGMENT_WORDS = 400, 3, 12
 ACCURACY = 0.99
 BATCH_BYTES = 1 << 19
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+NTH = "_neardup_nth"
+LETTER = re.compile(r"[^\W\d_]")   # also numbers such as a half, which are no letters
 
 
 class Model(NamedTuple):
@@ -73,6 +74,11 @@ def padded(text: str) -> bytes:
     return (" " + text.lower() + " ").encode("utf-8", "replace")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's letter categories."""
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 def held_out(id_col: str) -> Column:
     """Whether crc32 of the id as text leaves no remainder by 5; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -96,7 +102,9 @@ def examples(docs: DataFrame, id_col: str, text: str, lang: str) -> list[tuple[s
     chosen = F.lit(False)
     for share, languages in shares.items():
         chosen = chosen | (F.col(lang).isin(languages) & (place < share))
-    rows = (known.where(chosen).limit(2 * PER_LANGUAGE * len(sizes))
+    # ids that repeat can choose more rows than the share; each language has its own bound
+    nth = F.row_number().over(Window.partitionBy(lang).orderBy(place, F.xxhash64(text), id_col))
+    rows = (known.where(chosen).withColumn(NTH, nth).where(F.col(NTH) <= 2 * PER_LANGUAGE)
             .select(F.col(lang).alias("_lang"), (F.pmod(F.xxhash64(F.lit(8), F.col(id_col)), F.lit(5)) == 0).alias("_calibrate"),
                     F.xxhash64(F.lit(9), F.col(id_col)).alias("_seed"), F.col(text).alias("_text")))
 
@@ -114,7 +122,7 @@ def examples(docs: DataFrame, id_col: str, text: str, lang: str) -> list[tuple[s
                     parts += [" ".join(words[p:p + FRAGMENT_WORDS])
                               for p in rng.integers(0, len(words) - FRAGMENT_WORDS, FRAGMENTS)]
                 for x in parts:
-                    if LETTER.search(x):
+                    if has_letter(x):
                         bucket, n = np.unique(grams(padded(x)), return_counts=True)
                         took.append(i)
                         found.append(bucket.astype("<i4").tobytes())
@@ -177,38 +185,40 @@ def train(found: list, seed: int = 5) -> Model | None:
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, held_out, lang_pred, score (calibrated probability) and accepted of each whole text."""
     rows = docs.select(F.col(id_col).alias("_id"), held_out(id_col).alias("held_out"), F.col(text).alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)   # BUCKETS numbers for each language
+    # BUCKETS numbers for each language; a plain tuple, since workers need not have this package
+    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else tuple(model))
 
     def scored(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         m = shared.value
+        languages, table, bias, temperature, accept = m or (None,) * 5
         for batch, first, end in by_bytes(batches, "_text", BATCH_BYTES):
             part = batch.slice(first, end - first)
             langs, scores, accepted = [], [], []
             for t in part.column("_text").to_pylist():
-                if m is None or not t or not LETTER.search(t):
+                if m is None or not t or not has_letter(t):
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
                     accepted.append(False)
                     continue
-                data, total, n = padded(t), np.zeros(len(m.languages)), 0
+                data, total, n = padded(t), np.zeros(len(languages)), 0
                 longest = max(GRAMS) - 1
                 for at in range(0, len(data), BATCH_BYTES):   # n-grams across the cuts are added by themselves
                     bucket = grams(data[at:at + BATCH_BYTES])
-                    total += np.bincount(bucket, minlength=BUCKETS) @ m.table
+                    total += np.bincount(bucket, minlength=BUCKETS) @ table
                     n += len(bucket)
                     if at + BATCH_BYTES < len(data):
                         cut = data[at + BATCH_BYTES - longest:at + BATCH_BYTES + longest]
                         edge = across(cut, longest)
-                        total += m.table[edge].sum(axis=0)
+                        total += table[edge].sum(axis=0)
                         n += len(edge)
-                s = (total / n + m.bias) / m.temperature
+                s = (total / n + bias) / temperature
                 p = np.exp(s - s.max())
                 p /= p.sum()
-                langs.append(m.languages[int(p.argmax())])
+                langs.append(languages[int(p.argmax())])
                 scores.append(float(p.max()))
-                accepted.append(scores[-1] >= m.accept)
+                accepted.append(scores[-1] >= accept)
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("held_out"), pa.array(langs, pa.string()),
                                               pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())],
                                              names=["_id", "held_out", "lang_pred", "score", "accepted"])
