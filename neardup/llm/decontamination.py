@@ -7,8 +7,9 @@ for are the slots. Windows of ``window`` words are taken twice: as written, and,
 where they have a slot, as a template, which goes on over further words until it has
 enough that are no slots.
 
-1. The hashes of all benchmark windows fill a bitmap of fixed size. Workers
-   pass on only those document windows whose hash is in it.
+1. The hashes of all benchmark windows and runs (see 5) fill a bitmap, sized by their number. Workers
+   pass on only what is in it. The runs are looked up first: a window that matches has a run
+   at each place that isn't all slots, so windows are hashed only where three runs follow one another.
 2. These are hash-joined with the benchmark windows.
 3. A template match counts if the slots agree: along one alignment of document
    and item, each value of the item stands for one value of the document. So a
@@ -17,13 +18,13 @@ enough that are no slots.
 4. A document leaks an item if ``percent`` of the item's windows are matched.
 5. Copies with words changed, left out or put in, and parts of an item, lose too many
    windows for that. Runs of ``SEED`` words (as written, or with placeholders) find them:
-   of n words with d edits n - SEED + 1 - SEED * d of the item's runs are left. Where a document
-   has as many, its words around them are aligned with the item's (longest common
+   d edits take SEED * d at most of the item's runs that aren't all slots. Where a document
+   has the rest of them, its words around them are aligned with the item's (longest common
    subsequence; a slot matches a slot of its kind). It leaks the item if ``percent`` of
    the item's words are matched and the slots agree, or if ``RUN`` words in a row are.
 
-Items of fewer words than a window are one window, which only texts of exactly
-these words match.
+Items of two words and more, but fewer than a window, are one window, which is looked for at its own
+length in every text. An item of one word is no passage: only a text of this word alone matches it.
 
 Defined cases: null and blank texts and items have no windows and match nothing;
 repeated rows are judged each by itself, repeated windows of an item count once
@@ -52,8 +53,8 @@ PLAIN_WORDS = 3
 SEED, RUN = 3, 18
 #: Shifts of a document's words against an item's that are aligned in one go.
 BAND = 8
-#: Places of the bitmap of benchmark windows (512 KB).
-BITMAP = 1 << 22
+#: Bits of the bitmap for each hash of the benchmark, and its least and largest size (8 KB, 256 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 1024, 1 << 16, 1 << 31
 
 UNITS = ["mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles",
          "mg", "g", "kg", "ton", "tons", "ounce", "ounces", "pound", "pounds",
@@ -199,6 +200,39 @@ def seeds(hashes, kinds):
     return np.concatenate([np.arange(count), some]), np.concatenate([out[0], out[1][some]])
 
 
+def in_bitmap(keyed, filled):
+    """Which of the hashes are in the bitmap."""
+    import numpy as np
+    bit = (keyed & np.uint64(8 * len(filled) - 1)).astype(np.int64)
+    return (filled[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def open_runs(kinds):
+    """For each run of SEED words whether it has a word that is no slot."""
+    import numpy as np
+    slots = np.concatenate([[0], np.cumsum(kinds != PLAIN)])
+    return slots[SEED:] - slots[:-SEED] < SEED
+
+
+def may_have_windows(kinds, places, size: int) -> bool:
+    """Whether runs found at ``places`` leave room for a window that matches: runs of slots alone may lie between them.
+
+    A window as written of ``size`` words has size - SEED + 1 runs, and a template window of five words or more
+    with PLAIN_WORDS of them no slots at least three runs that aren't all slots.
+    """
+    import numpy as np
+    if size < SEED + 2:
+        return True
+    found = np.zeros(max(0, len(kinds) - SEED + 1), dtype=bool)
+    found[places] = True
+    broken = ~(found | ~open_runs(kinds))
+    counted = np.cumsum(found)
+    ends = np.flatnonzero(broken)
+    at = counted[ends] if len(ends) else counted[:0]
+    total = counted[-1] if len(counted) else 0
+    return bool((np.diff(np.concatenate([[0], at, [total]])) >= 3).any())
+
+
 def aligned(item, text, percent: int) -> tuple[bool, bool]:
     """(leak, verbatim) for (hashes, kinds) of an item and of the part of a text that it is aligned with."""
     import numpy as np
@@ -240,11 +274,40 @@ def _slot_words(text: bytes, kinds, starts, ends, place: int, size: int) -> list
             for i in range(place, min(place + size, len(kinds))) if kinds[i] != PLAIN]
 
 
-def _windows_of(rows: DataFrame, keys: list[str], size: int, bitmap: bytes | None) -> DataFrame:
-    """keys, place, n_windows, hash, template, slots and seed of each window and seed of _text that is in the bitmap.
+def _windows_of(rows: DataFrame, keys: list[str], size: int, bitmap: bytes | None, short: list[int] = []) -> DataFrame:
+    """keys, place, n_words, n_windows, n_open, hash, template, slots and seed of the windows and seeds of _text that are in the bitmap.
 
-    Items (without a bitmap) of fewer words than a window have no seeds.
+    n_open is the number of runs that aren't all slots. Items (without a bitmap) of fewer words than a window have no
+    seeds. In documents windows of the ``short`` sizes are taken too.
     """
+    columns = {"place": "long", "n_words": "long", "n_windows": "long", "n_open": "long", "hash": "long", "template": "boolean",
+               "slots": "array<string>", "seed": "boolean"}
+
+    def taken(text: bytes, canonical: Canonical, filled):
+        """(hashes, kinds, starts, ends) of a text, and (places, hashes, template, lengths, seed) of what is passed on."""
+        import numpy as np
+        own = canonical.words(text)
+        hashes, kinds = own[0], own[1]
+        n, parts = len(hashes), []
+        if filled is None or n < size:
+            parts.append((*windows(hashes, kinds, size), False))
+        if n >= size or filled is not None:
+            at, runs = seeds(hashes, kinds)
+            if filled is not None:
+                hit = in_bitmap(runs, filled)
+                at, runs = at[hit], runs[hit]
+                if n >= size and may_have_windows(kinds, at, size):
+                    parts.append((*windows(hashes, kinds, size), False))
+                parts += [(*windows(hashes, kinds, k), False) for k in short if k < n and k < size]
+            parts.append((at, runs, np.zeros(len(at), dtype=bool), np.full(len(at), SEED), True))
+        if filled is not None:
+            kept = []
+            for places, keyed, template, lengths, seed in parts:
+                hit = slice(None) if seed else in_bitmap(keyed, filled)
+                kept.append((places[hit], keyed[hit], template[hit], lengths[hit], seed))
+            parts = kept
+        return own, parts
+
     def found(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -252,53 +315,44 @@ def _windows_of(rows: DataFrame, keys: list[str], size: int, bitmap: bytes | Non
         filled = None if bitmap is None else np.frombuffer(bitmap, dtype=np.uint8)
         for batch, first, end in by_bytes(batches, "_text", CHUNK):
             part = batch.slice(first, end - first)
-            took, out = [], {"place": [], "n_windows": [], "hash": [], "template": [], "slots": [], "seed": []}
+            took: list[int] = []
+            out: dict[str, list] = {c: [] for c in columns}
             for i, text in enumerate(part.column("_text").cast(pa.binary()).to_pylist()):
-                hashes, kinds, starts, ends = canonical.words(text or b"")
-                places, keyed, template, lengths = windows(hashes, kinds, size)
-                n = len(places) - int(template.sum())
-                if filled is not None or len(hashes) >= size:
-                    at, runs = seeds(hashes, kinds)
-                    seed = np.arange(len(places) + len(at)) >= len(places)
-                    places, keyed = np.concatenate([places, at]), np.concatenate([keyed, runs])
-                    template = np.concatenate([template, np.zeros(len(at), dtype=bool)])
-                    lengths = np.concatenate([lengths, np.full(len(at), SEED)])
-                else:
-                    seed = np.zeros(len(places), dtype=bool)
-                if filled is not None and len(keyed):
-                    bit = (keyed & np.uint64(BITMAP - 1)).astype(np.int64)
-                    hit = (filled[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                    places, keyed, template, seed, lengths = places[hit], keyed[hit], template[hit], seed[hit], lengths[hit]
-                out["seed"] += seed.tolist()
-                took += [i] * len(places)
-                out["place"] += places.tolist()
-                out["n_windows"] += [n] * len(places)
-                out["hash"] += keyed.view(np.int64).tolist()
-                out["template"] += template.tolist()
-                out["slots"] += [_slot_words(text, kinds, starts, ends, p, k) if t else []
-                                 for p, t, k in zip(places.tolist(), template.tolist(), lengths.tolist())]
+                (hashes, kinds, starts, ends), parts = taken(text or b"", canonical, filled)
+                n, n_open = len(hashes), int(open_runs(kinds).sum())
+                for places, keyed, template, lengths, seed in parts:
+                    m = len(places)
+                    took += [i] * m
+                    out["place"] += places.tolist()
+                    out["n_words"] += [n] * m
+                    out["n_windows"] += [n - min(size, n) + 1] * m
+                    out["n_open"] += [n_open] * m
+                    out["hash"] += keyed.view(np.int64).tolist()
+                    out["template"] += template.tolist()
+                    out["slots"] += [_slot_words(text, kinds, starts, ends, p, k) if t else []
+                                     for p, t, k in zip(places.tolist(), template.tolist(), lengths.tolist())]
+                    out["seed"] += [seed] * m
             if took:
                 own = part.take(pa.array(took, pa.int64()))
-                kinds_of = {"place": pa.int64(), "n_windows": pa.int64(), "hash": pa.int64(), "template": pa.bool_(),
-                            "slots": pa.list_(pa.string()), "seed": pa.bool_()}
-                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), *(pa.array(v, kinds_of[c]) for c, v in out.items())],
+                types = {"long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), *(pa.array(v, types[columns[c]]) for c, v in out.items())],
                                                  names=[*keys, *out])
 
     schema = rows.select(*keys).schema
-    for name, kind in (("place", T.LongType()), ("n_windows", T.LongType()), ("hash", T.LongType()),
-                       ("template", T.BooleanType()), ("slots", T.ArrayType(T.StringType())),
-                       ("seed", T.BooleanType())):
-        schema = schema.add(name, kind)
+    for name, kind in columns.items():
+        schema = schema.add(name, T.ArrayType(T.StringType()) if kind == "array<string>" else kind)
     return rows.select("_text", *keys).mapInArrow(found, schema)
 
 
 def _bitmap(items: DataFrame) -> bytes:
-    """The bitmap of the items' window hashes: BITMAP / 64 longs at most reach the driver."""
+    """The bitmap of the items' hashes. A row of 64 bits for each hash at most reaches the driver, and MOST_BITS / 64 in all."""
     import numpy as np
-    place = F.col("hash").bitwiseAND(F.lit(BITMAP - 1))
+    hashes = items.agg(F.approx_count_distinct("hash")).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * hashes).bit_length()))
+    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
     words = items.groupBy(F.shiftright(place, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).collect()
-    out = np.zeros(BITMAP // 64, dtype="<i8")
+        F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).collect()
+    out = np.zeros(bits // 64, dtype="<i8")
     for w in words:
         out[w["word"]] = w["bits"]
     return out.tobytes()
@@ -306,34 +360,36 @@ def _bitmap(items: DataFrame) -> bytes:
 
 def _aligned_leaks(given: DataFrame, asked: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     """(ROW_ID, item_id, verbatim) of the leaks among ``wanted`` (ROW_ID, item_id, bands)."""
-    listed = wanted.join(asked, "item_id").groupBy(*ROW_ID).agg(F.collect_list(F.struct("item_id", F.col("_text").alias("item"), "bands")).alias("asked"))
+    # a row for each document and item: a document may hold a whole benchmark
+    listed = wanted.join(asked.select("item_id", F.col("_text").alias("item")), "item_id")
     both = given.select(*ROW_ID, "_text").join(cut_lineage(listed), ROW_ID)
     item_type = asked.schema["item_id"].dataType
 
     def judged(batches: Iterator) -> Iterator:
         import pyarrow as pa
         canonical = Canonical()
+        last, words = None, None        # a document's rows follow one another
         for batch, first, end in by_bytes(batches, "_text", CHUNK):
             part = batch.slice(first, end - first)
-            took, items, verbatim = [], [], []
-            texts = part.column("_text").cast(pa.binary()).to_pylist()
-            for i, (text, wants) in enumerate(zip(texts, part.column("asked").to_pylist())):
-                hashes, kinds, _, _ = canonical.words(text)
-                for want in wants:
-                    of_item, its_kinds, _, _ = canonical.words((want["item"] or "").encode("utf-8", "surrogatepass"))
-                    n = len(of_item)
-                    slack = n * (100 - percent) // 100
-                    for band in want["bands"]:
-                        a, b = max(0, BAND * band - slack), BAND * (band + 1) + n + slack
-                        leak, exact = aligned((of_item, its_kinds), (hashes[a:b], kinds[a:b]), percent)
-                        if leak:
-                            took.append(i)
-                            items.append(want["item_id"])
-                            verbatim.append(exact)
+            took, verbatim = [], []
+            places = zip(*(part.column(c).to_pylist() for c in ROW_ID))
+            wants = zip(part.column("item").to_pylist(), part.column("bands").to_pylist())
+            for i, (place, (item, bands)) in enumerate(zip(places, wants)):
+                if place != last:
+                    last, words = place, canonical.words(part.column("_text")[i].as_buffer().to_pybytes())
+                hashes, kinds, _, _ = words
+                of_item, its_kinds, _, _ = canonical.words((item or "").encode("utf-8", "surrogatepass"))
+                n = len(of_item)
+                slack = n * (100 - percent) // 100
+                for band in bands:
+                    a, b = max(0, BAND * band - slack), BAND * (band + 1) + n + slack
+                    leak, exact = aligned((of_item, its_kinds), (hashes[a:b], kinds[a:b]), percent)
+                    if leak:
+                        took.append(i)
+                        verbatim.append(exact)
             if took:
                 own = part.take(pa.array(took, pa.int64()))
-                kind = part.schema.field("asked").type.value_type.field("item_id").type
-                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in ROW_ID), pa.array(items, kind), pa.array(verbatim, pa.bool_())],
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in [*ROW_ID, "item_id"]), pa.array(verbatim, pa.bool_())],
                                                  names=[*ROW_ID, "item_id", "verbatim"])
 
     schema = given.select(*ROW_ID).schema.add("item_id", item_type).add("verbatim", T.BooleanType())
@@ -347,11 +403,13 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, percent: int, id_
     asked = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("_text"))
     items = cut_lineage(_windows_of(asked, ["item_id"], window, None))
     given = with_row_id(docs).select(F.col(text).alias("_text"), F.col(id_col).alias("doc_id"), *ROW_ID)
-    near = cut_lineage(_windows_of(given, ["doc_id", *ROW_ID], window, _bitmap(items)))
+    sizes = items.where((F.col("n_words") > 1) & (F.col("n_words") < window)).select("n_words").distinct()
+    short = sorted(r.n_words for r in sizes.collect())      # fewer than ``window`` numbers
+    near = cut_lineage(_windows_of(given, ["doc_id", *ROW_ID], window, _bitmap(items), short))
 
-    sides = items.select("hash", "template", "item_id", "n_windows", F.col("place").alias("item_place"),
+    sides = items.select("hash", "template", "item_id", "n_windows", "n_words", "n_open", F.col("place").alias("item_place"),
                          F.col("slots").alias("item_slots"), "seed")
-    every = near.drop("n_windows").join(sides, ["hash", "template", "seed"])
+    every = near.drop("n_windows", "n_words", "n_open").join(sides, ["hash", "template", "seed"])
     every = cut_lineage(every.withColumn("shift", F.col("place") - F.col("item_place")))
     met = every.where(~F.col("seed"))
     pair = [*ROW_ID, "item_id"]
@@ -370,10 +428,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, percent: int, id_
     whole = counted.where(100 * F.col("n_matched") >= percent * F.col("n_windows"))
 
     # the fewest seeds that percent of the words, or RUN of them in a row, leave
-    n = F.col("n_windows") + window - 1
-    left = n - SEED + 1 - SEED * F.floor(n * (100 - percent) / 100)
+    left = F.col("n_open") - SEED * F.floor(F.col("n_words") * (100 - percent) / 100)
     seen = every.where("seed").groupBy(*pair).agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_windows").alias("n_windows"), F.countDistinct("item_place").alias("n_seeds"),
+        F.max("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in ("n_windows", "n_words", "n_open")],
+        F.countDistinct("item_place").alias("n_seeds"),
         F.collect_set(F.floor(F.col("shift") / BAND)).alias("bands"))
     wanted = cut_lineage(seen.where(F.col("n_seeds") >= F.greatest(F.lit(1), F.least(left, F.lit(RUN - SEED + 1))))
                          .join(whole.select(*pair), pair, "left_anti"))

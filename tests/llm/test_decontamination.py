@@ -32,7 +32,10 @@ def test_slots_must_agree(spark):
 
 
 def test_short_items_and_empty_tables(spark):
-    assert leaks(spark, [(1, "Just three words!"), (2, "not just three words")], [(5, "just three words")]) == [(1, 5, True)]
+    docs = [(1, "Just three words!"), (2, "here are just three words in a text"), (3, "three just words " * 5), (4, "just three"),
+            (5, "yes"), (6, "yes it is"), (7, "no"), (8, "one of four small words"), (9, "of four small")]
+    items = [(5, "just three words"), (6, "yes"), (7, "of four small words")]
+    assert leaks(spark, docs, items) == [(1, 5, True), (2, 5, True), (5, 6, True), (8, 7, True)]
     assert leaks(spark, [], [(1, ITEM)]) == []
     assert leaks(spark, [(1, ITEM)], []) == []
 
@@ -88,3 +91,42 @@ def test_template_windows_go_on_over_slots():
     own = {int(p): int(k) for p, k, t in zip(places, lengths, template) if t}
     assert own == {0: 8, 1: 8, 2: 7, 3: 6, 4: 5} and places[~template].tolist() == list(range(5))
     assert (np.diff(lengths[~template]) == 0).all()
+
+
+def test_items_of_slots_with_other_values(spark):
+    sums = "compute the sum 3 4 5 6 7 8 9 10 11 12"
+    listed = "add up the following 14 25 36 47 58 69 71 82 and stop"
+    other = sums.replace("3 4 5 6 7 8 9 10 11 12", "21 34 55 89 13 77 64 90 15 18")
+    changed = "add up the numbers 91 17 22 63 54 48 37 26 and stop"
+    docs = [(1, "now " + other + " please"), (2, "x " + changed + " y"), (3, "compute the sum 3 4 and go"), (4, "add up the following 14 things")]
+    assert leaks(spark, docs, [(1, sums), (2, listed)]) == [(1, 1, False), (2, 2, False)]
+
+
+def test_a_document_with_many_items(spark):
+    """A whole benchmark with a word of each item changed: (document, item) rows, all found."""
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)]
+    items = [(k, " ".join(words[20 * k:20 * k + 20])) for k in range(30)]
+    text = " . ".join(t.replace(t.split()[9], "changed") for _, t in items)
+    got = leaks(spark, [(1, text), (2, "nothing of it")], items)
+    assert [(d, i) for d, i, _ in got] == [(1, k) for k in range(30)]
+
+
+def test_windows_are_looked_for_wherever_they_can_match():
+    """Each window of a text that is also an item's window lies where ``may_have_windows`` says yes, by brute force."""
+    import random
+
+    import numpy as np
+    rng = random.Random(4)
+    canonical, vocabulary = D.Canonical(), ["go", "far", "and", "away", "now", "1", "2", "33", "two", "miles"]
+    for _ in range(400):
+        item = " ".join(rng.choices(vocabulary, k=rng.randint(5, 14)))
+        text = " ".join(rng.choices(vocabulary, k=rng.randint(0, 8)) + item.split()[rng.randint(0, 4):] + rng.choices(vocabulary, k=rng.randint(0, 8)))
+        (h1, k1, *_), (h2, k2, *_) = canonical.words(item.encode()), canonical.words(text.encode())
+        if len(h2) < 5:
+            continue
+        match = np.isin(D.windows(h2, k2, 5)[1], D.windows(h1, k1, 5)[1]).any()
+        at, runs = D.seeds(h2, k2)
+        if match:
+            assert D.may_have_windows(k2, at[np.isin(runs, D.seeds(h1, k1)[1])], 5)
+    none = np.empty(0, dtype=np.int64)
+    assert not D.may_have_windows(np.zeros(30, dtype=np.int64), none, 5)
