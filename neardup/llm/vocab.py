@@ -47,9 +47,13 @@ class Known(dict):
 
     def missing(self, pieces: set[str]) -> list[str]:
         new = list(pieces.difference(self))
-        self.long = self.long + [p for p in new if len(p) > CACHE_CHARS]
+        self.remember(new)
         return new
 
+    def remember(self, new: list[str]) -> None:
+        """Notes which of the pieces about to be added are long."""
+        self.long = self.long + [p for p in new if len(p) > CACHE_CHARS]
+
     def forget(self) -> None:
         """Called between slices: drops its long pieces, and everything once the bound is passed."""
         for p in self.long:
@@ -158,15 +162,21 @@ class ByteLevel:
         data = ids.tobytes()
         return [data[4 * a:4 * b] for a, b in zip(first.tolist(), (last - apart).tolist())]
 
-    def _learn(self, known: Known, pieces: set[str], before: str) -> None:
-        """Add the ids of ``pieces``; a final stop or comma after a letter is a word by itself."""
-        missing = known.missing(pieces)
-        cores = {w[:-1] if len(w) > 1 and w[-1] in self.tails and w[-2].isalpha() else w for w in missing}
-        cores = list(cores.difference(known))
-        known.update(zip(cores, self._ids([before + w for w in cores], "" if before else "\n")))
-        for w in missing:
-            if w not in known:
-                known[w] = known[w[:-1]] + self.tails[w[-1]]
+    def _learn(self, known: Known, new: set[str], before: str) -> None:
+        """Add the ids of ``new`` pieces; a final stop or comma after a letter is a word by itself."""
+        tails, cores, tailed = self.tails, set(), []
+        for w in new:
+            if w[-1:] in tails and w[-2:-1].isalpha():
+                tailed.append(w)
+                w = w[:-1]
+                if w in known:
+                    continue
+            cores.add(w)
+        pieces = list(cores)
+        known.remember(pieces)
+        known.remember(tailed)
+        known.update(zip(pieces, self._ids([before + w for w in pieces], "" if before else "\n")))
+        known.update([(w, known[w[:-1]] + tails[w[-1]]) for w in tailed])
 
     def _whole(self, text: str) -> bytes:
         """Ids of a text with unusual white space, in parts of about CUT characters cut before single spaces."""
@@ -181,26 +191,42 @@ class ByteLevel:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        split: list[list[list[str]] | None] = []
-        words: set[str] = set()
-        heads: set[str] = set()
+        words, heads = self.words, self.heads
+        known = words.get
+        # of each text its lines: words after the first one, their ids, and which of them are still unknown
+        split: list[list[tuple[str, list[str], list, list[int]]] | None] = []
+        new_words: set[str] = set()
+        new_heads: set[str] = set()
         for t in texts:
             lines = [x.split(" ") for x in t.split("\n")]
             if t == "" or any("" in x for x in lines) or self.OTHER_SPACE.search(t):
                 split.append(None)
                 continue
-            split.append(lines)
+            rows = []
             for x in lines:
-                heads.add(x[0])
-                words.update(x[1:])
-        self._learn(self.words, words, " ")
-        self._learn(self.heads, heads, "")
+                head = x[0]
+                del x[0]
+                if head not in heads:
+                    new_heads.add(head)
+                ids = list(map(known, x))
+                unknown = [k for k, i in enumerate(ids) if i is None]
+                if unknown:
+                    new_words.update([x[k] for k in unknown])
+                rows.append((head, x, ids, unknown))
+            split.append(rows)
+        self._learn(words, new_words, " ")
+        self._learn(heads, new_heads, "")
         out = []
-        for t, lines in zip(texts, split):
-            if lines is None:
+        for t, rows in zip(texts, split):
+            if rows is None:
                 out.append(self._whole(t))
-            else:
-                out.append(self.feed.join([self.heads[x[0]] + b"".join([self.words[w] for w in x[1:]]) for x in lines]))
-        self.words.forget()
-        self.heads.forget()
+                continue
+            parts = []
+            for head, x, ids, unknown in rows:
+                for k in unknown:
+                    ids[k] = words[x[k]]
+                parts.append(heads[head] + b"".join(ids))
+            out.append(self.feed.join(parts))
+        words.forget()
+        heads.forget()
         return out
