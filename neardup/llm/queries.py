@@ -22,7 +22,7 @@ def query(fn):
 
 @query
 def op1_line_dedup(spark, sf_dir):
-    found = line_dedup.line_verdicts(table(spark, sf_dir, "documents"))
+    found = line_dedup.simhash_verdicts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "line_no", "first_doc_id", "first_line_no", "kept")
 
 
