@@ -3,7 +3,8 @@
 Each whole text is searched for three kinds of secrets. Then a worklist unwraps
 it: percent escapes, Unicode and character-reference escapes, and base64 runs, also
 runs wrapped over lines (whose bytes may be compressed, also several times, and in
-several members), each give a new layer. Bytes that aren't UTF-8 are read as UTF-16 where
+several members), each give a new layer. Base64 is read from each of the four places where its groups may
+begin, since other characters of its alphabet may stand before it, as in a path. Bytes that aren't UTF-8 are read as UTF-16 where
 zero bytes say so, else as Latin-1, so none are left out. A layer
 is searched and unwrapped in turn until nothing new comes up. A layer that was
 seen at the same place before is not taken up again, so layers that decode to
@@ -52,6 +53,8 @@ MAX_WINDOW = 1 << 27
 PIECE = 512
 MAGIC = {b"\x1f\x8b": "gzip", b"\x78\x01": "zlib", b"\x78\x5e": "zlib", b"\x78\x9c": "zlib", b"\x78\xda": "zlib",
          b"BZh": "bz2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
+#: Where compressed data may begin.
+STARTS = re.compile(rb"(?s)(?=(?:\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17\x72\x45\x38\x50\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd))(..)")
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 
@@ -180,10 +183,12 @@ def _percent(layer: Layer, m: re.Match):
     if inside is not None:
         return None, [inside], whole
     chars, at = [], m.start()
-    for c in data.decode("utf-8", "replace"):
-        n = 3 * len(c.encode()) if c != "\ufffd" else 3
-        chars.append((c, at, min(at + n, m.end())))
-        at = min(at + n, m.end() - 3)
+    # a byte that isn't UTF-8 becomes a character of its own, so every character's bytes are known
+    for c in data.decode("utf-8", "surrogateescape"):
+        cut = 0xDC80 <= ord(c) <= 0xDCFF
+        n = 1 if cut else len(c.encode())
+        chars.append(("\ufffd" if cut else c, at, at + 3 * n))
+        at += 3 * n
     return chars, [], whole
 
 
@@ -195,25 +200,59 @@ def _escape(layer: Layer, m: re.Match):
     return [(chr(code), m.start(), m.end())], [], True
 
 
-def _decoded(layer: Layer, chars: str, at: list[int] | range) -> tuple[Layer | None, bool]:
-    """The layer of base64 ``chars``, which stand at the places ``at`` of ``layer``."""
+def _inner(data: bytes, layer: Layer, at: list[int] | range, first: bool) -> tuple[list[Layer], bool]:
+    """Layers of compressed data inside ``data``, which the base64 at ``at`` gave; their span is the rest of the run.
+
+    What stands before the run may be base64 characters too, so compressed data may begin at any group of
+    four. Two bytes alone say little: zlib that isn't the run's very beginning counts only if it is whole.
+    """
+    out, whole = [], True
+    for m in STARTS.finditer(data):
+        if m.start() % 3:
+            continue
+        begins = first and not m.start()
+        inside, all_of_it = _unpacked(data[m.start():], layer.begin[at[m.start() // 3 * 4]], layer.end[at[-1]])
+        if begins or not m[0].startswith(b"\x78"):
+            whole &= all_of_it
+        elif not all_of_it:
+            continue
+        if inside is not None:
+            out.append(inside)
+            if begins:
+                break
+    return out, whole
+
+
+def _decoded(layer: Layer, chars: str, at: list[int] | range) -> tuple[list[Layer], bool]:
+    """The layers of base64 ``chars``, which stand at the places ``at`` of ``layer``: one for each of the four
+    places where the first group may begin, as base64 characters may stand before it."""
     import binascii
-    run = chars.rstrip("=")
-    if len(run) % 4 == 1:
-        return None, True
-    plain = run.replace("-", "+").replace("_", "/")
-    data = binascii.a2b_base64(plain + "=" * (-len(plain) % 4))
-    inside, whole = _unpacked(data, layer.begin[at[0]], layer.end[at[-1]])
-    if inside is not None:
-        return inside, whole
-    text, encoding, is_plain = as_text(data)
-    begin, end, place = [], [], 0
-    for c in text:
-        n = len(c.encode(encoding))
-        begin.append(layer.begin[at[min(place * 8 // 6, len(run) - 1)]])
-        end.append(layer.end[at[min(-(-(place + n) * 8 // 6), len(run)) - 1]])
-        place += n
-    return Layer(text, begin, end, is_plain), whole
+    run = chars.rstrip("=").replace("-", "+").replace("_", "/")
+    out, whole = [], True
+    for phase in range(4):
+        part, places = run[phase:], at[phase:]
+        if len(part) % 4 == 1:   # one character more than whole bytes
+            part = part[:-1]
+        if len(part) < 2:
+            continue
+        data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+        inside, all_of_it = _inner(data, layer, places, not phase)
+        whole &= all_of_it
+        out += inside
+        if inside and not phase and data.startswith(tuple(MAGIC)):
+            return out, whole
+        text, encoding, plain = as_text(data)
+        # most of the four are noise; one without finds and without anything to unwrap adds nothing
+        if phase and not (finds(text) or any(x.search(text) for x in (PERCENT, ESCAPE, BASE64))):
+            continue
+        begin, end, place = [], [], 0
+        for c in text:
+            n = len(c.encode(encoding))
+            begin.append(layer.begin[places[min(place * 8 // 6, len(part) - 1)]])
+            end.append(layer.end[places[min(-(-(place + n) * 8 // 6), len(part)) - 1]])
+            place += n
+        out.append(Layer(text, begin, end, plain))
+    return out, whole
 
 
 def _base64(layer: Layer) -> tuple[list[Layer], bool]:
@@ -226,10 +265,9 @@ def _base64(layer: Layer) -> tuple[list[Layer], bool]:
                 at = [k for a, b in lines[:last] for k in range(a, b)]
                 inside, all_of_it = _decoded(layer, "".join(layer.text[a:b] for a, b in lines[:last]), at)
                 if last == len(lines):
-                    joined.append((m.start(), m.end(), all_of_it and inside is not None))
+                    joined.append((m.start(), m.end(), all_of_it and bool(inside)))
                     whole &= all_of_it
-                if inside is not None:
-                    out.append(inside)
+                out += inside
     done = iter(joined)
     block = next(done, None)
     for m in BASE64.finditer(layer.text):
@@ -238,8 +276,7 @@ def _base64(layer: Layer) -> tuple[list[Layer], bool]:
         inside, all_of_it = _decoded(layer, m[0], range(m.start(), m.end()))
         # a line that was read whole with the lines after it may end early by itself
         whole &= all_of_it or (block is not None and block[0] <= m.start() and block[2])
-        if inside is not None:
-            out.append(inside)
+        out += inside
     return out, whole
 
 

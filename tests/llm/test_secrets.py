@@ -101,3 +101,47 @@ def test_wrapped_base64_members_encodings_and_short_ends():
         assert [k for k, _ in spans("a " + b64(data) + " b")] == ["assign"]
     for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
         assert not S.scan("a " + b64(pack(long)[:-9]))[3]
+
+
+def test_percent_spans_are_those_of_the_bytes():
+    escaped = "".join(f"%{b:02X}" for b in SECRET.encode())
+    for before in ("%E2%82", "%FF", "%EF%BF%BD", "%E2%82%AC", "%F0%9F%98", "%C3%28", ""):
+        text = "é " + before + escaped + " x"
+        assert spans(text) == [("assign", escaped)], before
+
+
+def test_base64_after_characters_of_its_alphabet():
+    import lzma
+    for before in ("", "a", "ab", "abc", "data/", "https/host/path/", "x-y_z/"):
+        for pad in ("", " ", "  "):
+            (kind, part), = spans("see " + before + b64(pad + SECRET) + " there")
+            assert kind == "assign" and part in b64(pad + SECRET).rstrip("=") and len(part) >= len(SECRET)
+        for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+            run = b64(pack(SECRET.encode()))
+            got = spans("see " + before + run + " there")
+            # a packer may store so short a text as it is; then it is found at its own place too
+            assert ("assign", run) in got and all(kind == "assign" and part in run for kind, part in got), (before, pack)
+    assert [k for k, _ in spans("x " + b64("a " + SECRET).rstrip("=") + "A y")] == ["assign"]
+
+
+def test_random_bytes_are_whole_and_without_finds():
+    import random
+    rng = random.Random(11)
+    for _ in range(300):
+        _, found, _, whole = S.scan("run " + b64(rng.randbytes(rng.randint(12, 400))))
+        assert not found and whole
+
+
+def test_random_nestings_are_found():
+    import random
+    rng = random.Random(12)
+    wraps = [lambda t: b64(t), lambda t: b64(gzip.compress(t.encode())), lambda t: b64(zstandard.compress(t.encode())),
+             lambda t: "".join(f"%{b:02x}" for b in t.encode()), lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+             lambda t: "path/" + b64("é " + t), lambda t: "%E2%82" + urllib.parse.quote(t, safe="")]
+    for _ in range(150):
+        text = SECRET
+        for _ in range(rng.randint(1, 3)):
+            text = rng.choice(wraps)(rng.choice(["", "k ", "ü: "]) + text + rng.choice(["", " end"]))
+        a = "before " + rng.choice(["", "日本 "])
+        found = S.scan(a + text + " after")[1]
+        assert any(k == 0 and len(a) <= i < j <= len(a) + len(text) for i, k, j in found), text
