@@ -225,3 +225,25 @@ def test_a_large_group_of_like_lines_is_one_group(spark):
     got = line_dedup.simhash_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [r.doc_id for r in got if r.kept] == [0]
     assert {r.first_doc_id for r in got} == {0}
+
+
+def test_simhash_search_leaves_out_no_pair_of_edit_similarity(spark):
+    """Pairs at the very limit whose edits take the longest words, the SimHash's voters, too; all in one search."""
+    rng = random.Random(11)
+    rows = [r for r in corpus(seed=4) if r[0] not in (103, 104)]
+    for d in range(300):
+        size = rng.choice([4, 5, 6, 9, 10, 14, 15, 20, 33, 50, 90])
+        words = ["".join(rng.choices("abcdefghij", k=rng.randint(1, 9))) for _ in range(size)]
+        other = list(words)
+        longest = sorted(range(size), key=lambda i: -len(words[i]))
+        for at in longest[:size // 5] if d % 2 else rng.sample(range(size), size // 5):
+            other[at] = "".join(rng.choices("abcdefghij", k=rng.randint(1, 12)))
+        if d % 5 == 0 and size >= 5:
+            other = words[size // 5:]
+        if d % 7 == 0:
+            other = words + [f"new{i}" for i in range(size // 4)]
+        rows.append((200 + d, " ".join(words) + "\n" + " ".join(other), "own", 1))
+    have = {(d, n) for d, n, _ in by_edits_alone(rows)}
+    got = line_dedup.simhash_verdicts(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    found = sorted(((r.doc_id, r.line_no, r.kept) for r in got if (r.doc_id, r.line_no) in have), key=str)
+    assert found == by_edits_alone(rows)
