@@ -18,6 +18,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from neardup.session import ship_by_value
@@ -32,7 +33,7 @@ _SPLIT_RE = re.compile(TOKEN_SPLIT)
 
 # Tokens whose votes are counted at once, and digests remembered within a batch: both bound the worker's memory.
 _VOTE_TOKENS = 1 << 14
-_KNOWN_DIGESTS = 1 << 18
+_KNOWN_DIGESTS = 1 << 16
 
 
 def _simhash_one(text, digests: dict) -> list | None:
@@ -59,14 +60,21 @@ def _simhash_one(text, digests: dict) -> list | None:
     return np.packbits(votes * 2 > len(tokens)).view(">i8").astype(np.int64).tolist()
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def simhash_words(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def simhash_words(texts: pa.Array) -> pa.Array:
     """SimHash-256 of each text as four signed 64-bit words, MSB first; NULL if no token.
 
-    A token that several texts of the batch share is hashed once.
+    A token that several texts of the batch share is hashed once. One text at a time leaves the Arrow batch, and the
+    words go back in flat arrays, so a worker holds the batch, one text and the remembered digests.
     """
     digests: dict = {}
-    return pd.Series([_simhash_one(t, digests) for t in texts], dtype=object)
+    words, found = np.zeros((len(texts), 4), dtype=np.int64), np.zeros(len(texts), dtype=bool)
+    for i in range(len(texts)):
+        one = _simhash_one(texts[i].as_py(), digests)
+        if one is not None:
+            words[i], found[i] = one, True
+    ends = np.concatenate([[0], np.cumsum(4 * found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words[found].ravel(), pa.int64()), mask=pa.array(~found))
 
 
 def vector_fingerprint(embedding: str, dims: int = 64) -> Column:
