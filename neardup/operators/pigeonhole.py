@@ -10,7 +10,7 @@ measured: a sample of the fingerprints, fixed by their hashes and bounded by ``S
 rows whatever the table's size, gives for each band how often two fingerprints are
 within each radius there. Probes (values within the radius) plus expected candidates are
 then minimised over the radii by dynamic programming, and over the number of bands. A probe is a row that is
-shuffled, a candidate is a comparison within the join, so beyond ``SMALL_ROWS`` fingerprints a probe counts
+shuffled and sorted, a candidate is one of numpy's comparisons (``operators.buckets``), so beyond ``SMALL_ROWS`` fingerprints a probe counts
 ``PROBE_COST`` times. Up to ``PLAN_ROWS`` of them the plan is that of so many: probes a row are then the same at all
 sizes, and what is shuffled grows as the table does. The sample and the weights only move the cost: any plan finds all pairs.
 """
@@ -28,7 +28,7 @@ from neardup.operators.hamming import BandPlan, band_index, layout, make_band_pl
 SAMPLE = 1024
 MAX_PROBES = 20_000
 #: Candidates that cost as much as a probe, and fingerprints from which and up to which plans are made with it.
-PROBE_COST = 256
+PROBE_COST = 2_048
 SMALL_ROWS, PLAN_ROWS = 2_048, 2_000_000
 #: Numbers of bands tried on each side of the best one under uniform bits.
 AROUND = 4
