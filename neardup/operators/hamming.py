@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from neardup import constants as C
 from neardup.functions.scalars import pack_bits
-from neardup.operators.buckets import TILE, near_pairs
+from neardup.operators.buckets import TILE, near_links, near_pairs
 from neardup.session import cut_lineage
 
 
@@ -105,8 +105,11 @@ def collapse(candidates: DataFrame, id_col: str = "id", fp_col: str = "fp") -> t
 # exact band join
 # ---------------------------------------------------------------------------
 
-#: Own rows and guests of a bucket that one task compares; fuller buckets are cut into tiles.
+#: Own rows (of a table large enough for as many tasks, four times as many) and guests of a bucket that one task compares; fuller
+#: buckets are cut into tiles.
 OWN_ROWS, GUEST_ROWS = 16_384, 65_536
+#: Blocks that a whole table is cut into at least, before tiles grow.
+BLOCKS = 12
 VARIANTS_INLINE = 64   # up to this many probe variants per band are inlined as expressions
 
 
@@ -167,6 +170,16 @@ def pigeonhole_plan(bits: int, threshold: int) -> BandPlan:
     return make_band_plan(bits, threshold, min(bits, max(threshold + 1, min_bands(bits))))
 
 
+def whole_plan(bits: int, threshold: int, n: int) -> BandPlan:
+    """One band of no bits, which all rows share: every pair is compared, in tiles."""
+    return BandPlan(bits, threshold, ((0, 0),), 0, -(-n // own_rows(n)), float(n))
+
+
+def own_rows(n: int) -> int:
+    """Own rows of a tile, for ``n`` fingerprints."""
+    return max(OWN_ROWS, min(4 * OWN_ROWS, n // BLOCKS))
+
+
 def plan_bands(n: int, bits: int, threshold: int, max_probes: int = 20000) -> BandPlan:
     """Band count with the least estimated work per row for ``n`` fingerprints.
 
@@ -201,8 +214,8 @@ def band_index(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "re
 
 
 def _band_keys(n_words: int, plan: BandPlan) -> Column:
-    """The value of each band; 0 for a band that the plan leaves out."""
-    return F.array(*[extract_bits(word_names("w", n_words), s, e) if r >= 0 else F.lit(0).cast("bigint")
+    """The value of each band; 0 for a band that the plan leaves out, and for one of no bits."""
+    return F.array(*[extract_bits(word_names("w", n_words), s, e) if r >= 0 and e > s else F.lit(0).cast("bigint")
                      for (s, e), r in zip(plan.bands, plan.allowed)])
 
 
@@ -230,19 +243,15 @@ def _probe_keys(key: Column, plan: BandPlan) -> Column:
     return out
 
 
-def band_pairs(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "rep",
-               fp_col: str = "fp", comp: DataFrame | None = None) -> DataFrame:
-    """All pairs (src < dst) of ``reps`` within ``plan.threshold``: (src, dst, distance).
-
-    With ``comp`` (id, component) only pairs across different components are
-    emitted (used by the hot-bucket path of the component search).
-    """
+def _tiled_rows(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str, fp_col: str, comp: DataFrame | None) -> DataFrame:
+    """(id, [comp], words, TILE, place): the rows of each tile side by side, as ``operators.buckets`` takes them."""
     words = word_names("w", n_words)
     base = with_words(reps.select(F.col(rep_col).alias("id"), fp_col), fp_col, n_words).drop(fp_col).dropna()
     base = _with_comp(base.select("id", *words, _band_keys(n_words, plan).alias("_keys")), comp)
     rows = base.select("id", F.col("_comp").alias("comp"), *words, F.posexplode("_keys").alias("band", "key"))
     rows = rows.where(_used_band("band", plan))
-    full = full_buckets(rows.select("band", "key"), plan) if reps.limit(OWN_ROWS + 1).count() > OWN_ROWS else None
+    n = reps.count()
+    full = full_buckets(rows.select("band", "key"), plan, own_rows(n)) if n > own_rows(n) else None
     if plan.radius <= 0:
         rows = rows.withColumn("guest", F.lit(False))
     else:
@@ -253,7 +262,20 @@ def band_pairs(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "re
     rows = _in_tiles(rows, full).select("id", *(["comp"] if comp is not None else []), *words, *tile, "right")
     # sorted by one long, the side in its last bit: a radix sort, and near_pairs parts the tiles that share a hash
     place = F.xxhash64(*tile).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("right").cast("bigint"))
-    rows = rows.repartition(*tile).withColumn("place", place).drop("right").sortWithinPartitions("place")
+    # a whole table's tiles are few bytes and much work: a partition for each, which aren't joined by their bytes
+    blocks = plan.probes_per_row if plan.bands == ((0, 0),) else 0
+    dealt = rows.repartition(blocks * (blocks + 1) // 2, *tile) if blocks > 1 else rows.repartition(*tile)
+    return dealt.withColumn("place", place).drop("right").sortWithinPartitions("place")
+
+
+def band_pairs(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "rep",
+               fp_col: str = "fp", comp: DataFrame | None = None) -> DataFrame:
+    """All pairs (src < dst) of ``reps`` within ``plan.threshold``: (src, dst, distance).
+
+    With ``comp`` (id, component) only pairs across different components are
+    emitted.
+    """
+    rows = _tiled_rows(reps, n_words, plan, rep_col, fp_col, comp)
     bands = [(i, [m % (1 << 64) for m in _word_masks(s, e, n_words)], r)
              for i, ((s, e), r) in enumerate(zip(plan.bands, plan.allowed)) if r >= 0]
     of_id = rows.schema["id"].dataType
@@ -263,8 +285,20 @@ def band_pairs(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "re
     return met.where(F.col("src") < F.col("dst"))
 
 
-def full_buckets(values: DataFrame, plan: BandPlan) -> DataFrame | None:
-    """(band, key, owns, guests): blocks of the buckets with more than OWN_ROWS rows or about GUEST_ROWS guests; None if there are none.
+def band_links(reps: DataFrame, n_words: int, plan: BandPlan, rep_col: str = "rep", fp_col: str = "fp") -> DataFrame:
+    """Links (src < dst) that connect all that the pairs of ``band_pairs`` connect.
+
+    Each tile returns fewer links than it has rows, so they grow as the probes do and not as the pairs of a dense cluster.
+    """
+    rows = _tiled_rows(reps, n_words, plan, rep_col, fp_col, None)
+    of_id = rows.schema["id"].dataType
+    met = rows.mapInArrow(near_links(n_words, plan.threshold), T.StructType().add("x", of_id).add("y", of_id))
+    met = met.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+    return met.where(F.col("src") < F.col("dst"))
+
+
+def full_buckets(values: DataFrame, plan: BandPlan, most_own: int) -> DataFrame | None:
+    """(band, key, owns, guests): blocks of the buckets with more than ``most_own`` rows or about GUEST_ROWS guests; None if there are none.
 
     ``values`` has (band, key) of every row. A bucket's guests come from the keys within the band's radius; keys
     of few rows are left out there, as all of them together bring less than half of GUEST_ROWS.
@@ -279,8 +313,8 @@ def full_buckets(values: DataFrame, plan: BandPlan) -> DataFrame | None:
         own = own.groupBy("band", "key").agg(F.sum("own").alias("own"), F.sum("guest").alias("guest"))
     exact = [i for i, r in enumerate(plan.allowed) if r <= 0]
     none = F.col("band").isin(exact) if exact else F.lit(False)
-    full = own.where((F.col("own") > OWN_ROWS) | (2 * F.col("guest") > GUEST_ROWS)).select(
-        "band", "key", F.greatest(F.lit(1), F.ceil(F.col("own") / OWN_ROWS)).cast("int").alias("owns"),
+    full = own.where((F.col("own") > most_own) | (2 * F.col("guest") > GUEST_ROWS)).select(
+        "band", "key", F.greatest(F.lit(1), F.ceil(F.col("own") / most_own)).cast("int").alias("owns"),
         F.when(none, 0).otherwise(F.ceil(F.col("guest") / GUEST_ROWS + F.lit(0.5))).cast("int").alias("guests"))
     full = cut_lineage(full)
     return None if full.isEmpty() else full

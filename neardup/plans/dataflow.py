@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from neardup import constants as C
 from neardup.operators.components import connected_components
 from neardup.operators.exact import exact_hash_groups, exact_members, exclude_exact
-from neardup.operators.hamming import (HOT_BUCKET_ROWS, band_index, band_pairs, choose_strategy, collapse,
+from neardup.operators.hamming import (HOT_BUCKET_ROWS, band_links, choose_strategy, collapse,
                                        largest_bucket, leader_edges, lsh_index, lsh_pairs, lsh_positions,
                                        validate_threshold)
 from neardup.operators.pigeonhole import general_plan
@@ -39,12 +39,13 @@ def perceptual_components(candidates: DataFrame, threshold: int, bits: int = 256
                           target_recall: float = 0.99, hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
     """(id, component) for candidates that have at least one similar row.
 
-    When a bucket of the chosen index holds more than ``hot_bucket_rows``
-    fingerprints (a near-duplicate cluster holding a large share of all rows),
-    every member is first linked to its bucket leader when within the threshold,
-    components of those star edges are formed, and the pair join then emits only
-    pairs between different provisional components. Skipped pairs join nodes that
-    are already connected, so the components are exact while the number of
+    The exact band join returns links that connect each tile's near rows, fewer than the tile has rows
+    (``band_links``), so a near-duplicate cluster holding a large share of all rows costs no edge for each of its pairs.
+
+    When a bucket of LSH holds more than ``hot_bucket_rows`` fingerprints, every member is first linked to its
+    bucket leader when within the threshold, components of those star edges are formed, and the pair join then
+    emits only pairs between different provisional components. Skipped pairs join nodes that
+    are already connected, so the components are the same while the number of
     emitted edges stays linear in the cluster.
     """
     n_words = bits // 64
@@ -52,25 +53,18 @@ def perceptual_components(candidates: DataFrame, threshold: int, bits: int = 256
     n = reps.count()
     plan = None if use_lsh else general_plan(reps, n, bits, threshold)
     strat = choose_strategy(n, bits, threshold, use_lsh, lsh_tables_bits, target_recall, plan)
-    if strat.kind == "lsh":
-        pos = lsh_positions(strat.tables, strat.bits_per_table, bits)
-        index, cols = lsh_index(reps, n_words, pos), ["table_idx", *[f"k{i}" for i in range(n_words)]]
-
-        def pairs_fn(comp):
-            return lsh_pairs(reps, n_words, pos, threshold, comp=comp)
-    else:
-        index, cols = band_index(reps, n_words, strat.band_plan), ["band", "key"]
-
-        def pairs_fn(comp):
-            return band_pairs(reps, n_words, strat.band_plan, comp=comp)
     copy_edges = copies.select(F.col("id").alias("src"), F.col("rep").alias("dst"))
+    if strat.kind == "bands":
+        return connected_components(band_links(reps, n_words, strat.band_plan).unionByName(copy_edges))
+    pos = lsh_positions(strat.tables, strat.bits_per_table, bits)
+    index, cols = lsh_index(reps, n_words, pos), ["table_idx", *[f"k{i}" for i in range(n_words)]]
     # no bucket can outgrow the number of fingerprints: skip the measuring job then
     if n > hot_bucket_rows and largest_bucket(index, cols) > hot_bucket_rows:
         stars = cut_lineage(leader_edges(index, cols, n_words, threshold))
         provisional = connected_components(stars)
-        edges = stars.unionByName(pairs_fn(provisional).select("src", "dst"))
+        edges = stars.unionByName(lsh_pairs(reps, n_words, pos, threshold, comp=provisional).select("src", "dst"))
     else:
-        edges = pairs_fn(None).select("src", "dst")
+        edges = lsh_pairs(reps, n_words, pos, threshold).select("src", "dst")
     return connected_components(edges.unionByName(copy_edges))
 
 
