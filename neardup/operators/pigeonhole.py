@@ -12,7 +12,9 @@ within each radius there. Probes (values within the radius) plus expected candid
 then minimised over the radii by dynamic programming, and over the number of bands. A probe is a row that is
 shuffled and sorted, a candidate is one of numpy's comparisons (``operators.buckets``), so beyond ``SMALL_ROWS`` fingerprints a probe counts
 ``PROBE_COST`` times. Up to ``PLAN_ROWS`` of them the plan is that of so many: probes a row are then the same at all
-sizes, and what is shuffled grows as the table does. The sample and the weights only move the cost: any plan finds all pairs.
+sizes, and what is shuffled grows as the table does. Where the bands let so many candidates through that comparing all pairs costs less (18
+of 64 bits: nearly half of all pairs, by 260 probes a row), the plan is one band of no bits (``whole_plan``), compared in large tiles.
+The sample and the weights only move the cost: any plan finds all pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from math import comb
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from neardup.operators.hamming import BandPlan, band_index, layout, make_band_plan, masks_within, min_bands, plan_bands
+from neardup.operators.hamming import BandPlan, band_index, layout, make_band_plan, masks_within, min_bands, plan_bands, whole_plan
 
 #: Rows of the sample; its pairs (half a million) are what the chances are counted on.
 SAMPLE = 1024
@@ -30,6 +32,8 @@ MAX_PROBES = 20_000
 #: Candidates that cost as much as a probe, and fingerprints from which and up to which plans are made with it.
 PROBE_COST = 2_048
 SMALL_ROWS, PLAN_ROWS = 2_048, 2_000_000
+#: Candidates of small buckets that cost as much as a comparison of large tiles, for each word that it reads.
+DENSE_COST = 0.25
 #: Numbers of bands tried on each side of the best one under uniform bits.
 AROUND = 4
 
@@ -121,7 +125,10 @@ def general_plan(reps: DataFrame, n: int, bits: int, threshold: int, rep_col: st
     plans = [plan_for(differences, rows, bits, threshold, m, probe_cost)
              for m in range(max(least, middle - AROUND), min(most, middle + AROUND) + 1)]
     plans = [p for p in plans if p is not None]
-    return min(plans, key=cost) if plans else equal
+    best = min(plans, key=cost) if plans else equal
+    whole = whole_plan(bits, threshold, rows)
+    dense = probe_cost * whole.probes_per_row + DENSE_COST * (bits // 64 + 1 >> 1) * whole.est_candidates
+    return whole_plan(bits, threshold, n) if n > SMALL_ROWS and dense < cost(best) else best
 
 
 def measured_work(reps: DataFrame, n_words: int, plan: BandPlan) -> DataFrame:

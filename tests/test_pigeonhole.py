@@ -102,3 +102,15 @@ def test_probes_a_row_do_not_grow_with_the_table(spark):
     assert large.probes_per_row == small.probes_per_row <= 300
     got = {(r.src, r.dst, r.distance) for r in H.band_pairs(df, 4, large).collect()}
     assert got == brute(fps, 32)
+
+
+def test_wide_radii_are_compared_whole(spark, monkeypatch):
+    """Bands of 64 bits at 18 let nearly half of all pairs through, so all are compared, in tiles; each pair is found once."""
+    fps = list(dict.fromkeys(random_fps(300, 64, seed=21)))
+    df = frame(spark, fps, 64)
+    plan = P.general_plan(df, 50_000, 64, 18)
+    assert plan.bands == ((0, 0),)
+    assert P.general_plan(df, 50_000, 64, 3).bands != ((0, 0),)
+    monkeypatch.setattr(H, "OWN_ROWS", 40)
+    got = [(r.src, r.dst, r.distance) for r in H.band_pairs(df, 1, plan).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(fps, 18)
