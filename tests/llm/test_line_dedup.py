@@ -247,3 +247,23 @@ def test_simhash_search_leaves_out_no_pair_of_edit_similarity(spark):
     got = line_dedup.simhash_verdicts(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     found = sorted(((r.doc_id, r.line_no, r.kept) for r in got if (r.doc_id, r.line_no) in have), key=str)
     assert found == by_edits_alone(rows)
+
+
+def test_rare_pairs_are_searched_in_parts(spark, scratch, monkeypatch):
+    """The same verdicts from one part and from many; of the written tables only the nodes hold the lines' records."""
+    spark.createDataFrame(corpus(seed=6), SCHEMA).repartition(3).write.parquet(f"{scratch}/docs")
+    docs = spark.read.parquet(f"{scratch}/docs")
+    at = [*line_dedup.AT, "doc_id", "first_doc_id", "first_line_no", "kept"]
+
+    def verdicts():
+        return sorted(line_dedup.simhash_verdicts(docs).select(*at).collect(), key=str)
+
+    one, written = verdicts(), []
+    cut = line_dedup.cut_lineage
+    monkeypatch.setattr(line_dedup, "PART_NODES", 10)
+    monkeypatch.setattr(line_dedup, "MOST_PARTS", 3)
+    monkeypatch.setattr(line_dedup, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    assert verdicts() == one
+    assert sum("rare" in columns or "of" in columns and "line_no" in columns for columns in written) == 1
+    assert not any("ha" in columns or "p0" in columns and "key" in columns for columns in written)
+    assert sum(columns == ["a", "b"] for columns in written) > line_dedup.MOST_PARTS
