@@ -267,3 +267,28 @@ def test_rare_pairs_are_searched_in_parts(spark, scratch, monkeypatch):
     assert sum("rare" in columns or "of" in columns and "line_no" in columns for columns in written) == 1
     assert not any("ha" in columns or "p0" in columns and "key" in columns for columns in written)
     assert sum(columns == ["a", "b"] for columns in written) > line_dedup.MOST_PARTS
+
+
+def test_lines_that_repeat_words_meet_by_their_longest_ones(spark, monkeypatch):
+    """Common words that many lines repeat, with others of their own, bring no pair of lines to the edit distance."""
+    rows = [(i, " ".join([f"ownword{i}"] * 20 + [f"other{i}"] * 20 + ["the"] * 20), "x", 1) for i in range(40)]
+    tested, confirmed = [], line_dedup._confirmed
+    monkeypatch.setattr(line_dedup, "_confirmed", lambda lines, nodes, pairs, percent: tested.append(pairs.count()) or confirmed(lines, nodes, pairs, percent))
+    got = line_dedup.simhash_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 40 and all(r.kept for r in got)
+    assert sum(tested) <= len(rows)
+
+
+def test_an_edit_changes_two_parities_at_most(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(60):
+        words = ["".join(rng.choices("abcdef", k=rng.randint(1, 14))) for _ in range(rng.choice([4, 9, 30, 200]))]
+        at = rng.randrange(len(words))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:at] + [["new"], [], [words[at], "inserted"]][i % 3] + words[at + 1:]))]
+    df = spark.createDataFrame(rows, "i int, text string").select("i", line_dedup._parities(line_dedup.F.transform(
+        line_dedup.normalised_words(line_dedup.F.col("text")), line_dedup._packed)).alias("p"))
+    of = {r.i: tuple(r.p) for r in df.collect()}
+    apart = [sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(of[i], of[i + 1])) for i in range(0, 120, 2)]
+    assert 0 < max(apart) <= 2
+    assert len(set(of.values())) > 60
